@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -53,12 +54,13 @@ class WordBpe:
 
     END = b"\xff"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         import regex
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.parts: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         vocab, byte, suffix = told["model"]["vocab"], _byte_of(), told["model"]["end_of_word_suffix"]
@@ -73,24 +75,39 @@ class WordBpe:
             token = "".join(merge if isinstance(merge, list) else merge.split(" "))
             order[raw(token)] = n
             to_id[n] = vocab[token]
-        self.to_id = np.zeros(512 + len(told["model"]["merges"]), dtype="<u4")
-        self.to_id[list(to_id)] = list(to_id.values())
+        self.to_id = {rank: i.to_bytes(4, "little") for rank, i in to_id.items()}
         core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=order, special_tokens={})._core_bpe
         self.merge, self.words = core.encode_single_piece, regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
     def _encode(self, word: str) -> bytes:
-        if PLAIN(word) and "<|" not in word:
-            found: list[int] = []
-            for x in self.words(word.lower()):
-                found += self.merge(x.encode() + self.END)
-            return self.to_id[found].tobytes() if found else b""
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not PLAIN(word) or "<|" in word:
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out, parts = b"", self.parts
+        for x in self.words(word.lower()):
+            ids = parts.get(x)
+            if ids is None:
+                to_id = self.to_id
+                ids = parts[x] = b"".join([to_id[r] for r in self.merge(x.encode() + self.END)])
+            out += ids
+        return out
 
     def ids(self, text: str) -> np.ndarray:
         known, words = self.known, text.split(" ")
         if len(known) > self.most:
             known.clear()
+            self.parts.clear()
         for x in words:
             if x not in known:
                 known[x] = self._encode(x)
         return np.frombuffer(b"".join([known[x] for x in words]), dtype="<u4")
+
+
+@lru_cache(maxsize=4)
+def byte_bpe(path: str) -> ByteBpe:
+    return ByteBpe(path)
+
+
+@lru_cache(maxsize=4)
+def word_bpe(path: str) -> WordBpe:
+    """One a worker process: words that a task has met are known to its later tasks."""
+    return WordBpe(path)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import exact_dedup, html_extract, merkle, packing, quality, secrets, sentencepiece_codec, simhash, token_file, toxicity
-from corpusmill.llm.bpe import ByteBpe, WordBpe
+from corpusmill.llm.bpe import byte_bpe, word_bpe
 from corpusmill.llm.common import table
 
 CAPACITY, END_PACK, END_FILE = 2048, 0, 1
@@ -35,7 +36,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    return packing.pack_documents(table(spark, sf_dir, "documents"), lambda: ByteBpe(path), CAPACITY, END_PACK)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), partial(byte_bpe, path), CAPACITY, END_PACK)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
-    return token_file.read_tokens(token_file.write_tokens(table(spark, sf_dir, "documents"), lambda: WordBpe(path), token_file.new_folder(spark), END_FILE))
+    return token_file.read_tokens(token_file.write_tokens(table(spark, sf_dir, "documents"), partial(word_bpe, path), token_file.new_folder(spark), END_FILE))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
