@@ -32,7 +32,7 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash: bit set where more than half of the shingles' XXH64 have it; 0 without words."""
     from xxhash import xxh64_intdigest
 
-    words = WORDS(text.translate(UPPER).encode("utf-8", "surrogatepass"))
+    words = words_of(text)
     if not words:
         return 0
     joined = b" ".join(words)
@@ -112,7 +112,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; columns as they were. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, radius).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+def words_of(text: str) -> list[bytes]:
+    return WORDS(text.translate(UPPER).encode("utf-8", "surrogatepass"))
+
+
+def table_keys(text: str, tables: int, bits: int, shingle: int = 2) -> list[int]:
+    """A short SimHash for each table, the table's number above its bits. All bits of all tables come from one XXH64 a shingle, mixed anew."""
+    from xxhash import xxh64_intdigest
+
+    words = words_of(text)
+    n = max(1, len(words) - shingle + 1)
+    total, rounds = np.zeros(64 * -(-tables * bits // 64), np.int64), -(-tables * bits // 64)
+    for at in range(0, n, BLOCK):
+        h = np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(at, min(n, at + BLOCK))), np.uint64)
+        for r in range(rounds):
+            x = h + np.uint64(0x9E3779B97F4A7C15 * (r + 1) % 2**64)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            total[64 * r : 64 * r + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    mark = "".join("1" if v else "0" for v in total[: tables * bits] * 2 > n)
+    return [t << bits | int(mark[t * bits : (t + 1) * bits], 2) for t in range(tables)]
+
+
+def shingle_set(text: str, k: int) -> frozenset[bytes]:
+    words = words_of(text)
+    return frozenset(b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 8, bits: int = 36, salts: int = 8) -> DataFrame:
+    """(u, v), u < v: pairs of ids whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
+
+    Texts that alike differ in more bits than a ball of radius 2 holds, in a long fingerprint of long shingles. So
+    candidates come from ``tables`` short fingerprints of two-word shingles, each searched by ball hashing: rows
+    that share a fingerprint are held against its smallest id, and distinct fingerprints that meet on a variant
+    against their neighbour by id. Every candidate pair is then verified on the whole texts. A text's partners
+    are spread over ``salts`` groups, each with a copy of that text, and each is read as a stream.
+    """
+    rows = text_rows(docs).where(F.col("doc_id").isNotNull())
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "keys": [table_keys(t, tables, bits) for t in pdf["text"]]})
+
+    each = kept(rows.mapInPandas(keys, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key")).distinct(), "keys")
+    heads = kept(each.groupBy("key").agg(F.min("doc_id").alias("head")), "heads")
+    same = each.join(heads, "key").where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v"))
+    near = heads.select("head", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(m).cast("long")) for m in masks(2, bits)])).alias("variant"))
+    other = F.lag("head").over(Window.partitionBy("variant").orderBy("head"))
+    met = near.select("head", other.alias("u")).where("u != head").select("u", F.col("head").alias("v"))
+    pairs = kept(same.union(met).distinct().withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")), "pairs")
+    wanted = pairs.select(F.col("v").alias("doc_id"), "u", "salt").union(pairs.select(F.col("u").alias("doc_id"), "u", "salt").distinct())
+    whole = rows.groupBy("doc_id").agg(F.min("text").alias("text")) if docs.select("doc_id").distinct().count() < docs.count() else rows
+    texts = wanted.join(whole, "doc_id").repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("doc_id") != F.col("u"), "doc_id")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, frozenset()
+        for pdf in batches:
+            out = []
+            for doc_id, u, salt, text in zip(pdf["doc_id"], pdf["u"], pdf["salt"], pdf["text"]):
+                if doc_id == u:
+                    at, own = (u, salt), shingle_set(text, shingle)
+                    continue
+                assert at == (u, salt)
+                their = shingle_set(text, shingle)
+                common = len(own & their)
+                if common >= similarity * (len(own) + len(their) - common):
+                    out.append((u, doc_id))
+            yield pd.DataFrame(out, columns=["u", "v"])
+
+    return texts.select("doc_id", "u", "salt", "text").mapInPandas(verify, "u long, v long")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the rows whose group of similar texts has a smaller doc_id; columns as they were.
+
+    Groups are the components of ``similar_pairs``. Rows with a null doc_id stay; null text is empty, and empty texts
+    are alike. An empty table stays empty.
+    """
+    found = components(similar_pairs(docs, shingle, similarity))
+    gone = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("__gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
