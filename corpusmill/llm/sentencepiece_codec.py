@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,10 +45,14 @@ class Lattice:
     def __init__(self, scores: dict[str, float], bpe: bool, most: int = 1_000_000):
         self.scores, self.bpe, self.most = scores, bpe, most
         self.longest = max(map(len, scores), default=1)
+        #: Every end of a piece, and whether it is a piece itself.
+        self.tails = {p[i:]: False for p in scores for i in range(len(p))} | dict.fromkeys(scores, True)
         self.unknown = min(scores.values(), default=0.0) - 10
         self.pairs: dict[tuple[str, str], bool] = {}
 
-    def follows(self, a: str, b: str) -> bool:
+    def follows(self, a: str | None, b: str) -> bool:
+        if a is None:
+            return False
         key = (a, b)
         known = self.pairs.get(key)
         if known is None:
@@ -68,29 +73,43 @@ class Viterbi:
         out = []
         for at in range(0, len(text), self.check):
             self._extend(text[at : at + self.check])
-            out += self._commit()
+            if len(self.text) >= self.check:
+                out += self._commit()
         return out
 
     def _extend(self, more: str) -> None:
         lat, last, sums, begin = self.lattice, self.last, self.sums, len(self.text)
         self.text = text = self.text + more
-        scores, longest = lat.scores, lat.longest
+        scores, kind, longest, bpe, pairs, follows = lat.scores, lat.tails.get, lat.longest, lat.bpe, lat.pairs, lat.follows
         for end in range(begin + 1, len(text) + 1):
-            best, mark = "", None
-            for start in range(max(0, end - longest), end):
+            start, found, piece = end - 1, [], text[end - 1]
+            stop, is_piece = end - longest if end > longest else 0, kind(piece)
+            while is_piece is not None:
+                if is_piece:
+                    found.append((last[start], piece))
+                start -= 1
+                if start < stop:
+                    break
                 piece = text[start:end]
-                if piece in scores:
-                    if lat.bpe:
-                        if last[start] is not None and lat.follows(last[start], piece):
-                            best, mark = piece, 0.0
-                            break
-                    elif mark is None or sums[start] + scores[piece] > mark:
-                        best, mark = piece, sums[start] + scores[piece]
+                is_piece = kind(piece)
+            if bpe:
+                best = text[end - 1] if not found or found[0][1] != text[end - 1] else None  # a character that is no piece stands for itself
+                for pair in reversed(found):
+                    fits = pairs.get(pair)
+                    if (follows(*pair) if fits is None else fits) and pair[0] is not None:
+                        best = pair[1]
+                        break
+                last.append(best)
+                continue
+            best, mark = None, -np.inf
+            for _, piece in reversed(found):  # longest first: ties go to the longer last piece
+                if sums[end - len(piece)] + scores[piece] > mark:
+                    best, mark = piece, sums[end - len(piece)] + scores[piece]
             char = text[end - 1]
-            if char not in scores and (mark is None or not lat.bpe and sums[end - 1] + lat.unknown > mark):
+            if char not in scores and sums[end - 1] + lat.unknown > mark:
                 best, mark = char, sums[end - 1] + lat.unknown
-            last.append(best if mark is not None else None)
-            sums.append(0.0 if lat.bpe else mark if mark is not None else -np.inf)
+            last.append(best)
+            sums.append(mark)
         self.kept_most = max(self.kept_most, len(text))
 
     def _path(self, end: int) -> list[int]:
@@ -125,10 +144,22 @@ class Viterbi:
         return out
 
 
+class Known(dict):
+    """What is missing is made and kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        found = self[key] = self.make(key)
+        return found
+
+
 class Codec:
     """encode(text) -> ids, decode(ids) -> text, for a model file with byte fallback and no rewriting of characters."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -136,55 +167,65 @@ class Codec:
         plain = [i for i in range(len(self.pieces)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
         self.number = {self.pieces[i]: i for i in plain}
         self.bytes = {int(self.pieces[i][3:-1], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
+        self.is_byte = np.isin(np.arange(len(self.pieces)), list(self.bytes.values()))
         self.byte_of = {i: b for b, i in self.bytes.items()}
         if any(BLANK in p.lstrip(BLANK) for p in self.number) or len(self.bytes) != 256:
             raise ValueError("the model has pieces over word starts, or no byte fallback")
         # merges in a BPE model have scores 0, -1, -2, ...; a unigram model has log probabilities
         scores = {p: sp.get_score(i) for p, i in self.number.items()}
         self.lattice = Lattice(scores, all(float(s).is_integer() for s in scores.values()))
-        self.most, self.known = most, {}
+        self.most, self.known = most, Known(self._word)
+        self.id_bytes = {p: i.to_bytes(4, "little") for p, i in self.number.items()}
+        self.id_bytes_of_byte = {b: i.to_bytes(4, "little") for b, i in self.bytes.items()}
 
     def _word(self, word: str) -> bytes:
-        pass_ = Viterbi(self.lattice)
-        ids: list[int] = []
-        for piece in pass_.feed(word) + pass_.finish():
-            found = self.number.get(piece)
-            ids += [found] if found is not None else [self.bytes[b] for b in piece.encode("utf-8", "replace")]
-        return np.array(ids, dtype="<u4").tobytes()
+        on, ids = Viterbi(self.lattice), self.id_bytes
+        return b"".join([ids[p] if p in ids else b"".join([self.id_bytes_of_byte[x] for x in p.encode("utf-8", "replace")]) for p in on.feed(word) + on.finish()])
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, "<u4")
-        words, known = WORD(BLANK + text.replace(" ", BLANK)), self.known
+        known = self.known
+        if "  " in text or text[0] == " " or text[-1] == " " or BLANK in text:
+            words = WORD(BLANK + text.replace(" ", BLANK))
+        else:
+            words = [BLANK + w for w in text.split(" ")]
         if len(known) > self.most:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self._word(w)
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4")
 
     def decode(self, ids) -> str:
         """The text of ids, without the blank that encoding puts first. A literal U+2581 comes back as a blank, as from the library."""
-        out, held = [], bytearray()
+        ids = np.asarray(ids, dtype=np.int64)
+        has_bytes, out, held, ids = self.is_byte[ids].any(), [], bytearray(), ids.tolist()
+        if not has_bytes:
+            text = "".join(map(self.pieces.__getitem__, ids)).replace(BLANK, " ")
+            return text[1:] if text.startswith(" ") else text
         for i in ids:
-            b = self.byte_of.get(int(i))
+            b = self.byte_of.get(i)
             if b is not None:
                 held.append(b)
                 continue
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held = bytearray()
-            out.append(self.pieces[int(i)])
+            out.append(self.pieces[i])
         out.append(held.decode("utf-8", "replace"))
         text = "".join(out).replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=4)
+def codec_of(path: str) -> Codec:
+    """One codec a worker process: what it has learnt of words serves its later tasks too."""
+    return Codec(path)
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids of every whole text. Null text is empty and has no ids; repeated rows each give a row; null ids pass through; extra columns are not read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [codec.encode(t).astype(np.int32) for t in pdf["text"]]})
 
@@ -195,7 +236,7 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
     """doc_id and text from (doc_id, ids); null ids are no ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": [codec.decode(x if x is not None else []) for x in pdf["ids"]]})
 
@@ -206,12 +247,12 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, same (the decoded text is the text) of every row; encoded and decoded in one pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
                 ids = codec.encode(text)
-                back = codec.decode(ids.tolist())
+                back = codec.decode(ids)
                 out.append((doc_id, len(ids), crc_u32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text))
             yield pd.DataFrame(out, columns=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "same"]).astype({"doc_id": "Int64"})
 
