@@ -23,7 +23,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers that share this machine import the package from where the driver has it."""
+    """Lets Python workers that share this machine import the package from where the driver has it, and keeps their batches small, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = str(Path(__file__).resolve().parents[2])
     seen = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in seen:
