@@ -27,8 +27,11 @@ CJK_CHUNK = "[가-힣一-鿿ぁ-ゟ゠-ヿ]"
 CJK_USAGE = "[ᄀ-ᇿ぀-ヿ㐀-䶿一-鿿가-힯]"
 
 
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def let(value: Column, f) -> Column:

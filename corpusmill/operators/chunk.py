@@ -56,8 +56,9 @@ def chunk_records(docs: DataFrame, size: int = 1000, overlap: int = 150, min_qua
 
     The gate is the document's quality, the stored quality the chunk's. Null text makes no chunk.
     """
-    cleaned = docs.select("url", "title", T.clean(F.col("text"), flatten).alias("cleaned")).where(T.quality_score(F.col("cleaned")) >= min_quality)
-    each = cleaned.select("url", "title", F.posexplode(chunk_text(F.col("cleaned"), size, overlap)).alias("index", "text"))
+    # the outer form: for the inner one Spark adds a filter on the whole expression, which would then run twice
+    gated = T.let(T.clean(F.col("text"), flatten), lambda t: F.when(T.quality_score(t) >= min_quality, chunk_text(t, size, overlap)))
+    each = docs.select("url", "title", F.posexplode_outer(gated).alias("index", "text")).where("index is not null")
     key = F.concat(F.coalesce("url", F.lit("")), F.lit("#"), F.col("index").cast("string"), F.lit(":"), F.left("text", F.lit(64)))
     return each.select(
         F.left(F.sha1(key), F.lit(16)).alias("id"), "text", F.col("index").cast("long").alias("index"), F.col("url").alias("source_url"), "title",

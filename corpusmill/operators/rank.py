@@ -33,7 +33,7 @@ def query_tokens(query: str) -> list[str]:
 
 
 def term_freq(passages: DataFrame, key: str) -> DataFrame:
-    return passages.select(key, F.explode(tokenize(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return passages.select(key, F.explode_outer(tokenize(F.col("text"))).alias("term")).where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -94,7 +94,7 @@ def passages_of(docs: DataFrame) -> DataFrame:
 
 def answer(passages: DataFrame, query: str, group: list[str], order: list[str], top: int = 6, budget: int = 700) -> DataFrame:
     """An extractive answer for each group: its six best prose sentences, without repeats of their first 60 characters, up to the first that goes over the budget."""
-    cut = passages.select(*group, *order, F.posexplode(T.sentences(F.col("text"), lines=True)).alias("spos", "raw"))
+    cut = passages.select(*group, *order, F.posexplode_outer(T.sentences(F.col("text"), lines=True)).alias("spos", "raw")).where("spos is not null and length(raw) >= 30")
     sents = cut.select(*group, *order, "spos", T.strip_md(F.col("raw")).alias("text")).where(F.length("text").between(30, 400) & T.is_prose(F.col("text")))
     by = Window.partitionBy(*group)
     seq = sents.withColumn("seq", F.row_number().over(by.orderBy(*order, "spos")))

@@ -131,7 +131,7 @@ SENTS = f"(SELECT doc_id, unnest({SENT('text')}) AS text, unnest(range(0, len({S
 
 @query(f"SELECT * FROM {SENTS}")
 def sentences(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
+    return docs(spark, d).select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("pos", "text")).where("pos is not null").withColumn("pos", F.col("pos").cast("long"))
 
 
 PROSE = lambda s: f"(length({s}) > 0 AND length({g(s, '[^\\p{L}]', '')})::DOUBLE / length({s}) >= 0.55 AND len({WORDS(s)}) >= 5 AND NOT regexp_matches({s}, '(?:\\b\\d+\\b[ ]){{3,}}') AND length({g(s, '[^\"]', '')}) < 4)"
@@ -172,12 +172,12 @@ STRIPPED = f"(SELECT doc_id, {STRIP('text')} AS t FROM documents)"
 
 @query(f"SELECT doc_id, unnest(pieces) AS piece, unnest(range(0, len(pieces)))::BIGINT AS pos FROM {PIECES(STRIPPED)}")
 def split_long(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(chunk.pieces(F.col("text"))).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
+    return docs(spark, d).select("doc_id", F.posexplode_outer(chunk.pieces(F.col("text"))).alias("pos", "piece")).where("pos is not null").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"SELECT doc_id, unnest(chunks) AS chunk, unnest(range(0, len(chunks)))::BIGINT AS pos FROM {CHUNKS(STRIPPED)}")
 def chunk_text(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(chunk.chunk_text(F.col("text"))).alias("pos", "chunk")).withColumn("pos", F.col("pos").cast("long"))
+    return docs(spark, d).select("doc_id", F.posexplode_outer(chunk.chunk_text(F.col("text"))).alias("pos", "chunk")).where("pos is not null").withColumn("pos", F.col("pos").cast("long"))
 
 
 URL = "'doc://' || doc_id"
@@ -218,7 +218,7 @@ def corpus_manifest(spark, d):
 # Ranking.
 @query(f"SELECT doc_id, unnest(tok) AS token, unnest(range(0, len(tok)))::BIGINT AS pos FROM (SELECT doc_id, {TOK('text')} AS tok FROM documents)")
 def tokenize(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(rank.tokenize(F.col("text"))).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    return docs(spark, d).select("doc_id", F.posexplode_outer(rank.tokenize(F.col("text"))).alias("pos", "token")).where("pos is not null").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({TOK('text')}) AS term FROM documents) GROUP BY ALL")
