@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corpusmill.plans import catalog
+from corpusmill.plans import catalog, models, shop  # noqa: F401 (these add their queries to the catalog)
 
 FOLDER = "/root/testdata/sf0.001"
 
