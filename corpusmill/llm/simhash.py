@@ -140,7 +140,7 @@ def shingle_set(text: str, k: int) -> frozenset[bytes]:
     return frozenset(b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
 
 
-def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 8, bits: int = 36, salts: int = 8) -> DataFrame:
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 12, bits: int = 36, salts: int = 8) -> DataFrame:
     """(u, v), u < v: pairs of ids whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
     Texts that alike differ in more bits than a ball of radius 2 holds, in a long fingerprint of long shingles. So
