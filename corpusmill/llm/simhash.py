@@ -155,7 +155,7 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ta
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "keys": [table_keys(t, tables, bits) for t in pdf["text"]]})
 
-    each = kept(rows.mapInPandas(keys, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key")).distinct(), "keys")
+    each = kept(rows.mapInPandas(keys, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key")), "keys")
     heads = kept(each.groupBy("key").agg(F.min("doc_id").alias("head")), "heads")
     same = each.join(heads, "key").where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v"))
     near = heads.select("head", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(m).cast("long")) for m in masks(2, bits)])).alias("variant"))
