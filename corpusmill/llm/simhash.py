@@ -140,6 +140,21 @@ def shingle_set(text: str, k: int) -> frozenset[bytes]:
     return frozenset(b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
 
 
+def variants(heads: DataFrame, bits: int, top: int = 16) -> DataFrame:
+    """heads (key, head) to (head, part, variant): the ball of radius 1 around each key, dealt by ``part``, its bits above the lower ones.
+
+    A variant that flips a lower bit has its key's part, so the key is shuffled once and those variants are made where it
+    arrives; only those that flip one of the ``top`` bits are shuffled themselves (as their complement, which tells them apart).
+    """
+    low = bits - top
+    flipped = [F.bitwise_not(F.col("key").bitwiseXOR(F.lit(1 << b).cast("long"))) for b in range(low, bits)]
+    part = F.shiftright(F.greatest("base", F.bitwise_not("base")), low)
+    sent = heads.select("head", F.explode(F.array(F.col("key"), *flipped)).alias("base")).repartition(part)
+    own = F.array(F.col("base"), *[F.col("base").bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(low)])
+    made = F.when(F.col("base") >= 0, own).otherwise(F.array(F.bitwise_not("base")))
+    return sent.select("head", part.alias("part"), made.alias("made")).select("head", "part", F.explode_outer("made").alias("variant"))
+
+
 def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 12, bits: int = 36, salts: int = 8) -> DataFrame:
     """(u, v), u < v: pairs of ids whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
@@ -158,8 +173,8 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ta
     each = kept(rows.mapInPandas(keys, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key")), "keys")
     heads = kept(each.groupBy("key").agg(F.min("doc_id").alias("head")), "heads")
     same = each.join(heads, "key").where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v"))
-    near = heads.select("head", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(m).cast("long")) for m in masks(2, bits)])).alias("variant"))
-    other = F.lag("head").over(Window.partitionBy("variant").orderBy("head"))
+    near = variants(heads, bits)
+    other = F.lag("head").over(Window.partitionBy("part", "variant").orderBy("head"))
     met = near.select("head", other.alias("u")).where("u != head").select("u", F.col("head").alias("v"))
     pairs = kept(same.union(met).distinct().withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")), "pairs")
     wanted = pairs.select(F.col("v").alias("doc_id"), "u", "salt").union(pairs.select(F.col("u").alias("doc_id"), "u", "salt").distinct())
