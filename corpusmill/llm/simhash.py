@@ -10,6 +10,7 @@ them. Links are checked by their differing bits, deduplicated, and joined into c
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -116,25 +117,6 @@ def words_of(text: str) -> list[bytes]:
     return WORDS(text.translate(UPPER).encode("utf-8", "surrogatepass"))
 
 
-def table_keys(text: str, tables: int, bits: int, shingle: int = 2) -> list[int]:
-    """A short SimHash for each table, the table's number above its bits. All bits of all tables come from one XXH64 a shingle, mixed anew."""
-    from xxhash import xxh64_intdigest
-
-    words = words_of(text)
-    n = max(1, len(words) - shingle + 1)
-    total, rounds = np.zeros(64 * -(-tables * bits // 64), np.int64), -(-tables * bits // 64)
-    for at in range(0, n, BLOCK):
-        h = np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(at, min(n, at + BLOCK))), np.uint64)
-        for r in range(rounds):
-            x = h + np.uint64(0x9E3779B97F4A7C15 * (r + 1) % 2**64)
-            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            total[64 * r : 64 * r + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    mark = "".join("1" if v else "0" for v in total[: tables * bits] * 2 > n)
-    return [t << bits | int(mark[t * bits : (t + 1) * bits], 2) for t in range(tables)]
-
-
 def shingle_set(text: str, k: int) -> frozenset[bytes]:
     words = words_of(text)
     return frozenset(b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
@@ -155,31 +137,76 @@ def variants(heads: DataFrame, bits: int, top: int = 16) -> DataFrame:
     return sent.select("head", part.alias("part"), made.alias("made")).select("head", "part", F.explode_outer("made").alias("variant"))
 
 
-def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = 12, bits: int = 36, salts: int = 8) -> DataFrame:
-    """(u, v), u < v: pairs of ids whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
+def shingle_hashes(text: str, k: int) -> np.ndarray:
+    """Sorted distinct XXH64 of ``shingle_set``."""
+    from xxhash import xxh64_intdigest
+
+    words = words_of(text)
+    joined, k = b" ".join(words), min(k, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist() if words else [0]
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist() if words else [0])), np.uint64))
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of hashes falls on each of 2**b places, at least as many as there are hashes."""
+    places = 1 << max(8, (len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Two sets with these parities differ in at least so many members; the longer one is folded to the shorter."""
+    places = min(len(a), len(b))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, places), axis=0) for s in (a, b))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def frequent(rows: DataFrame, shingle: int, sample: int = 20_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in their order, and counts of the ``most`` commonest shingles of about ``sample`` texts. They only order shingles, so any answer is right."""
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("frequent")), F.lit(1_000_000)) <= int(1_000_000 * min(1.0, sample / max(1, n))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": np.concatenate([np.zeros(0, np.uint64), *[shingle_hashes(t, shingle) for t in pdf["text"]]]).view(np.int64)})
+
+    counts = some.select("text").mapInPandas(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    got = sorted((r["key"] % 2**64, r["n"]) for r in counts.orderBy(F.desc("n"), "key").limit(most).collect())
+    return np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], np.int64)
+
 
-    Texts that alike differ in more bits than a ball of radius 2 holds, in a long fingerprint of long shingles. So
-    candidates come from ``tables`` short fingerprints of two-word shingles, each searched by ball hashing: rows
-    that share a fingerprint are held against its smallest id, and distinct fingerprints that meet on a variant
-    against their neighbour by id. Every candidate pair is then verified on the whole texts. A text's partners
-    are spread over ``salts`` groups, each with a copy of that text, and each is read as a stream.
+def prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, n, parities, keys): how many shingles a text has, and its rarest ones, at least one of them shared by all texts alike.
+
+    Sets alike share ``similarity`` times the larger one's members, so in any one order of all shingles each has a common one
+    among all but that many, and one. The order is by count in a sample, then by hash.
     """
-    rows = text_rows(docs).where(F.col("doc_id").isNotNull())
+    known, count = frequent(rows, shingle)
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "keys": [table_keys(t, tables, bits) for t in pdf["text"]]})
-
-    each = kept(rows.mapInPandas(keys, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key")), "keys")
-    heads = kept(each.groupBy("key").agg(F.min("doc_id").alias("head")), "heads")
-    same = each.join(heads, "key").where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v"))
-    near = variants(heads, bits)
-    other = F.lag("head").over(Window.partitionBy("part", "variant").orderBy("head"))
-    met = near.select("head", other.alias("u")).where("u != head").select("u", F.col("head").alias("v"))
-    pairs = kept(same.union(met).distinct().withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")), "pairs")
-    wanted = pairs.select(F.col("v").alias("doc_id"), "u", "salt").union(pairs.select(F.col("u").alias("doc_id"), "u", "salt").distinct())
-    whole = rows.groupBy("doc_id").agg(F.min("text").alias("text")) if docs.select("doc_id").distinct().count() < docs.count() else rows
-    texts = wanted.join(whole, "doc_id").repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("doc_id") != F.col("u"), "doc_id")
+            out = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                h = shingle_hashes(text, shingle)
+                rank = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, count[at], 0)
+                most = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
+                out.append((doc_id, len(h), parities(h), h[np.lexsort((h, rank))[:most]].view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "parities", "keys"])
+
+    return rows.mapInPandas(run, "doc_id long, n int, parities binary, keys array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, similarity: float, salts: int) -> DataFrame:
+    """The distinct pairs (u, v) that are alike: those whose parities allow it, held against each other on whole texts."""
+
+    def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            most = (1 - similarity) / (1 + similarity) * (pdf["n"] + pdf["m"]) + 1e-6
+            fits = [least_difference(a, b) <= d for a, b, d in zip(pdf["a"], pdf["b"], most)]
+            yield pdf.loc[np.array(fits, bool), ["u", "v"]]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, own = None, frozenset()
@@ -196,7 +223,49 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, ta
                     out.append((u, doc_id))
             yield pd.DataFrame(out, columns=["u", "v"])
 
-    return texts.select("doc_id", "u", "salt", "text").mapInPandas(verify, "u long, v long")
+    first = sets.select(F.col("doc_id").alias("u"), "n", F.col("parities").alias("a"))
+    second = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("parities").alias("b"))
+    fit = pairs.join(first, "u").join(second, "v").select("u", "v", "n", "m", "a", "b").mapInPandas(allowed, "u long, v long")
+    fit = kept(fit.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")), "pairs")
+    wanted = fit.select(F.col("v").alias("doc_id"), "u", "salt").union(fit.select(F.col("u").alias("doc_id"), "u", "salt").distinct())
+    whole = wanted.join(texts, "doc_id").repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("doc_id") != F.col("u"), "doc_id")
+    return kept(whole.select("doc_id", "u", "salt", "text").mapInPandas(verify, "u long, v long"), "alike")
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, salts: int = 8) -> DataFrame:
+    """(u, v), u < v: pairs of ids whose sets of word shingles have a Jaccard similarity of at least ``similarity``, enough to connect all that have.
+
+    Texts alike share one of their rarest shingles (see ``prefixes``). First each text is held against its neighbour and the
+    smallest id on each of these; what that verifies is joined into components. Then all texts that share one and are of
+    different components are held against each other: only pairs that are connected already are left out. Every pair is
+    verified on whole texts, a text's partners spread over ``salts`` groups.
+    """
+    rows = text_rows(docs).where(F.col("doc_id").isNotNull())
+    texts = rows.groupBy("doc_id").agg(F.min("text").alias("text")) if docs.select("doc_id").distinct().count() < docs.count() else rows
+    sets = kept(prefixes(texts, shingle, similarity), "prefixes")
+    check = lambda pairs: verified(pairs, sets, texts, shingle, similarity, salts)
+    by = Window.partitionBy("key").orderBy("doc_id")
+    row = F.struct("doc_id", "n", "place").alias("row")
+    each = sets.select("doc_id", "n", F.posexplode("keys").alias("place", "key")).select("key", "doc_id", row)
+    met = each.select("key", "row", F.lag("row").over(by).alias("last"), F.lead("doc_id").over(by).alias("next"), F.first("row").over(by).alias("head"))
+    met = kept(met.where("last is not null or next is not null"), "met")
+
+    def fits(a: str, b: str):
+        """Sizes and places allow it: of sets alike, what is left of each from their first common shingle on holds all they share."""
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        left = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
+        return (left >= similarity / (1 + similarity) * (n + m) - 1e-6) & (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6)
+
+    near = [met.where(F.col(f"{o}.doc_id") < F.col("row.doc_id")).where(fits(o, "row")).select(F.col(f"{o}.doc_id").alias("u"), F.col("row.doc_id").alias("v")) for o in ("last", "head")]
+    first = check(kept(near[0].union(near[1]).distinct(), "near"))
+    joined = components(first)
+    own = met.select("key", "row", F.col("row.doc_id").alias("node")).join(joined, "node", "left").select("key", "row", F.coalesce("component", "node").alias("group"))
+    on = Window.partitionBy("key")
+    open_ = own.select("key", "row", "group", F.min("group").over(on).alias("least"), F.max("group").over(on).alias("most")).where("least < most").select("key", "row", "group")
+    open_ = kept(open_, "open")
+    a, b = (open_.select("key", F.col("row").alias(x), F.col("group").alias(f"{x}_group")) for x in ("a", "b"))
+    rest = a.join(b, "key").where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a_group") != F.col("b_group")) & fits("a", "b"))
+    return first.union(check(kept(rest.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "rest")))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
