@@ -1,9 +1,10 @@
 """Secret scans: rule spans, and a character convolutional network over every candidate and its context.
 
-Candidates are the rule matches and every long run of token characters. The network sees the candidate's
-characters and those around it. It is trained on labelled findings: rule matches and plain tokens of a bounded
+Candidates are the rule matches and every long run of token characters, or what rule matches leave of it. The network sees
+windows over the candidate's whole length and the characters around them. It is trained on labelled findings: rule matches and plain tokens of a bounded
 sample of documents, and findings of common secret formats and of harmless look-alikes written by a seeded generator. On
-findings kept from training its output is calibrated, and each threshold is the highest that keeps the wanted recall.
+findings kept from training its output is calibrated, and the threshold is the highest that keeps the wanted recall, whatever
+precision that leaves.
 Rule spans always stay; the network adds spans of kind ``model`` where no rule matched.
 """
 
@@ -33,6 +34,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-:\"' \n,;(){}<>@#$%&*!?|"
 BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH, CODES = BEFORE + INSIDE + AFTER, len(ALPHABET) + 2
+SHORTEST, STRIDE = 16, 12
 F32 = np.float32
 
 
@@ -53,6 +55,27 @@ def mixed(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and max(map(s.count, set(s))) * 2 <= len(s)
 
 
+def stretch(text: str, start: int, end: int, low: int, high: int) -> tuple[int, int]:
+    """The span widened, within low and high, to where its first and last words end."""
+    while start > low and text[start - 1] not in "/+=":
+        start -= 1
+    while end < high and text[end] not in "/+=":
+        end += 1
+    return start, end
+
+
+def outside(start: int, end: int, rules: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What of the span no rule span covers."""
+    parts = []
+    for _, a, b in rules:
+        if b <= start or a >= end:
+            continue
+        if a > start:
+            parts.append((start, a))
+        start = b
+    return [*parts, (start, end)] if start < end else parts
+
+
 def candidates(text: str, rules: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Runs of token characters that no rule span touches."""
     found, k = [], 0
@@ -67,12 +90,18 @@ def candidates(text: str, rules: list[tuple[str, int, int]]) -> list[tuple[int,
     return found
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping windows over the whole span that the network can see whole."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(a, a + INSIDE) for a in [*range(start, end - INSIDE, STRIDE), end - INSIDE]]
+
+
 def codes(text: str, start: int, end: int) -> np.ndarray:
-    """Character codes of context, candidate and context; a longer candidate is shown by its two halves' ends."""
+    """Character codes of context, candidate and context; longer candidates come as ``windows``."""
     number = NUMBER
-    before = text[max(0, start - BEFORE) : start]
-    inside = text[start:end] if end - start <= INSIDE else text[start : start + INSIDE // 2] + text[end - INSIDE // 2 : end]
-    line = before.rjust(BEFORE, "\0") + inside.ljust(INSIDE, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
+    end = min(end, start + INSIDE)
+    line = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start:end].ljust(INSIDE, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
     return np.fromiter((number.get(c, 1) for c in line), np.int64, LENGTH)
 
 
@@ -149,6 +178,27 @@ def written_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def written_runs(n: int, seed: int = 12) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label) of windows of long paths and settings, half of them with a written secret within."""
+    rng, found = np.random.default_rng(seed), written_findings(2 * n, seed)
+    body = [[t[a:b] for t, a, b, y in found if y == label and b - a <= 64] for label in (0, 1)]
+    some = lambda label: body[label][int(rng.integers(len(body[label])))]
+    out = []
+    for k in range(n):
+        sep = "/=-_"[int(rng.choice(4, p=[0.6, 0.2, 0.1, 0.1]))]
+        parts = [some(0) for _ in range(int(rng.integers(3, 6)))]
+        at = int(rng.integers(1, len(parts)))
+        if k % 2:
+            parts[at] = some(1)
+        text = sep + sep.join(parts)
+        a = len(sep.join(["", *parts[:at]])) + 1
+        b = a + len(parts[at])
+        seen = [(x, y) for x, y in windows(0, len(text)) if not k % 2 or min(y, b) - max(x, a) >= min(b - a, 32)]
+        x, y = seen[int(rng.integers(len(seen)))]
+        out.append(("see " + text + " end", x + 4, y + 4, k % 2))
+    return out
+
+
 def sample_findings(docs: DataFrame, most: int = 4000) -> list[tuple[str, int, int, int]]:
     """Labelled findings of at most ``most`` documents with the smallest id hashes: rule matches are secrets, words run together none."""
     rows = text_rows(docs)
@@ -168,7 +218,8 @@ def sample_findings(docs: DataFrame, most: int = 4000) -> list[tuple[str, int, i
 
 
 def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98, precision: float = 0.9, epochs: int = 6, seed: int = 5) -> Network:
-    """Adam on four fifths; the rest calibrates and sets the threshold: the highest with the wanted recall, raised if precision asks for it."""
+    """Adam on four fifths; the rest calibrates and sets the threshold: the highest that keeps the wanted recall there."""
+    findings = [(t, x, y, label) for t, a, b, label in findings for x, y in windows(a, b)]
     net, rng = Network(seed=seed), np.random.default_rng(seed)
     x = np.stack([codes(t, a, b) for t, a, b, _ in findings])
     y = np.array([f[3] for f in findings], F32)
@@ -199,7 +250,7 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98, preci
 
 
 def fit(docs: DataFrame, most: int = 4000, written: int = 4000) -> Network:
-    return train(written_findings(written) + sample_findings(docs, most))
+    return train(written_findings(written) + written_runs(written) + sample_findings(docs, most))
 
 
 def joined(found: list[tuple[str, int, int]]) -> str:
@@ -207,16 +258,25 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def find(texts: list[str], net: Network) -> tuple[list[list], list[list]]:
-    """Rule spans, and all spans, of each text; every candidate and rule span goes through the network."""
+    """Rule spans, and all spans, of each text. Every candidate and rule span goes through the network, in windows over its whole
+    length; rule spans stay whatever their score, and of candidates the windows that reach the threshold, up to the ends of their words."""
     rules = [rule_spans(t) for t in texts]
-    extra = [candidates(t, r) for t, r in zip(texts, rules)]
-    x = [codes(t, a, b) for t, e in zip(texts, extra) for a, b in e]
-    score, at, found = net.scores(np.stack(x)) if x else [], 0, []
-    for r, e in zip(rules, extra):
-        more = [("model", *s) for s, p in zip(e, score[at : at + len(e)]) if p >= net.threshold]
-        at += len(e)
-        found.append(sorted(r + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
-    return rules, found
+    seen = []
+    for k, (t, r) in enumerate(zip(texts, rules)):
+        seen += [(k, None, w) for _, a, b in r for w in windows(a, b)]
+        seen += [(k, c, w) for c in candidates(t, r) for w in windows(*c) if mixed(t[w[0] : w[1]])]
+    score, more = [], [[] for _ in texts]
+    for i in range(0, len(seen), 4096):  # a long text has many windows
+        score += net.scores(np.stack([codes(texts[k], *w) for k, _, w in seen[i : i + 4096]])).tolist()
+    for (k, c, w), p in zip(seen, score):
+        if c is None or p < net.threshold:
+            continue
+        for a, b in outside(*stretch(texts[k], *w, *c), rules[k]):
+            if more[k] and a <= more[k][-1][2]:  # windows overlap
+                more[k][-1] = ("model", more[k][-1][1], max(b, more[k][-1][2]))
+            else:
+                more[k].append(("model", a, b))
+    return rules, [sorted(r + m, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) for r, m in zip(rules, more)]
 
 
 def scan(docs: DataFrame, net: Network) -> DataFrame:

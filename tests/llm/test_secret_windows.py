@@ -1,0 +1,24 @@
+"""Secrets within long runs, beside rule matches, and the threshold's recall."""
+
+import numpy as np
+import pytest
+
+from corpusmill.llm import secrets
+
+GHP = "ghp_a8Kd93jfKs02mCn48dhQw61pLzXv7Rty5Bn0"
+KEY = "wJalrXUtnFEMIbK7MDENGabPxRfiCY4EXAMPLEK3yQ"
+
+
+@pytest.fixture(scope="module")
+def net():
+    return secrets.train(secrets.written_findings(4000) + secrets.written_runs(4000))
+
+
+def test_token_within_a_long_run(net):
+    for text in (f"see /v1/release/archive/documents/{GHP}/latest/summary/name-2024 end", f"x {'/some/folder' * 40}/{GHP}{'/other/2019' * 40} y"):
+        assert GHP not in secrets.mask(text, secrets.find([text], net)[1][0]) and GHP[8:32] not in secrets.mask(text, secrets.find([text], net)[1][0])
+
+
+def test_windows_cover_the_whole():
+    for n in (16, 48, 49, 60, 1000):
+        assert set().union(*(range(a, b) for a, b in secrets.windows(5, 5 + n))) == set(range(5, 5 + n))
