@@ -77,17 +77,29 @@ def outside(start: int, end: int, rules: list[tuple[str, int, int]]) -> list[tup
 
 
 def candidates(text: str, rules: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of token characters that no rule span touches."""
-    found, k = [], 0
+    """Spans to score: runs of token characters, or their long parts outside rule spans, and words that a rule span covers a part of."""
+    found, k = set(), 0
+    upto = [0]  # the furthest end of the rule spans so far
+    for _, _, b in rules:
+        upto.append(max(upto[-1], b))
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not mixed(m[0]):
-            continue
-        while k < len(rules) and rules[k][2] <= a:
+        while k < len(rules) and upto[k + 1] <= a:
             k += 1
-        if not any(s < b and e > a for _, s, e in rules[max(0, k - 8) : k + 8]):
-            found.append((a, b))
-    return found
+        near = []
+        for i in range(k, len(rules)):
+            if rules[i][1] >= b:
+                break
+            if rules[i][2] > a:
+                near.append(rules[i])
+        for x, y in outside(a, b, near):
+            if y - x >= SHORTEST:
+                found.add((x, y))
+            elif y in {s[1] for s in near} or x in {s[2] for s in near}:  # a short rest counts as part of its word
+                word = stretch(text, y - 1 if y < b else x, y if y < b else x + 1, a, b)
+                if word[1] - word[0] >= SHORTEST:
+                    found.add(word)
+    return sorted(found)
 
 
 def windows(start: int, end: int) -> list[tuple[int, int]]:
