@@ -229,7 +229,7 @@ def sample_findings(docs: DataFrame, most: int = 4000) -> list[tuple[str, int, i
     return sorted((r["text"], r["a"], r["b"], r["y"]) for r in got)
 
 
-def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98, precision: float = 0.9, epochs: int = 6, seed: int = 5) -> Network:
+def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98, epochs: int = 6, seed: int = 5) -> Network:
     """Adam on four fifths; the rest calibrates and sets the threshold: the highest that keeps the wanted recall there."""
     findings = [(t, x, y, label) for t, a, b, label in findings for x, y in windows(a, b)]
     net, rng = Network(seed=seed), np.random.default_rng(seed)
@@ -253,11 +253,7 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98, preci
     z = np.concatenate([net.forward(x[kept_out[i : i + 1024]])[0] for i in range(0, len(kept_out), 1024)])
     net.slope, net.shift = platt(z, y[kept_out])
     score, truth = net.scores(x[kept_out]), y[kept_out] > 0
-    limit = float(np.quantile(score[truth], 1 - recall)) if truth.any() else 0.5
-    for t in sorted({limit, 0.5, 0.8, 0.9, 0.95}):
-        net.threshold = t
-        if t >= limit and (score >= t).any() and truth[score >= t].mean() >= precision:
-            break
+    net.threshold = float(np.quantile(score[truth], 1 - recall, method="lower")) if truth.any() else 0.5
     return net
 
 

@@ -28,3 +28,14 @@ def test_rest_beside_a_rule_match(net):
 def test_windows_cover_the_whole():
     for n in (16, 48, 49, 60, 1000):
         assert set().union(*(range(a, b) for a, b in secrets.windows(5, 5 + n))) == set(range(5, 5 + n))
+
+
+def test_threshold_keeps_the_recall_where_look_alikes_overlap():
+    rng = np.random.default_rng(1)
+    same = secrets.written_findings(3000)
+    findings = [(t, a, b, int(y if rng.random() > 0.3 else 1 - y)) for t, a, b, y in same if b - a <= secrets.INSIDE]
+    net = secrets.train(findings, epochs=3)
+    fold = np.random.default_rng(5).permutation(len(findings)) % 5
+    held = [f for f, k in zip(findings, fold) if k == 0]
+    score = net.scores(np.stack([secrets.codes(t, a, b) for t, a, b, _ in held]))
+    assert np.mean(score[np.array([y for *_, y in held]) > 0] >= net.threshold) >= 0.98
