@@ -449,6 +449,14 @@ def crawl_bfs(spark, d):
     return crawl.crawl_bfs(spark.range(1).select(F.lit("c1").alias("node")), links, 3)
 
 
+@query()
+def crawl_bfs_whole(spark, d):
+    """Over the links of all orders."""
+    c = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    links = table(spark, d, "orders").select(c(F.col("o_custkey")).alias("src"), c((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("dst")).distinct()
+    return crawl.crawl_bfs(spark.range(1).select(F.lit("c1").alias("node")), links, 3)
+
+
 # Prices.
 @query("SELECT p_partkey, CASE WHEN floor(p_retailprice) >= 100 THEN floor(p_retailprice)::BIGINT END AS won FROM part")
 def as_won(spark, d):
