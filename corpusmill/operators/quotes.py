@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import prices as P
 from corpusmill.functions import urls as U
 from corpusmill.operators import keep
+from corpusmill.operators.crawl import shared_dir
 
 NO_RESULTS = "no results — the site's search page returned nothing to a static fetch"
 
@@ -88,3 +91,15 @@ def summary(found: DataFrame, sites: DataFrame) -> DataFrame:
         F.min_by("url", F.struct("price", "__pos", "rank")).alias("cheapest_url"),
     )
     return agg.where("count > 0")
+
+
+def places(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with their ``place`` from 1 in ``order``, which tells all rows apart: a range sort, and the number of rows before each part."""
+    path = f"{shared_dir(rows.sparkSession)}/places-{uuid.uuid4().hex}"
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    sorted_.write.parquet(path)
+    kept = rows.sparkSession.read.schema(sorted_.schema).parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    counts = kept.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    at = F.col("__at") - F.shiftleft("__part", 33)
+    return kept.join(F.broadcast(before), "__part").select(*rows.columns, (F.col("__before") + at + 1).alias("place"))

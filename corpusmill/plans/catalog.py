@@ -11,7 +11,7 @@ from corpusmill.functions import html as H
 from corpusmill.functions import prices as P
 from corpusmill.functions import text as T
 from corpusmill.functions import urls as U
-from corpusmill.operators import chat, chunk, crawl, keep, policy, rank, usage
+from corpusmill.operators import chat, chunk, crawl, keep, policy, quotes, rank, usage
 from corpusmill.sources.tables import table
 from corpusmill.streaming import ledger
 
@@ -527,6 +527,13 @@ def quotes_sorted(spark, d):
     return top.select("p_partkey", F.row_number().over(Window.orderBy("p", "p_partkey")).alias("place"))
 
 
+@query()
+def quotes_sorted_whole(spark, d):
+    """The place of every quote."""
+    price = F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice"))
+    return quotes.places(table(spark, d, "part").select("p_partkey", F.coalesce(price, F.lit(0.0)).alias("p")), "p", "p_partkey").select("p_partkey", F.col("place").cast("int").alias("place"))
+
+
 @query("SELECT p_brand AS site, reason, n FROM (SELECT p_brand, p_type AS reason, count(*)::BIGINT AS n, min(p_partkey) AS first FROM part GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, first) = 1")
 def miss_reason_mode(spark, d):
     counts = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))

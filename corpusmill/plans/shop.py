@@ -183,6 +183,12 @@ def search_failures(spark, d):
     return search.failures(_responses(spark, d)).where("provider = 'brave'").select("query", "error")
 
 
+@query()
+def search_failures_whole(spark, d):
+    """Of all services."""
+    return search.failures(_responses(spark, d))
+
+
 @query("SELECT s_name AS query, 1 AS rank, 'searxng' AS provider, 'https://u' || s_suppkey || '.com/a' AS url FROM supplier WHERE s_suppkey % 7 <> 3")
 def web_search(spark, d):
     order = search.provider_order(spark, ["searxng", "brave"], ["brave"])
