@@ -1,9 +1,11 @@
 """Best-fit packing: online best-fit over a fixed number of open bins, held in a bitset keyed by free space.
 
 Documents are tokenised and cut where they stand; only (doc_id, piece, start, length, crc) moves. Each task packs
-the pieces that a hash of their keys deals to it, longest first, so a lost task packs the same again. The bitset
-has a bit for every amount of free space that some open bin has; the best bin is the lowest bit at or above the
-piece's length. When a new bin is needed and all are open, the fullest closes. State is ``open_bins`` small entries.
+the pieces that a hash of their keys deals to it, in the order of that hash, so a lost task packs the same again.
+Blocks of ``look`` pieces are placed longest first each: lengths stay mixed over the task, however many pieces it has,
+so no bin closes before short pieces come. The bitset has a bit for every amount of free space that some open bin has;
+the best bin is the lowest bit at or above the piece's length. When a new bin is needed and all are open, the fullest
+closes. State is ``open_bins`` small entries and one block.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusmill.llm.common import crc_u32, text_rows
 
@@ -73,22 +76,41 @@ def cut(docs: DataFrame, make: Callable, most: int = 2048, end_id: int = 0, with
     return text_rows(docs).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 4096) -> DataFrame:
-    """pieces (any columns, with doc_id, piece, length) with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 4096, look: int = 4096) -> DataFrame:
+    """pieces (any columns, with doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Lengths must be 1 to ``capacity``. Repeated rows are separate pieces. Sequence numbers are unique, not dense.
+    Other columns come through, but for those named ``sequence_id``, ``offset`` and ``__dealt``, which this replaces. An empty table gives no rows.
     """
-    kinds = pieces.schema.simpleString()[7:-1].split(",")
-    schema = ", ".join(f"`{k.split(':', 1)[0]}` {k.split(':', 1)[1]}" for k in kinds) + ", sequence_id long, offset long"
+    pieces = pieces.drop("sequence_id", "offset", "__dealt")
+    schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for pdf in batches:
-            at = [bins.place(int(n)) for n in pdf["length"]]
-            yield pdf.assign(sequence_id=[base + b for b, _ in at], offset=[o for _, o in at])
-
-    dealt = pieces.repartition(F.xxhash64("doc_id", "piece", "start", "ids_crc32"))
-    return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").mapInPandas(run, schema)
+        for block in blocks(batches, look):
+            lengths = block["length"].to_numpy(np.int64)
+            places = np.empty((len(lengths), 2), np.int64)
+            for i in np.argsort(-lengths, kind="stable").tolist():
+                places[i] = bins.place(int(lengths[i]))
+            yield block.drop(columns="__dealt").assign(sequence_id=base + places[:, 0], offset=places[:, 1])
+
+    dealt = pieces.withColumn("__dealt", F.xxhash64("doc_id", "piece", "start", "ids_crc32")).repartition("__dealt")
+    return dealt.sortWithinPartitions("__dealt", "doc_id", "piece", "start", "ids_crc32").mapInPandas(run, schema)
+
+
+def blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The rows of all batches in order, ``size`` at a time; the last block may be shorter."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for pdf in batches:
+        while n + len(pdf) >= size:
+            yield pd.concat([*held, pdf.iloc[: size - n]], ignore_index=True)
+            pdf, held, n = pdf.iloc[size - n :], [], 0
+        if len(pdf):
+            held.append(pdf)
+            n += len(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def pack_documents(docs: DataFrame, make: Callable, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096) -> DataFrame:
@@ -101,6 +123,9 @@ def pack_documents(docs: DataFrame, make: Callable, capacity: int = 2048, end_id
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids) from packed pieces that carry ids; at most ``capacity`` ids meet in a row."""
+    """(sequence_id, ids) from packed pieces that carry ids; at most ``capacity`` ids meet in a row.
+
+    Pieces without ids (null) add none, repeated rows have places of their own, other columns are not read, and an empty table gives no rows.
+    """
     inside = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(F.flatten(F.transform(inside, lambda x: x["ids"])).alias("ids"))
