@@ -1,10 +1,11 @@
 """Secret scans: rule spans, and a character convolutional network over every candidate and its context.
 
-Candidates are the rule matches and every long run of token characters, or what rule matches leave of it. The network sees
-windows over the candidate's whole length and the characters around them. It is trained on labelled findings: rule matches and plain tokens of a bounded
-sample of documents, and findings of common secret formats and of harmless look-alikes written by a seeded generator. On
-findings kept from training its output is calibrated, and the threshold is the highest that keeps the wanted recall, whatever
-precision that leaves.
+Candidates are the rule matches and every long run of token characters, whatever it is made of, or what rule matches leave of
+it. The network scores windows over the candidate's whole length with the characters around them. It is trained on labelled
+findings: windows of such candidates from a bounded sample of documents (rule matches are secrets; runs of words, short numbers
+and long digit strings are not; runs of other kinds have no label and teach nothing), and findings of common secret formats and of harmless
+look-alikes written by a seeded generator. On findings kept from training its output is calibrated, and the threshold never
+exceeds the highest that keeps the wanted recall, whatever precision that leaves.
 Rule spans always stay; the network adds spans of kind ``model`` where no rule matched.
 """
 
@@ -30,7 +31,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "model")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{15,}[A-Za-z0-9+/_=-]")
+#: A word, a word with a short number, or digits alone; runs of nothing else are known to be harmless.
+PLAIN_PARTS = re.compile(r"(?:[+/_.=-]*(?:[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+))+[+/_.=-]*|[+/_.=-]+").fullmatch
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-:\"' \n,;(){}<>@#$%&*!?|"
 BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH, CODES = BEFORE + INSIDE + AFTER, len(ALPHABET) + 2
@@ -50,11 +53,6 @@ def rule_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def mixed(s: str) -> bool:
-    """Letters and digits together, and no character for over half of it."""
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and max(map(s.count, set(s))) * 2 <= len(s)
-
-
 def stretch(text: str, start: int, end: int, low: int, high: int) -> tuple[int, int]:
     """The span widened, within low and high, to where its first and last words end."""
     while start > low and text[start - 1] not in "/+=":
@@ -111,9 +109,17 @@ def windows(start: int, end: int) -> list[tuple[int, int]]:
 
 def codes(text: str, start: int, end: int) -> np.ndarray:
     """Character codes of context, candidate and context; longer candidates come as ``windows``."""
-    number = NUMBER
+    return coded(line_of(text, start, end))
+
+
+def line_of(text: str, start: int, end: int) -> str:
+    """A window with its context, padded to LENGTH."""
     end = min(end, start + INSIDE)
-    line = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start:end].ljust(INSIDE, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
+    return text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start:end].ljust(INSIDE, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
+
+
+def coded(line: str) -> np.ndarray:
+    number = NUMBER
     return np.fromiter((number.get(c, 1) for c in line), np.int64, LENGTH)
 
 
@@ -175,10 +181,11 @@ def written_findings(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
     rng = np.random.default_rng(seed)
     pick = lambda s, k: "".join(rng.choice(list(s), int(k)))
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    one = lambda *x: x[int(rng.integers(len(x)))]
     say = lambda k: " ".join(pick("aeinorstdhlu", rng.integers(2, 9)) for _ in range(k))
     name = lambda: pick("aeinorstdhlu", rng.integers(3, 9))
-    yes = [lambda: "ghp_" + pick(low + up + dig, 36), lambda: "xoxb-" + pick(dig, 11) + "-" + pick(low + up + dig, 24), lambda: "sk-" + pick(low + up + dig, rng.integers(32, 48)), lambda: "AIza" + pick(low + up + dig + "-_", 35), lambda: "eyJ" + pick(low + up + dig + "-_", rng.integers(30, 90)), lambda: pick(low + up + dig + "+/", rng.integers(28, 64)) + "=" * int(rng.integers(0, 3)), lambda: pick(up + dig, rng.integers(20, 32)), lambda: "AKIA" + pick(up + dig, 16), lambda: pick("0123456789abcdef", rng.integers(24, 65))]
-    no = [lambda: "-".join(name() for _ in range(int(rng.integers(3, 7)))) + "-" + pick(dig, 2), lambda: "/".join([name(), name(), pick(dig, 4), pick(dig, 2), name()]), lambda: name() + "_" + name() + "_" + name() + pick(dig, 1), lambda: pick(dig, 4) + "-" + pick(dig, 2) + "-" + pick(dig, 2) + "T" + pick(dig, 6), lambda: name() + name() + name() + pick(dig, rng.integers(1, 4)), lambda: "+" + pick(dig, 11) + "x" + pick(dig, 5), lambda: "=" * 9 + name() + pick(dig, 2) + "=" * 9, lambda: name().upper() + "-" + pick(dig, 4) + "-" + pick(dig, 4) + "-" + pick(dig, 4)]
+    yes = [lambda: "ghp_" + pick(low + up + dig, 36), lambda: "xoxb-" + pick(dig, 11) + "-" + pick(low + up + dig, 24), lambda: "sk-" + pick(low + up + dig, rng.integers(32, 48)), lambda: "AIza" + pick(low + up + dig + "-_", 35), lambda: "eyJ" + pick(low + up + dig + "-_", rng.integers(30, 90)), lambda: ".".join(["eyJ" + pick(low + up + dig, rng.integers(12, 30)), "eyJ" + pick(low + up + dig + "-_", rng.integers(20, 60)), pick(low + up + dig + "-_", 43)]), lambda: pick(low + up + dig + "+/", rng.integers(28, 64)) + "=" * int(rng.integers(0, 3)), lambda: pick(up + dig, rng.integers(20, 32)), lambda: "AKIA" + pick(up + dig, 16), lambda: pick("0123456789abcdef", rng.integers(24, 65))]
+    no = [lambda: "-".join(name() for _ in range(int(rng.integers(3, 7)))) + "-" + pick(dig, 2), lambda: "/".join([name(), name(), pick(dig, 4), pick(dig, 2), name()]), lambda: name() + "_" + name() + "_" + name() + pick(dig, 1), lambda: pick(dig, 4) + "-" + pick(dig, 2) + "-" + pick(dig, 2) + "T" + pick(dig, 6), lambda: name() + name() + name() + pick(dig, rng.integers(1, 4)), lambda: "+" + pick(dig, 11) + "x" + pick(dig, 5), lambda: "=" * 9 + name() + pick(dig, 2) + "=" * 9, lambda: name().upper() + "-" + pick(dig, 4) + "-" + pick(dig, 4) + "-" + pick(dig, 4), lambda: pick(dig, rng.integers(16, 20)), lambda: name() + name() + name() + name(), lambda: (name() + name() + name()).capitalize() + "." + name().capitalize(), lambda: ".".join([name() + pick(dig, rng.integers(0, 3)) for _ in range(int(rng.integers(3, 6)))]), lambda: one("-", "=", "_", ".") * int(rng.integers(16, 60)), lambda: (name() + name() + name() + name()).upper()]
     near = ["key ", "auth: ", "Bearer ", "credential ", "export KEY=", "login ", "", ""]
     far = ["see ", "url ", "file ", "ref ", "order ", "", "", ""]
     out = []
@@ -211,30 +218,34 @@ def written_runs(n: int, seed: int = 12) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def sample_findings(docs: DataFrame, most: int = 4000) -> list[tuple[str, int, int, int]]:
-    """Labelled findings of at most ``most`` documents with the smallest id hashes: rule matches are secrets, words run together none."""
+def labelled_lines(text: str) -> list[tuple[str, int]]:
+    """(window with context, label) of the rule matches (1) and the harmless candidates (0) of a text; other candidates have no label."""
+    rules = rule_spans(text)
+    found = [(a, b, 1) for _, a, b in rules] + [(a, b, 0) for a, b in candidates(text, rules) if PLAIN_PARTS(text, a, b)]
+    return [(line_of(text, x, y), label) for a, b, label in found for x, y in windows(a, b)]
+
+
+def sample_findings(docs: DataFrame, most: int = 4000, most_lines: int = 12_000) -> list[tuple[str, int]]:
+    """``labelled_lines`` of about ``most`` documents, picked by a hash of their ids; of more than ``most_lines`` those with the smallest hashes."""
     rows = text_rows(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                found = [(a, b, 1) for _, a, b in rule_spans(text)] + [(m.start(), m.end(), 0) for m in list(re.finditer(r"[A-Za-z_/.-]{16,}", text))[:2]]
-                out += [(text[max(0, a - BEFORE) : min(b, a + 400) + AFTER], min(a, BEFORE), min(a, BEFORE) + min(b - a, 400), y) for a, b, y in found[:4]]
-            yield pd.DataFrame(out, columns=["text", "a", "b", "y"])
+            out = [x for t in pdf["text"] for x in labelled_lines(t)]
+            yield pd.DataFrame({"line": [x.replace("\0", "\x01") for x, _ in out], "y": [y for _, y in out]}).astype({"y": "int32"})
 
     n = rows.count()
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1_000_000)) <= int(1_000_000 * min(1.0, most / max(1, n))))
-    got = some.mapInPandas(run, "text string, a int, b int, y int").collect()  # four short findings a document at most
-    return sorted((r["text"], r["a"], r["b"], r["y"]) for r in got)
+    got = some.mapInPandas(run, "line string, y int").distinct().orderBy(F.xxhash64("line"), "line", "y").limit(most_lines).collect()  # lines of LENGTH characters
+    return sorted((r["line"].replace("\x01", "\0"), r["y"]) for r in got)
 
 
-def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98, epochs: int = 6, seed: int = 5) -> Network:
-    """Adam on four fifths; the rest calibrates and sets the threshold: the highest that keeps the wanted recall there."""
-    findings = [(t, x, y, label) for t, a, b, label in findings for x, y in windows(a, b)]
+def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98, epochs: int = 6, seed: int = 5, lines: list[tuple[str, int]] = ()) -> Network:
+    """Adam on four fifths of the findings' windows and the lines; the rest calibrates and sets the threshold: the highest that keeps the wanted recall there."""
+    findings = [(line_of(t, x, y), label) for t, a, b, label in findings for x, y in windows(a, b)] + list(lines)
     net, rng = Network(seed=seed), np.random.default_rng(seed)
-    x = np.stack([codes(t, a, b) for t, a, b, _ in findings])
-    y = np.array([f[3] for f in findings], F32)
+    x = np.stack([coded(line) for line, _ in findings])
+    y = np.array([label for _, label in findings], F32)
     fold = rng.permutation(len(y)) % 5
     learn, kept_out = np.flatnonzero(fold > 0), np.flatnonzero(fold == 0)
     moment, n = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}, 0
@@ -253,12 +264,25 @@ def train(findings: list[tuple[str, int, int, int]], recall: float = 0.98, epoch
     z = np.concatenate([net.forward(x[kept_out[i : i + 1024]])[0] for i in range(0, len(kept_out), 1024)])
     net.slope, net.shift = platt(z, y[kept_out])
     score, truth = net.scores(x[kept_out]), y[kept_out] > 0
-    net.threshold = float(np.quantile(score[truth], 1 - recall, method="lower")) if truth.any() else 0.5
+    net.threshold = threshold(score[truth], score[~truth], recall)
     return net
 
 
+def threshold(secret: np.ndarray, harmless: np.ndarray, recall: float) -> float:
+    """At most the score that the wanted share of the secrets reaches; where nearly all harmless findings stay below that, halfway between (in logits), which only adds recall."""
+    if not len(secret):
+        return 0.5
+    limit = float(np.quantile(secret, 1 - recall, method="lower"))
+    clear = float(np.quantile(harmless, 0.998, method="higher")) if len(harmless) else 0.5
+    if clear >= limit:
+        return limit
+    a, b = np.log(np.clip([clear, limit], 1e-9, 1 - 1e-9) / (1 - np.clip([clear, limit], 1e-9, 1 - 1e-9)))
+    return float(1 / (1 + np.exp(-(a + b) / 2)))
+
+
 def fit(docs: DataFrame, most: int = 4000, written: int = 4000) -> Network:
-    return train(written_findings(written) + written_runs(written) + sample_findings(docs, most))
+    """The network, from about ``most`` documents and two sets of ``written`` findings; a table without candidates leaves the written ones."""
+    return train(written_findings(written) + written_runs(written), lines=sample_findings(docs, most))
 
 
 def joined(found: list[tuple[str, int, int]]) -> str:
@@ -272,7 +296,7 @@ def find(texts: list[str], net: Network) -> tuple[list[list], list[list]]:
     seen = []
     for k, (t, r) in enumerate(zip(texts, rules)):
         seen += [(k, None, w) for _, a, b in r for w in windows(a, b)]
-        seen += [(k, c, w) for c in candidates(t, r) for w in windows(*c) if mixed(t[w[0] : w[1]])]
+        seen += [(k, c, w) for c in candidates(t, r) for w in windows(*c)]
     score, more = [], [[] for _ in texts]
     for i in range(0, len(seen), 4096):  # a long text has many windows
         score += net.scores(np.stack([codes(texts[k], *w) for k, _, w in seen[i : i + 4096]])).tolist()
