@@ -18,13 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meter output picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+#: Elements that begin and end a block. All others (phrasing, fallback content, mathematics, drawings, custom elements) run within one, so their text stays in its place.
+BLOCK = frozenset("address article aside base blockquote body button caption center col colgroup dd details dialog dir div dl dt embed fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html input label legend li link main menu meta nav ol optgroup option p param pre search section select summary table tbody td textarea tfoot th thead title tr track ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|svg|textarea|iframe|object|math|canvas|audio|video"
+#: Elements whose content is code or never parsed; as in browsers, an unclosed one lasts to the end of the page.
+RAW = "script|style|iframe|noembed|noframes"
 #: An opening tag of the key's kind ends an open element of the kinds beside it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 BARS = frozenset("ul ol dl table body article section div form nav".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PIECES = re.compile(r"[a-z]+").findall
 HINTS = {
@@ -83,7 +85,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if not name:
             continue
         tag, closing = name.lower(), (m[2] or m[5]) == "/"
-        if tag in INLINE:
+        if tag not in BLOCK:
             if tag == "a":
                 link_depth = 0 if closing else 1
             elif tag == "br":
@@ -294,7 +296,8 @@ def extract(pages: DataFrame, field: Field) -> DataFrame:
     """page_id, url, text, n_chars of every page; blocks are joined by a blank line.
 
     Null html is empty; a page without article blocks has an empty text. Repeated rows each give a row; null ids and
-    urls pass through; extra columns are not read; an empty table gives no rows. Whole pages are read.
+    urls pass through; extra columns are not read; an empty table gives no rows. Whole pages are read, of any length;
+    unclosed elements end where a browser ends them.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
