@@ -1,13 +1,15 @@
 """Token ids as binary shards: a concatenated id array with Elias-Fano coded document boundaries.
 
-Shard layout (little endian): magic ``CMT1``, u32 id width in bytes, u64 documents n, u64 ids m, u32 low bits l,
-u64 bytes of the upper part; then n doc ids (i64, with a null flag byte each), the lower l bits of the n + 1
-boundaries, their upper bits in unary (boundary i sets bit (b_i >> l) + i), a directory with the position of
-every 512th set bit, and the ids. ``select`` needs the directory, a few words of the upper part and l bits, so
-boundaries take about 2 + log2(m / n) bits each, not 64.
-
-A task writes one shard under a name of its own and renames it, so a repeated task only repeats a file; the
-shards that count are those in the rows the finished tasks returned.
+Shard layout (little endian): magic ``CMT2``, the ids, then n doc ids (i64, with a null flag byte each), the lower l bits of
+the n + 1 boundaries, their upper bits in unary (boundary i sets bit (b_i >> l) + i), a directory with the position of
+every 512th set bit, and a trailer (u32 id width in bytes, u64 documents n, u64 ids m, u32 low bits l, u64 bytes of the upper
+part, magic). ``select`` needs the directory, a few words of the upper part and l bits, so boundaries take about
+2 + log2(m / n) bits each, not 64. A reader asks for the boundaries it needs, one or a block of 512, and for those ids only.
+
+A task writes its documents in order, ids as they come, and begins a new shard when one has ``SHARD_IDS`` ids or
+``SHARD_DOCS`` documents; it holds a batch of documents and a shard's boundaries. Each shard is written under a name of
+its own and renamed when whole, so a repeated task only repeats files; the shards that count are those in the rows
+the finished tasks returned.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import crc_u32, kept, partitions, scratch, text_rows
 
-HEAD = struct.Struct("<4sIQQIQ")
+TAIL, MAGIC = struct.Struct("<IQQIQ4s"), b"CMT2"
 EVERY = 512
+SHARD_IDS, SHARD_DOCS = 1 << 26, 1 << 20
 
 
 class EliasFano:
@@ -61,32 +64,61 @@ class EliasFano:
         chunk = int.from_bytes(self.low[first // 8 : (first + self.l + 7) // 8].tobytes(), "little") >> (first % 8)
         return high << self.l | chunk & ((1 << self.l) - 1)
 
-    def all(self) -> np.ndarray:
-        """Every number, decoded together."""
-        at = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        high = (at - np.arange(self.n)).astype(np.int64) << self.l
+    def block(self, k: int) -> np.ndarray:
+        """select of numbers k * EVERY to (k + 1) * EVERY (that one included, if there is one), between two marks of the directory."""
+        first, last = k * EVERY, min(self.n, (k + 1) * EVERY + 1)
+        begin = int(self.marks[k])
+        end = int(self.marks[k + 1]) + 1 if k + 1 < len(self.marks) else 8 * len(self.upper)
+        bits = np.unpackbits(self.upper[begin // 8 : -(-end // 8)], bitorder="little")[begin % 8 :]
+        high = (np.flatnonzero(bits)[: last - first] + begin - np.arange(first, last)).astype(np.int64) << self.l
         if not self.l:
             return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.l].reshape(self.n, self.l).astype(np.int64)
-        return high | bits @ (1 << np.arange(self.l, dtype=np.int64))
+        at = first * self.l
+        low = np.unpackbits(self.low[at // 8 : -(-last * self.l // 8)], bitorder="little")[at % 8 :][: (last - first) * self.l]
+        return high | low.reshape(-1, self.l).astype(np.int64) @ (1 << np.arange(self.l, dtype=np.int64))
+
+    def all(self) -> np.ndarray:
+        """Every number, block by block."""
+        return np.concatenate([self.block(k)[:EVERY] for k in range(len(self.marks))])
+
 
+class Writer:
+    """Writes a shard to a binary stream: ``add(doc_id, id bytes)``, then ``close()``."""
 
-def shard_bytes(doc_ids: list, ids: list[np.ndarray], width: int) -> bytes:
-    bounds = np.array([0, *accumulate(map(len, ids))], dtype=np.uint64)
-    ef, null = EliasFano.of(bounds), np.array([x is None or x is pd.NA or x != x for x in doc_ids], dtype=np.uint8)
-    numbers = np.array([0 if gone else int(x) for x, gone in zip(doc_ids, null)], dtype="<i8")
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    return b"".join([HEAD.pack(b"CMT1", width, len(ids), len(flat), ef.l, len(ef.upper)), numbers.tobytes(), null.tobytes(), ef.low.tobytes(), ef.upper.tobytes(), ef.marks.tobytes(), flat.astype(f"<u{width}").tobytes()])
+    def __init__(self, out, width: int):
+        self.out, self.width, self.doc_ids, self.bounds = out, width, [], [0]
+        out.write(MAGIC)
+
+    def add(self, doc_id, raw: bytes) -> None:
+        self.out.write(raw)
+        self.doc_ids.append(doc_id)
+        self.bounds.append(self.bounds[-1] + len(raw) // self.width)
+
+    def full(self, ids: int, docs: int) -> bool:
+        return self.bounds[-1] >= ids or len(self.doc_ids) >= docs
+
+    def close(self) -> None:
+        ef = EliasFano.of(np.array(self.bounds, dtype=np.uint64))
+        null = np.array([x is None or x is pd.NA or x != x for x in self.doc_ids], dtype=np.uint8)
+        numbers = np.array([0 if gone else int(x) for x, gone in zip(self.doc_ids, null)], dtype="<i8")
+        for part in (numbers, null, ef.low, ef.upper, ef.marks):
+            self.out.write(part.tobytes())
+        self.out.write(TAIL.pack(self.width, len(numbers), self.bounds[-1], ef.l, len(ef.upper), MAGIC))
 
 
 class Shard:
-    """Reads a shard: ``doc_ids``, ``bounds`` (Elias-Fano), ``ids(i)``."""
+    """Reads a shard from a seekable file: ``doc_ids``, ``bounds`` (Elias-Fano), ``ids(i)`` of one document, ``documents()`` in order."""
 
-    def __init__(self, raw: bytes):
-        magic, width, n, m, l, upper = HEAD.unpack_from(raw)
-        if magic != b"CMT1":
+    def __init__(self, file):
+        size = file.size()
+        if size < TAIL.size + len(MAGIC):
+            raise ValueError("not a token shard")
+        self.width, n, self.m, l, upper, magic = TAIL.unpack(file.read_at(TAIL.size, size - TAIL.size))
+        if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = HEAD.size
+        self.file, at = file, len(MAGIC) + self.m * self.width
+        raw = file.read_at(size - TAIL.size - at, at)  # all but the ids
+        at = 0
 
         def part(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -97,13 +129,25 @@ class Shard:
         numbers, null = part("<i8", n), part("u1", n)
         self.doc_ids = [None if gone else x for x, gone in zip(numbers.tolist(), null)]
         self.bounds = EliasFano(part("u1", ((n + 1) * l + 7) // 8), l, part("u1", upper), n + 1, part("<u8", -(-(n + 1) // EVERY)))
-        self.flat = part(f"<u{width}", m)
 
     def __len__(self) -> int:
         return len(self.doc_ids)
 
+    def between(self, a: int, b: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at((b - a) * self.width, len(MAGIC) + a * self.width), f"<u{self.width}")
+
     def ids(self, i: int) -> np.ndarray:
-        return self.flat[self.bounds.at(i) : self.bounds.at(i + 1)]
+        return self.between(self.bounds.at(i), self.bounds.at(i + 1))
+
+    def documents(self) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """(boundaries, ids of each document) of EVERY documents at a time; a block's ids are read together up to 2**22, and document by document beyond."""
+        for k in range(-(-len(self) // EVERY)):
+            b = self.bounds.block(k)
+            if b[-1] - b[0] <= 1 << 22:
+                flat = self.between(int(b[0]), int(b[-1]))
+                yield b, (flat[x:y] for x, y in zip((b[:-1] - b[0]).tolist(), (b[1:] - b[0]).tolist()))
+            else:
+                yield b, (self.between(x, y) for x, y in zip(b[:-1].tolist(), b[1:].tolist()))
 
 
 def _store(path: str):
@@ -118,12 +162,13 @@ def range_bounds(docs: DataFrame, parts: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def write_tokens(docs: DataFrame, make: Callable, path: str, end_id: int = 1, width: int = 2, parts: int | None = None) -> DataFrame:
-    """Writes all documents in ascending doc_id order to shards in ``path``; gives the manifest (shard, file, n_docs, n_ids, base).
+def write_tokens(docs: DataFrame, make: Callable, path: str, end_id: int = 1, width: int = 2, parts: int | None = None, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """Writes all documents in ascending doc_id order to shards in ``path``; gives the manifest (shard, piece, file, n_docs, n_ids, base).
 
     Null text is empty, so its document is the end id alone. Null doc_ids come first; rows that share a doc_id all
-    stay, ordered by their ids. ``width`` must hold the largest id, else an error is raised. The manifest has a row
-    per shard; it is the only thing that reaches the driver.
+    stay, ordered by their ids. ``width`` must hold the largest id, else an error is raised. Extra columns are not read. An
+    empty table gives an empty manifest. The manifest has a row a shard, and a shard has ``shard_ids`` ids unless it is a
+    range's last, so its size in the driver is ids / shard_ids + parts rows; it is the only thing that reaches the driver.
     """
     spark = docs.sparkSession
     rows = text_rows(docs)
@@ -144,44 +189,57 @@ def write_tokens(docs: DataFrame, make: Callable, path: str, end_id: int = 1, wi
             yield pd.DataFrame({"doc_id": numbers, "shard": shard.astype(np.int32), "ids": packed})
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc_ids, ids, shard = [], [], None
-        for pdf in batches:
-            if len(pdf):
-                shard = int(pdf["shard"].iloc[0])
-                doc_ids += pdf["doc_id"].astype("Int64").tolist()
-                ids += [np.frombuffer(x, f"<u{width}") for x in pdf["ids"]]
-        if shard is None:
-            return
         store, at = _store(path)
         store.create_dir(at, recursive=True)
-        name = f"tokens-{shard:06d}-{uuid.uuid4().hex}.bin"
-        with store.open_output_stream(f"{at}/.{name}") as f:
-            f.write(shard_bytes(doc_ids, ids, width))
-        store.move(f"{at}/.{name}", f"{at}/{name}")
-        yield pd.DataFrame({"shard": [shard], "file": [f"{path}/{name}"], "n_docs": [len(ids)], "n_ids": [sum(map(len, ids))]})
+        shard, name, out, done = None, None, None, []
+
+        def finish() -> None:
+            out.close()
+            out.out.close()
+            store.move(f"{at}/.{name}", f"{at}/{name}")
+            done.append((shard, len(done), f"{path}/{name}", len(out.doc_ids), out.bounds[-1]))
+
+        for pdf in batches:
+            for doc_id, part, raw in zip(pdf["doc_id"].astype("Int64").tolist(), pdf["shard"], pdf["ids"]):
+                if out is not None and out.full(shard_ids, shard_docs):
+                    finish()
+                    out = None
+                if out is None:
+                    shard = int(part)
+                    name = f"tokens-{shard:06d}-{len(done):06d}-{uuid.uuid4().hex}.bin"
+                    out = Writer(store.open_output_stream(f"{at}/.{name}"), width)
+                out.add(doc_id, raw)
+        if out is not None:
+            finish()
+        yield pd.DataFrame(done, columns=["shard", "piece", "file", "n_docs", "n_ids"]).astype({"shard": "int32", "piece": "int32", "n_docs": "int64", "n_ids": "int64"})
 
     coded = rows.mapInPandas(encode, "doc_id long, shard int, ids binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    shards = sorted(kept(dealt.mapInPandas(write, "shard int, file string, n_docs long, n_ids long"), "manifest").collect())
+    shards = sorted(kept(dealt.mapInPandas(write, "shard int, piece int, file string, n_docs long, n_ids long"), "manifest").collect())
     bases = [0, *accumulate(x["n_ids"] for x in shards)]
-    return spark.createDataFrame([(*x, b) for x, b in zip(shards, bases)], "shard int, file string, n_docs long, n_ids long, base long")
+    return spark.createDataFrame([(*x, b) for x, b in zip(shards, bases)], "shard int, piece int, file string, n_docs long, n_ids long, base long")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files of the manifest."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files of the manifest; boundaries come from ``select``, a block at a time.
+
+    Null and repeated ids come back as they were written; other columns of the manifest are not read; an empty manifest gives no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, base in zip(pdf["file"], pdf["base"]):
                 store, at = _store(file)
-                with store.open_input_stream(at) as f:
-                    shard = Shard(f.read())
-                ends = shard.bounds.all()
-                crcs = [crc_u32(shard.flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-                yield pd.DataFrame({"doc_id": pd.array(shard.doc_ids, dtype="Int64"), "start": int(base) + ends[:-1], "n_tokens": np.diff(ends), "ids_crc32": crcs})
+                with store.open_input_file(at) as f:
+                    shard, seen = Shard(f), 0
+                    for ends, ids in shard.documents():
+                        n = len(ends) - 1
+                        yield pd.DataFrame({"doc_id": pd.array(shard.doc_ids[seen : seen + n], dtype="Int64"), "start": int(base) + ends[:-1], "n_tokens": np.diff(ends), "ids_crc32": [crc_u32(x) for x in ids]})
+                        seen += n
 
     n = max(1, manifest.count())
-    return manifest.repartitionById(n, F.col("shard") % n).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    dealt = manifest.select("file", "base").repartition(n, "file")
+    return dealt.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(spark: SparkSession) -> str:
