@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +28,8 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 BLOCK = 1 << 16
 #: Above it, nodes stand for fingerprints that only null ids have.
 NO_ID = 1 << 62
+#: How many new neighbours a text is given on a key in a round of ``similar_pairs``.
+DRAWS = 8
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -77,25 +80,41 @@ def links(heads: DataFrame, radius: int = 2) -> DataFrame:
     return met.select(F.least("head", "other").alias("u"), F.greatest("head", "other").alias("v")).distinct()
 
 
+def hot_keys(rows: DataFrame, key: str, total: int, least: int = 1000) -> DataFrame:
+    """(key, times): keys that more of the ``total`` rows have than ``least`` and than a 4096th of them, so 4096 keys at most."""
+    return rows.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > max(least, total // 4096))
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined with keyed (each key once). Rows of a hot key stay where they are: what keyed has for the few ``hot`` keys is broadcast, the rest is shuffled."""
+    few = keyed.join(F.broadcast(hot.select(key)), key, "left_semi")
+    many = keyed.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(many, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is its smallest reachable node.
 
     Alternating large-star and small-star steps: a logarithmic number of rounds, each a few joins on slim rows. Every
-    round is written to the shared folder; only its count and checksum come to the driver.
+    round is written to the shared folder; only counts and a checksum come to the driver. Stars gather many edges on
+    one node; the few such nodes are looked up by broadcast, so no task gets all edges of one. Null nodes give no rows.
     """
     edges = kept(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "edges")
-    before = None
+    before, n = None, edges.count()
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y")), F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("e"))
+        least = kept(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("times")), "least")
+        hot = least.where(F.col("times") > max(1000, 2 * n // 4096))
+        large = join_spread(both, least.select("u", "m"), "u", hot).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = kept(large, "large")
+        lower = kept(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")), "least")
+        hot = lower.where(F.col("times") > max(1000, 2 * n // 4096))
+        small = join_spread(large, lower.select("u", "m"), "u", hot).select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
         edges = kept(small.select(F.col("e.y").alias("u"), F.col("e.x").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
-        before = now
+        before, n = now, now[0]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -107,10 +126,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null; then component_id is null. Extra columns are not read; an empty table gives no rows.
     """
     fps = kept(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    heads = kept(fps.groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("head", F.coalesce("id", F.lit(2**63 - 1) - F.abs(F.col("fp") % NO_ID))), "heads")
+    heads = fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"))
+    heads = kept(heads.withColumn("head", F.coalesce("id", F.lit(2**63 - 1) - F.abs(F.col("fp") % NO_ID))), "heads")
     found = components(links(heads.select("fp", "head"), radius))
     classes = heads.join(found, F.col("head") == F.col("node"), "left").select("fp", F.when(F.col("component") <= NO_ID, F.col("component")).otherwise(F.col("id")).alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    hot = heads.where(F.col("times") > max(1000, fps.count() // 4096))
+    return join_spread(fps, kept(classes, "classes"), "fp", hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -122,21 +143,6 @@ def shingle_set(text: str, k: int) -> frozenset[bytes]:
     return frozenset(b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
 
 
-def variants(heads: DataFrame, bits: int, top: int = 16) -> DataFrame:
-    """heads (key, head) to (head, part, variant): the ball of radius 1 around each key, dealt by ``part``, its bits above the lower ones.
-
-    A variant that flips a lower bit has its key's part, so the key is shuffled once and those variants are made where it
-    arrives; only those that flip one of the ``top`` bits are shuffled themselves (as their complement, which tells them apart).
-    """
-    low = bits - top
-    flipped = [F.bitwise_not(F.col("key").bitwiseXOR(F.lit(1 << b).cast("long"))) for b in range(low, bits)]
-    part = F.shiftright(F.greatest("base", F.bitwise_not("base")), low)
-    sent = heads.select("head", F.explode(F.array(F.col("key"), *flipped)).alias("base")).repartition(part)
-    own = F.array(F.col("base"), *[F.col("base").bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(low)])
-    made = F.when(F.col("base") >= 0, own).otherwise(F.array(F.bitwise_not("base")))
-    return sent.select("head", part.alias("part"), made.alias("made")).select("head", "part", F.explode_outer("made").alias("variant"))
-
-
 def shingle_hashes(text: str, k: int) -> np.ndarray:
     """Sorted distinct XXH64 of ``shingle_set``."""
     from xxhash import xxh64_intdigest
@@ -162,7 +168,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def frequent(rows: DataFrame, shingle: int, sample: int = 20_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in their order, and counts of the ``most`` commonest shingles of about ``sample`` texts. They only order shingles, so any answer is right."""
+    """Hashes, in their order, and counts of the ``most`` commonest shingles of about ``sample`` texts. They only come last in the order of shingles, so any answer is right."""
     n = rows.count()
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("frequent")), F.lit(1_000_000)) <= int(1_000_000 * min(1.0, sample / max(1, n))))
 
@@ -176,31 +182,41 @@ def frequent(rows: DataFrame, shingle: int, sample: int = 20_000, most: int = 10
 
 
 def prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, n, parities, keys): how many shingles a text has, and its rarest ones, at least one of them shared by all texts alike.
+    """(doc_id, n, parities, place, keys) of the texts that may have one alike: how many shingles a text has, and those of its rarest that other texts have too.
 
     Sets alike share ``similarity`` times the larger one's members, so in any one order of all shingles each has a common one
-    among all but that many, and one. The order is by count in a sample, then by hash.
+    among all but that many, and one. The order is by the number of texts that have a shingle, over all texts, then by
+    hash; the ``frequent`` ones come last, so that no common shingle's rows meet in the shuffle that counts. What no
+    other text has comes first and is left out; ``place`` is the first key's place in the order. Most texts end there.
     """
     known, count = frequent(rows, shingle)
+    kind = "doc_id long, n int, open int, most int, keys array<long>, common array<long>, parities binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 h = shingle_hashes(text, shingle)
-                rank = np.zeros(len(h), np.int64)
+                most, own, common = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1, h, h[:0]
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rank = np.where(known[at] == h, count[at], 0)
-                most = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
-                out.append((doc_id, len(h), parities(h), h[np.lexsort((h, rank))[:most]].view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "parities", "keys"])
+                    hit = known[at] == h
+                    own, common = h[~hit], h[hit][np.lexsort((h[hit], count[at[hit]]))]
+                mark = np.array([doc_id * 0x9E3779B97F4A7C15 % 2**64], np.uint64)  # a row of its own, that carries what is the text's
+                out.append((doc_id, len(h), len(own), most, np.concatenate([own, mark]).view(np.int64), common[: max(0, most - len(own))].view(np.int64), parities(h)))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in kind.split(", ")])
 
-    return rows.mapInPandas(run, "doc_id long, n int, parities binary, keys array<long>")
+    each = rows.mapInPandas(run, kind).select("doc_id", F.posexplode("keys").alias("at", "key"), *[F.when(F.col("at") == F.col("open"), F.col(c)).alias(c) for c in ("n", "open", "most", "common", "parities")])
+    counted = each.drop("at").withColumn("texts", F.count("*").over(Window.partitionBy("key"))).where("texts > 1 or open is not null")
+    own = F.sort_array(F.collect_list(F.when(F.col("open").isNull(), F.struct("texts", "key"))))
+    by_text = counted.groupBy("doc_id").agg(own.alias("own"), *[F.max(c).alias(c) for c in ("n", "open", "most", "parities")], F.max("common").alias("common"))
+    place = F.col("open") - F.size("own")
+    keys = F.slice(F.concat(F.transform("own", lambda x: x["key"]), "common"), F.lit(1), F.col("most") - place)
+    return by_text.where(place < F.col("most")).select("doc_id", "n", "parities", place.alias("place"), keys.alias("keys"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, similarity: float, salts: int) -> DataFrame:
-    """The distinct pairs (u, v) that are alike: those whose parities allow it, held against each other on whole texts."""
+    """The distinct pairs (u, v) that are alike: those whose parities allow it, held against each other on whole texts, ``salts`` partners of a text in a group or few more."""
 
     def allowed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -225,30 +241,61 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int,
 
     first = sets.select(F.col("doc_id").alias("u"), "n", F.col("parities").alias("a"))
     second = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("parities").alias("b"))
-    fit = pairs.join(first, "u").join(second, "v").select("u", "v", "n", "m", "a", "b").mapInPandas(allowed, "u long, v long")
-    fit = kept(fit.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")), "pairs")
+    hot = kept(hot_keys(pairs, "u", pairs.count()), "hot")
+    fit = join_spread(pairs, first, "u", hot).join(second, "v").select("u", "v", "n", "m", "a", "b").mapInPandas(allowed, "u long, v long")
+    fit = fit.join(F.broadcast(hot), "u", "left")  # a text's groups are as many as its partners need
+    groups = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("times"), F.lit(1000)) / salts))
+    fit = kept(fit.select("u", "v", F.pmod(F.xxhash64("v"), groups).cast("int").alias("salt")), "pairs")
     wanted = fit.select(F.col("v").alias("doc_id"), "u", "salt").union(fit.select(F.col("u").alias("doc_id"), "u", "salt").distinct())
     whole = wanted.join(texts, "doc_id").repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("doc_id") != F.col("u"), "doc_id")
     return kept(whole.select("doc_id", "u", "salt", "text").mapInPandas(verify, "u long, v long"), "alike")
 
 
-def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, salts: int = 8) -> DataFrame:
+def numbered(docs: DataFrame) -> DataFrame:
+    """(node, doc_id, text) of the distinct rows with an id: node is the id; of an id with several texts, the least text has it and each other a number of its own beyond all ids."""
+    rows = text_rows(docs).where(F.col("doc_id").isNotNull())
+    if docs.select("doc_id").distinct().count() == docs.count():
+        return rows.select(F.col("doc_id").alias("node"), "doc_id", "text")
+    rows = rows.distinct()
+    least = rows.groupBy("doc_id").agg(F.min("text").alias("least"))
+    other = F.lit(NO_ID) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(NO_ID))
+    return rows.join(least, "doc_id").select(F.when(F.col("text") == F.col("least"), F.col("doc_id")).otherwise(other).alias("node"), "doc_id", "text")
+
+
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, salts: int = 125) -> DataFrame:
     """(u, v), u < v: pairs of ids whose sets of word shingles have a Jaccard similarity of at least ``similarity``, enough to connect all that have.
 
     Texts alike share one of their rarest shingles (see ``prefixes``). First each text is held against its neighbour and the
-    smallest id on each of these; what that verifies is joined into components. Then all texts that share one and are of
-    different components are held against each other: only pairs that are connected already are left out. Every pair is
-    verified on whole texts, a text's partners spread over ``salts`` groups.
+    smallest id on each of these; what that verifies is joined into components. While many of those that are tried turn out
+    alike, texts of different components on one key are dealt new neighbours and tried again. Then all texts that share one
+    and are still of different components are held against each other: only pairs that are connected already are left out.
+    Every pair is verified on whole texts. Of a doc_id with several texts, those after the least stand under numbers from 2**62 on (see
+    ``numbered``); null ids have no pairs; null text is empty; extra columns are not read; an empty table gives no rows.
     """
-    rows = text_rows(docs).where(F.col("doc_id").isNotNull())
-    texts = rows.groupBy("doc_id").agg(F.min("text").alias("text")) if docs.select("doc_id").distinct().count() < docs.count() else rows
+    return connected(numbered(docs).select(F.col("node").alias("doc_id"), "text"), shingle, similarity, salts)
+
+
+def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 125) -> DataFrame:
+    """``similar_pairs`` of (doc_id, text) with each doc_id once."""
     sets = kept(prefixes(texts, shingle, similarity), "prefixes")
+    early = F.when(F.col("row.place") <= (1 - similarity) / (1 + similarity) * F.col("row.n") + 1e-6, F.col("row"))  # rows that can meet one of their own size on the key
+
+    def before(order):
+        return F.last(early, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+
+    def head(part):
+        return F.min_by(early, F.when(early.isNotNull(), F.col("row.doc_id"))).over(part)
+
     check = lambda pairs: verified(pairs, sets, texts, shingle, similarity, salts)
-    by = Window.partitionBy("key").orderBy("doc_id")
-    row = F.struct("doc_id", "n", "place").alias("row")
-    each = sets.select("doc_id", "n", F.posexplode("keys").alias("place", "key")).select("key", "doc_id", row)
-    met = each.select("key", "row", F.lag("row").over(by).alias("last"), F.lead("doc_id").over(by).alias("next"), F.first("row").over(by).alias("head"))
-    met = kept(met.where("last is not null or next is not null"), "met")
+    each = sets.select("doc_id", "n", F.posexplode("keys").alias("at", "key"), F.col("place").alias("from"))
+    each = kept(each.select("key", F.struct("doc_id", "n", (F.col("from") + F.col("at")).alias("place")).alias("row")), "each")
+    total = each.count()
+    hot = kept(hot_keys(each, "key", total), "hot")
+    part = F.pmod(F.xxhash64("row.doc_id"), F.ceil(F.coalesce(F.col("times"), F.lit(1)) / max(1000, total // 4096)))
+    by, of = Window.partitionBy("key", "salt").orderBy("row.n", "row.doc_id"), Window.partitionBy("key", "salt")
+    met = each.join(F.broadcast(hot), "key", "left").select("key", "row", part.cast("int").alias("salt"), F.col("times").isNotNull().alias("hot"))
+    met = met.select("key", "row", "hot", before(by).alias("last"), head(of).alias("head"), F.count("*").over(of).alias("held"))
+    met = kept(met.where("hot or held > 1"), "met")
 
     def fits(a: str, b: str):
         """Sizes and places allow it: of sets alike, what is left of each from their first common shingle on holds all they share."""
@@ -256,24 +303,60 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sa
         left = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
         return (left >= similarity / (1 + similarity) * (n + m) - 1e-6) & (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6)
 
-    near = [met.where(F.col(f"{o}.doc_id") < F.col("row.doc_id")).where(fits(o, "row")).select(F.col(f"{o}.doc_id").alias("u"), F.col("row.doc_id").alias("v")) for o in ("last", "head")]
-    first = check(kept(near[0].union(near[1]).distinct(), "near"))
-    joined = components(first)
-    own = met.select("key", "row", F.col("row.doc_id").alias("node")).join(joined, "node", "left").select("key", "row", F.coalesce("component", "node").alias("group"))
-    on = Window.partitionBy("key")
-    open_ = own.select("key", "row", "group", F.min("group").over(on).alias("least"), F.max("group").over(on).alias("most")).where("least < most").select("key", "row", "group")
-    open_ = kept(open_, "open")
+    def pairs_of(rows: DataFrame, other: str) -> DataFrame:
+        ids = F.col(f"{other}.doc_id"), F.col("row.doc_id")
+        return rows.where((ids[0] != ids[1]) & fits(other, "row")).select(F.least(*ids).alias("u"), F.greatest(*ids).alias("v"))
+
+    # a hot key's rows are dealt to several windows; their heads, one a window, meet once more
+    tops = met.where("hot and row.doc_id = head.doc_id").select("key", "row")
+    on, of = Window.partitionBy("key").orderBy("row.n", "row.doc_id"), Window.partitionBy("key")
+    tops = tops.select("key", "row", before(on).alias("last"), head(of).alias("head"))
+    near = pairs_of(met, "last").union(pairs_of(met, "head")).union(pairs_of(tops, "last")).union(pairs_of(tops, "head"))
+    found = check(kept(near.distinct(), "near"))
+    seed = 0
+    while True:
+        joined = components(found)
+        own = kept(met.select("key", "row", F.col("row.doc_id").alias("node")).join(joined, "node", "left").select("key", "row", F.coalesce("component", "node").alias("group")), "own")
+        several = kept(own.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key"), "several")
+        open_ = kept(join_spread(own, several, "key", hot), "open")
+        tried = [pairs_of(shuffled(open_, before, hot, total, seed + k), "last") for k in range(DRAWS)]
+        anew = kept(reduce(DataFrame.union, tried).distinct(), "anew")
+        more = check(anew)
+        n, alike, seed = anew.count(), more.count(), seed + DRAWS
+        if not alike:
+            break
+        found = kept(found.union(more), "found")
+        if 20 * alike < n:  # few are alike: what is left is mostly alone
+            joined = components(found)
+            open_ = kept(open_.withColumn("node", F.col("row.doc_id")).join(joined, "node", "left").select("key", "row", F.coalesce("component", "node").alias("group")), "open")
+            break
     a, b = (open_.select("key", F.col("row").alias(x), F.col("group").alias(f"{x}_group")) for x in ("a", "b"))
     rest = a.join(b, "key").where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a_group") != F.col("b_group")) & fits("a", "b"))
-    return first.union(check(kept(rest.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "rest")))
+    return found.union(check(kept(rest.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "rest")))
+
+
+def shuffled(rows: DataFrame, before, hot: DataFrame, total: int, seed: int) -> DataFrame:
+    """One row of each group on a key, that with the first place there, and as ``last`` the early one of another group before it in an order by size that each seed jolts anew (by up to a quarter, as sizes of texts alike differ)."""
+    draw = F.xxhash64("group", F.lit(seed))
+    turn = F.row_number().over(Window.partitionBy("key", "group").orderBy(F.col("row.place") / F.col("row.n"), F.xxhash64("row.doc_id", F.lit(seed)), "row.doc_id"))
+    rows = rows.withColumn("turn", turn).where("turn = 1").join(F.broadcast(hot), "key", "left")
+    part = F.pmod(draw, F.ceil(F.coalesce(F.col("times"), F.lit(1)) / max(1000, total // 4096))).cast("int")
+    size = F.col("row.n") * (1 + F.pmod(draw, F.lit(1000)) / 4000.0)
+    return rows.withColumn("part", part).withColumn("last", before(Window.partitionBy("key", "part").orderBy(size, "group"))).where("last is not null").select("key", "row", "last")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the rows whose group of similar texts has a smaller doc_id; columns as they were.
 
-    Groups are the components of ``similar_pairs``. Rows with a null doc_id stay; null text is empty, and empty texts
-    are alike. An empty table stays empty.
+    Groups are the components of ``similar_pairs``. Rows go by id and text, so another text under the same id stays. Rows
+    with a null doc_id and equal rows of an id stay; null text is empty, and empty texts are alike. An empty table stays empty.
     """
-    found = components(similar_pairs(docs, shingle, similarity))
-    gone = found.where(F.col("node") != F.col("component")).select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    rows = numbered(docs)
+    found = components(connected(rows.select(F.col("node").alias("doc_id"), "text"), shingle, similarity))
+    gone = found.where(F.col("node") != F.col("component"))
+    own = docs["doc_id"].cast("long")
+    if not rows.where(F.col("node") != F.col("doc_id")).limit(1).count():
+        return docs.join(gone.select(F.col("node").alias("__gone")), own == F.col("__gone"), "left_anti")
+    mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    gone = rows.join(gone, "node").select(F.col("doc_id").alias("__gone"), F.xxhash64("text").alias("__text"))
+    return docs.join(gone, (own == F.col("__gone")) & (mark == F.col("__text")), "left_anti")
