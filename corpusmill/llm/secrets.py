@@ -231,8 +231,7 @@ def sample_findings(docs: DataFrame, most: int = 4000, most_lines: int = 12_000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [x for t in pdf["text"] for x in labelled_lines(t)]
-            yield pd.DataFrame({"line": [x.replace("\0", "\x01") for x, _ in out], "y": [y for _, y in out]}).astype({"y": "int32"})
+            yield pd.DataFrame([(x.replace("\0", "\x01"), y) for t in pdf["text"] for x, y in labelled_lines(t)], columns=["line", "y"])
 
     n = rows.count()
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1_000_000)) <= int(1_000_000 * min(1.0, most / max(1, n))))

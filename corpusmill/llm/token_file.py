@@ -211,7 +211,7 @@ def write_tokens(docs: DataFrame, make: Callable, path: str, end_id: int = 1, wi
                 out.add(doc_id, raw)
         if out is not None:
             finish()
-        yield pd.DataFrame(done, columns=["shard", "piece", "file", "n_docs", "n_ids"]).astype({"shard": "int32", "piece": "int32", "n_docs": "int64", "n_ids": "int64"})
+            yield pd.DataFrame(done, columns=["shard", "piece", "file", "n_docs", "n_ids"])
 
     coded = rows.mapInPandas(encode, "doc_id long, shard int, ids binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")

@@ -120,4 +120,5 @@ def test_nulls_repeats_clashes_and_an_empty_table(spark, net):
     masked = secrets.mask_secrets(docs, net)
     assert masked.columns == docs.columns and sorted(str(r.text) for r in masked.collect()) == ["None", "[SECRET]", "[SECRET]", "[SECRET]"]
     assert secrets.scan(docs.where("false"), net).count() == 0 and secrets.mask_secrets(docs.where("false"), net).count() == 0
-    assert secrets.fit(docs.where("false"), written=200).threshold > 0
+    plain = spark.createDataFrame([(5, "no long runs at all")], "doc_id long, text string")
+    assert secrets.sample_findings(plain) == [] and secrets.fit(docs.where("false"), written=200).threshold > 0
