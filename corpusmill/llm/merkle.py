@@ -1,93 +1,205 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-A paragraph is a line; below it, leaves are runs of a few words that end at a word whose checksum says so, and a
-section is a run of paragraphs that ends likewise at a paragraph's digest. Such cuts fall in the same places before
-and after an edit elsewhere. A paragraph's digest is of its text, a section's of its paragraphs' digests, the root's
-of its sections' digests. A fingerprint is text: the root, ``:``, and the branches, sections joined by ``/``,
-paragraphs by ``;``, each leaf as six hex digits. Equal roots mean equal texts; where they differ, sections that
-agree are passed over whole, then paragraphs, and only the rest is compared leaf by leaf.
+A word's checksum says how high a branch it ends: half of the words end a run of words (level 1), a quarter a run of such
+runs (level 2), and so on. A line ends a paragraph (level 16) and all runs in it; a paragraph's checksum says in the same
+way how high a section it ends (levels 17 to 31). So branches end in the same places before and after an edit elsewhere.
+Where content ends none for four times a level's mean length, as in repetitive text, the level ends there. A
+branch's digest is of its children's digests and their order, up to the root.
+
+A fingerprint is text: the root, the level of its leaves, and at most ``NODES`` leaves, each with its digest, the level
+it ends and its words; so its size doesn't grow with the text. Leaves are the lowest level that has so few nodes: words in
+a short text, paragraphs or sections in a long one. Higher branches follow from the leaves. Two trees are compared
+from the root: equal roots mean equal texts; branches that agree are passed over whole, and only those that differ are
+opened, down to the leaves, which locate the edits.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import re
-import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from corpusmill.llm.common import partitions, text_rows
 
-LEAF_WORDS, SECTION, HEX = 4, 8, 6
-
-
-@lru_cache(maxsize=100_000)
-def ends_leaf(word: str) -> bool:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % LEAF_WORDS == 0
-
-
-def leaves(paragraph: str) -> list[str]:
-    """The paragraph's runs of words; joined by one blank they are the paragraph."""
-    out, begin, words = [], 0, paragraph.split(" ")
-    for k, w in enumerate(words, 1):
-        if k == len(words) or k - begin >= 4 * LEAF_WORDS or ends_leaf(w):
-            out.append(" ".join(words[begin:k]))
-            begin = k
-    return out
+NODES, RUNS, TOP, LONGEST = 48, 16, 31, 4
+U = np.uint64
+GOLDEN = U(0x9E3779B97F4A7C15)
+NODE = np.dtype([("digest", ">u8"), ("ends", ">u4")])
+
+
+class Digests(dict):
+    """Word to 64-bit hash; begins anew when it is full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 10)
+        return found
+
+
+DIGEST = Digests()
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: every bit of x changes about half of the result's."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def starts_of(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], ends[:-1] + 1))
+
+
+def parents(digests: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Digest of each run of children up to an end; an only child's is its own."""
+    starts = starts_of(ends)
+    sizes = ends - starts + 1
+    place = np.arange(len(digests)) - np.repeat(starts, sizes) + 1
+    total = mix(np.add.reduceat(mix(digests + place.astype(U) * GOLDEN), starts))
+    return np.where(sizes == 1, digests[starts], total)
+
+
+def heights(digests: np.ndarray) -> np.ndarray:
+    """How high a branch each item ends, 0 to 15: the trailing zeros of its checksum, or more where no end comes for long."""
+    x = mix(digests ^ GOLDEN)
+    level = np.minimum(np.bitwise_count((x & (~x + U(1))) - U(1)), 15).astype(np.int64)
+    for k in range(min(15, (len(digests) // LONGEST).bit_length()), 0, -1):
+        most = LONGEST << k
+        ends = np.concatenate(([-1], np.flatnonzero(level >= k), [len(level) - 1]))
+        for i in np.flatnonzero(np.diff(ends) > most).tolist():
+            at = slice(ends[i] + most, ends[i + 1], most)
+            level[at] = np.maximum(level[at], k)
+    return level
+
+
+class Tree:
+    """``root``, and the leaves: their ``level``, ``digests``, the levels they ``end`` and their ``words``."""
+
+    __slots__ = ("root", "level", "digests", "ends", "words", "_above")
+
+    def __init__(self, root: str, level: int, digests: np.ndarray, ends: np.ndarray, words: np.ndarray):
+        self.root, self.level, self.digests, self.ends, self.words, self._above = root, level, digests, ends, words, None
+
+    @classmethod
+    def of(cls, text: str) -> Tree:
+        words, stops = [], []
+        for line in text.split("\n"):
+            words += line.split(" ")
+            stops.append(len(words) - 1)
+        digests, stop = np.fromiter(map(DIGEST.__getitem__, words), U, len(words)), np.array(stops)
+        ends = heights(digests)
+        ends[stop] = RUNS + heights(parents(digests, stop))
+        ends[-1] = TOP
+        if int((ends == TOP).sum()) > NODES:
+            ends[:-1] = np.minimum(ends[:-1], TOP - 1)
+        nodes = np.bincount(ends, minlength=TOP + 1)[::-1].cumsum()[::-1]
+        level = int(np.argmax(nodes <= NODES))
+        tree = cls("", 0, digests, ends, np.ones(len(words), np.int64)).raised(level)
+        tree.root = hashlib.blake2b(tree.packed(), digest_size=16).hexdigest()
+        return tree
+
+    def raised(self, level: int) -> Tree:
+        """The same tree with leaves at a higher level."""
+        digests, ends, words = self.digests, self.ends, self.words
+        for k in range(self.level + 1, level + 1):
+            at = np.flatnonzero(ends >= k)
+            if len(at) < len(ends):
+                digests, words, ends = parents(digests, at), np.add.reduceat(words, starts_of(at)), ends[at]
+        return Tree(self.root, level, digests, ends, words)
+
+    def packed(self) -> bytes:
+        out = np.empty(len(self.digests), NODE)
+        out["digest"], out["ends"] = self.digests, (self.ends << 27) | np.minimum(self.words, (1 << 27) - 1)
+        return out.tobytes()
+
+    def __str__(self) -> str:
+        return f"{self.root}:{self.level:02x}:{base64.b64encode(self.packed()).decode()}"
+
+    @classmethod
+    def parse(cls, told: str) -> Tree:
+        root, level, leaves = told.split(":")
+        got = np.frombuffer(base64.b64decode(leaves), NODE)
+        ends = got["ends"].astype(np.int64)
+        return cls(root, int(level, 16), got["digest"].astype(U), ends >> 27, ends & ((1 << 27) - 1))
+
+    def above(self) -> dict[int, tuple[list[int], list[int], list[int]]]:
+        """By level: digests, first leaves and last leaves of the branches; only levels where branches differ from the one below."""
+        if self._above is None:
+            digests, ends, last = self.digests, self.ends, np.arange(len(self.ends))
+            found = {self.level: (digests.tolist(), last.tolist(), last.tolist())}
+            for k in np.unique(ends).tolist():
+                at = np.flatnonzero(ends >= k)
+                if k > self.level and len(at) < len(ends):
+                    digests, ends, last = parents(digests, at), ends[at], last[at]
+                    found[k] = (digests.tolist(), starts_of(last).tolist(), last.tolist())
+            self._above = found
+        return self._above
+
+    def branches(self, level: int) -> tuple[list[int], list[int], list[int]]:
+        above = self.above()
+        return above[max(k for k in above if k <= level)]
 
 
 def fingerprint(text: str) -> str:
-    digest, sections, held, tops, under = hashlib.blake2b, [], [], [], b""
-    lines = text.splitlines(keepends=True)
-    for k, line in enumerate(lines, 1):
-        own = digest(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        held.append("".join([digest(x.encode("utf-8", "surrogatepass"), digest_size=HEX // 2).hexdigest() for x in leaves(line.rstrip("\r\n"))]))
-        under += own
-        if k == len(lines) or own[0] % SECTION == 0:
-            sections.append(";".join(held))
-            tops.append(digest(under, digest_size=16).digest())
-            held, under = [], b""
-    return digest(b"".join(tops), digest_size=16).hexdigest() + ":" + "/".join(sections)
+    return str(Tree.of(text))
+
+
+def matched(a: Tree, b: Tree) -> tuple[Tree, Tree, list[bool], list[bool]]:
+    """Both trees at a common level, and which of their leaves lie in branches that both have; from the root down."""
+    level = max(a.level, b.level)
+    a, b = (t if t.level == level else t.raised(level) for t in (a, b))
+    seen_a, seen_b = [False] * len(a.ends), [False] * len(b.ends)
+    for k in sorted({*a.above(), *b.above()}, reverse=True):
+        places = defaultdict(list)
+        for digest, first, last in zip(*b.branches(k)):
+            if not seen_b[first]:
+                places[digest].append((first, last))
+        for digest, first, last in zip(*a.branches(k)):
+            if not seen_a[first] and places.get(digest):
+                x, y = places[digest].pop(0)
+                seen_a[first : last + 1] = [True] * (last + 1 - first)
+                seen_b[x : y + 1] = [True] * (y + 1 - x)
+    return a, b, seen_a, seen_b
+
+
+def alike(a: Tree, b: Tree) -> tuple[float, list[tuple[int, int]]]:
+    """Likeness, and the word ranges (end exclusive) of the first tree's leaves that the second one lacks."""
+    if a.root == b.root:
+        return 1.0, []
+    a, b, seen_a, seen_b = matched(a, b)
+    words, ranges, at, shared = a.words.tolist(), [], 0, 0
+    for n, seen in zip(words, seen_a):
+        if seen:
+            shared += n
+        elif ranges and ranges[-1][1] == at:
+            ranges[-1] = (ranges[-1][0], at + n)
+        else:
+            ranges.append((at, at + n))
+        at += n
+    shared += sum(n for n, seen in zip(b.words.tolist(), seen_b) if seen)
+    return shared / (at + int(b.words.sum())), ranges
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of leaves that both have; 1 for equal roots. Branches that agree are matched whole, sections first."""
-    if a[:32] == b[:32]:
-        return 1.0
-    x, y = Counter(a[33:].split("/")), Counter(b[33:].split("/"))
-    shared, total = 0, sum(c * (len(k) - k.count(";")) for t in (x, y) for k, c in t.items()) // HEX
-    for split in (lambda k: k.split(";"), lambda k: [k[i : i + HEX] for i in range(0, len(k), HEX)], None):
-        same = x & y
-        shared += 2 * sum(c * (len(k) - k.count(";")) for k, c in same.items()) // HEX
-        x, y = x - same, y - same
-        if split:
-            x, y = (Counter(p for k in t.elements() for p in split(k)) for t in (x, y))
-    return shared / total if total else 0.0
+    """0 to 1: the share of both texts' words in branches that both have; 1 for equal roots."""
+    return alike(Tree.parse(a), Tree.parse(b))[0]
 
 
 def edits(a: str, b: str) -> list[tuple[int, int]]:
-    """(paragraph, leaf) numbers of the first document's leaves that the second one lacks, from the branches that differ."""
-    sections, out, number = set(b[33:].split("/")), [], 0
-    held = Counter(p[i : i + HEX] for s in b[33:].split("/") for p in s.split(";") for i in range(0, len(p), HEX))
-    for section in a[33:].split("/"):
-        for paragraph in section.split(";"):
-            for k, i in enumerate(range(0, len(paragraph), HEX)):
-                leaf = paragraph[i : i + HEX]
-                if section not in sections and held[leaf] <= 0:
-                    out.append((number, k))
-                held[leaf] -= 1
-            number += 1
-    return out
+    """Where the first text differs from the second: ranges of its words (parts between single blanks and line feeds), end exclusive, to the leaf."""
+    return alike(Tree.parse(a), Tree.parse(b))[1]
 
 
 def with_next(docs: DataFrame, parts: int, consume, schema: str) -> DataFrame:
-    """Runs consume(doc_id, text, its fingerprint, next text, its fingerprint) over all rows in descending doc_id order.
+    """Runs consume(doc_id, text, its tree, next text, its tree) over all rows in descending doc_id order.
 
     Texts move once, to ranges of doc_id. Range limits are ids of the table, so the first document of every range
     is known beforehand and is dealt to the range before as well (the first of all to the last), where it
@@ -121,13 +233,13 @@ def with_next(docs: DataFrame, parts: int, consume, schema: str) -> DataFrame:
                 if is_guest:
                     guest = text if guest is None else guest
                     continue
-                mark = fingerprint(text)
+                mark = Tree.of(text)
                 if held is not None:
                     out.append(consume(*held, text, mark))
                 held = (doc_id, text, mark)
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
         if held is not None:
-            yield pd.DataFrame([consume(*held, guest or "", fingerprint(guest or ""))], columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame([consume(*held, guest or "", Tree.of(guest or ""))], columns=names).astype({"doc_id": "Int64"})
 
     names = [x.split()[0] for x in schema.split(", ")]
     dealt = rows.mapInPandas(place, "part int, guest boolean, doc_id long, text string").repartitionById(n, F.col("part"))
@@ -151,16 +263,18 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def compare_with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each document's fingerprint, its edited text's, and their likeness to it and to the next document's.
+    """Each document's fingerprint, its edited text's, its likeness to it and to the next document's, and where the edit is (``edits``: word ranges ``from-to``, comma-joined).
 
     Order is descending doc_id; after the last comes the first, so a lone document follows itself. Rows that repeat
-    a doc_id are neighbours, ordered by text; null ids come last (in a table of null ids alone, the empty text follows the last row). Empty texts are equal to each other.
+    a doc_id are neighbours, ordered by text; null ids come last (in a table of null ids alone, the empty text follows the last row). Empty texts are equal to each other. Extra columns
+    are not read; an empty table gives no rows.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits string"
 
     def consume(doc_id, text, mark, following, next_mark):
         changed = edited(text, following)
-        b = fingerprint(changed)
-        return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), mark, b, likeness(mark, b), likeness(mark, next_mark)
+        own = Tree.of(changed)
+        near, ranges = alike(mark, own)
+        return doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), str(mark), str(own), near, alike(mark, next_mark)[0], ",".join(f"{a}-{b}" for a, b in ranges)
 
     return with_next(docs, parts or partitions(docs.sparkSession), consume, schema)
