@@ -5,8 +5,10 @@ length; backpointers are kept until the paths of all ends in that window run thr
 ids before it are committed and forgotten. A unigram model's paths are weighed by the sum of its scores. In a BPE
 model merges decide, not sums: a segmentation is the merges' result exactly if each two neighbouring pieces are
 (the merges, run over the two together, give the two back). So a BPE path may continue only with a piece that can
-follow its last one, and the one path left is the library's. Words (a run of blanks and what follows it) are
-remembered, since no piece has a blank after another character: their starts are boundaries of every path.
+follow its last one, and the one path left is the library's. No piece has a blank after another character, so the
+start of a word (a run of blanks and what follows it) is a boundary of every path: there the stream commits without looking
+back, and what a whole word's pass gave is remembered for its next occurrence. Within a long word the pass itself
+commits wherever its paths converge. A stream takes text in parts and holds no more than an open word's window.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from corpusmill.llm.common import crc_u32, text_rows
 
 BLANK = "▁"
 WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
-CHECK = 256
+#: What of a text still belongs to an open word, before and after its first character that is no blank.
+REST, BODY = re.compile(f"{BLANK}*[^{BLANK}]*").match, re.compile(f"[^{BLANK}]*").match
+CHECK, PART = 256, 1 << 16
 
 
 def merges(text: str, rank: dict[str, float]) -> list[str]:
@@ -145,19 +149,54 @@ class Viterbi:
 
 
 class Known(dict):
-    """What is missing is made and kept."""
+    """What is missing is made and kept, up to ``most``; then the memory begins anew."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        found = self[key] = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        found = self.make(key)
+        if self.most:
+            self[key] = found
         return found
 
 
+class Stream:
+    """feed(text) gives the id bytes committed so far, finish() the rest. Blanks are ``BLANK`` already; the text may come in any parts."""
+
+    def __init__(self, codec: Codec, check: int = CHECK):
+        self.codec, self.check, self.open, self.on, self.body = codec, check, "", None, False
+
+    def feed(self, text: str) -> bytes:
+        out = []
+        if self.on is not None:  # a long word is open
+            end = (BODY if self.body else REST)(text).end()
+            self.body = self.body or text[:end].strip(BLANK) != ""
+            out.append(self.codec.id_bytes_of(self.on.feed(text[:end])))
+            if end == len(text):
+                return out[0]
+            out.append(self.codec.id_bytes_of(self.on.finish()))
+            self.on, text = None, text[end:]
+        words = WORD(self.open + text)
+        self.open = words.pop() if words else ""
+        out += map(self.codec.known.__getitem__, words)
+        if len(self.open) > self.check:
+            self.on, self.body = Viterbi(self.codec.lattice, self.check), self.open.strip(BLANK) != ""
+            out.append(self.codec.id_bytes_of(self.on.feed(self.open)))
+            self.open = ""
+        return b"".join(out)
+
+    def finish(self) -> bytes:
+        out = self.codec.id_bytes_of(self.on.finish()) if self.on is not None else self.codec.known[self.open] if self.open else b""
+        self.open, self.on = "", None
+        return out
+
+
 class Codec:
-    """encode(text) -> ids, decode(ids) -> text, for a model file with byte fallback and no rewriting of characters."""
+    """encode(text) -> ids, decode(ids) -> text, for a model file with byte fallback and no rewriting of characters; ``most`` words are remembered, none if 0."""
 
     def __init__(self, path: str, most: int = 2_000_000):
         import sentencepiece
@@ -174,25 +213,25 @@ class Codec:
         # merges in a BPE model have scores 0, -1, -2, ...; a unigram model has log probabilities
         scores = {p: sp.get_score(i) for p, i in self.number.items()}
         self.lattice = Lattice(scores, all(float(s).is_integer() for s in scores.values()))
-        self.most, self.known = most, Known(self._word)
+        self.known = Known(self._word, most)
         self.id_bytes = {p: i.to_bytes(4, "little") for p, i in self.number.items()}
         self.id_bytes_of_byte = {b: i.to_bytes(4, "little") for b, i in self.bytes.items()}
 
+    def id_bytes_of(self, pieces: list[str]) -> bytes:
+        ids = self.id_bytes
+        return b"".join([ids[p] if p in ids else b"".join([self.id_bytes_of_byte[x] for x in p.encode("utf-8", "replace")]) for p in pieces])
+
     def _word(self, word: str) -> bytes:
-        on, ids = Viterbi(self.lattice), self.id_bytes
-        return b"".join([ids[p] if p in ids else b"".join([self.id_bytes_of_byte[x] for x in p.encode("utf-8", "replace")]) for p in on.feed(word) + on.finish()])
+        on = Viterbi(self.lattice)
+        return self.id_bytes_of(on.feed(word) + on.finish())
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text, streamed in parts."""
         if not text:
             return np.zeros(0, "<u4")
-        known = self.known
-        if "  " in text or text[0] == " " or text[-1] == " " or BLANK in text:
-            words = WORD(BLANK + text.replace(" ", BLANK))
-        else:
-            words = [BLANK + w for w in text.split(" ")]
-        if len(known) > self.most:
-            known.clear()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4")
+        text, on = BLANK + text.replace(" ", BLANK), Stream(self)
+        out = [on.feed(text[i : i + PART]) for i in range(0, len(text), PART)]
+        return np.frombuffer(b"".join([*out, on.finish()]), dtype="<u4")
 
     def decode(self, ids) -> str:
         """The text of ids, without the blank that encoding puts first. A literal U+2581 comes back as a blank, as from the library."""
@@ -244,7 +283,12 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32, decoded_sha256, same (the decoded text is the text) of every row; encoded and decoded in one pass."""
+    """doc_id, n_ids, ids_crc32, decoded_sha256, same (the decoded text is the text) of every row; encoded and decoded in one pass.
+
+    Null text is empty: no ids, the digest of the empty string. Texts of any length are streamed; repeated rows each give a
+    row; null ids pass through; extra columns are not read; an empty table gives no rows. A literal U+2581 decodes as a
+    blank, as in the library, so such a text is not ``same``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(path)
