@@ -411,17 +411,25 @@ def same_site_links(spark, d):
     return each.where(U.bare(U.host(F.col("url"))) == U.bare(U.host(F.col("l.url")))).select("page_id", F.col("l.url").alias("link"))
 
 
-@query()
+TIDY = lambda x: STRIP(g(x, "[ \\t\u00a0]+", " "))
+#: (page_id, blocks): the article's heading and paragraphs as Markdown, in order; an open bold runs to its paragraph's end.
+BLOCKS = f"""(SELECT page_id, list_filter(list_prepend('# ' || {TIDY(UNESCAPE("regexp_extract(art, '<h1>(.*?)</h1>', 1, 's')"))}, list_transform(string_split_regex(regexp_replace(art, '<h1>.*?</h1>', '', 's'), '</?p>'),
+ lambda x: CASE WHEN starts_with(x, '<b>') THEN '**' || {TIDY(UNESCAPE("replace(replace(x, '<b>', ''), '<br>', chr(10))"))} || '**' ELSE {TIDY(UNESCAPE("x"))} END)), lambda x: x <> '') AS blocks FROM (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS art FROM pages))"""
+PLAIN = "trim(array_to_string(list_transform(blocks, lambda b: regexp_replace(b, '[*`#>|\\-]', '', 'g')), chr(10) || chr(10)), ' ' || chr(10))"
+
+
+@query(f"SELECT b.page_id, t.title, {SQUEEZE(PLAIN)} AS text FROM {BLOCKS} b JOIN ({SQL['page_title']}) t USING (page_id)")
 def page_extract(spark, d):
     return H.with_extract(pages(spark, d), ["title", "text"]).select("page_id", "page.*")
 
 
-@query()
+@query(f"SELECT page_id, array_to_string(blocks, chr(10) || chr(10)) AS markdown FROM {BLOCKS}")
 def page_markdown(spark, d):
     return H.with_extract(pages(spark, d), ["markdown"]).select("page_id", "page.markdown")
 
 
-@query()
+@query(f"""SELECT page_id, CAST(nr - 1 AS INT) AS pos, passage FROM (SELECT page_id, unnest(long) AS passage, unnest(range(1, len(long) + 1)) AS nr FROM
+ (SELECT page_id, CASE WHEN len(list_filter(blocks, lambda b: length(b) >= 40)) > 0 THEN list_filter(blocks, lambda b: length(b) >= 40) ELSE [{SQUEEZE(PLAIN)}] END AS long FROM {BLOCKS}))""")
 def page_passages(spark, d):
     return H.with_extract(pages(spark, d), ["passages"]).select("page_id", F.posexplode("page.passages").alias("pos", "passage"))
 
