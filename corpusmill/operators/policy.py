@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # Fixed values.
 BLOCK_MARKERS = ("captcha", "unusual traffic", "verify you are human", "are you a robot", "consent.bing", "/tou/", "before you continue", "cf-browser-verification", "checking your browser", "just a moment", "enable javascript and cookies", "access denied", "ddos protection by")
@@ -38,14 +42,29 @@ def ip_number(ip: Column) -> Column:
     return ((at(0) * 256 + at(1)) * 256 + at(2)) * 256 + at(3)
 
 
+@F.pandas_udf(BooleanType())
+def private_v6(ip: pd.Series) -> pd.Series:
+    """Whether an IPv6 address is private, loopback, link-local, reserved, multicast or unspecified (an IPv4 address within one counts as that); null for what is none."""
+
+    def one(x):
+        try:
+            a = ipaddress.IPv6Address(x.split("%")[0])
+        except (ValueError, AttributeError):
+            return None
+        a = a.ipv4_mapped or a
+        return a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified
+
+    return pd.Series([one(x) for x in ip], dtype=object)
+
+
 def private_ip(ip: Column) -> Column:
-    """IPv4 in a private, loopback, link-local, reserved or multicast range; null for what is no IPv4."""
+    """An address in a private, loopback, link-local, reserved or multicast range; null for what is none. IPv4 stays in the JVM."""
     n, hit = ip_number(ip), F.lit(False)
     for net in PRIVATE:
         base, bits = net.split("/")
         low = int.from_bytes(bytes(map(int, base.split("."))), "big")
         hit = hit | n.between(low, low + 2 ** (32 - int(bits)) - 1)
-    return F.when(n.isNotNull(), hit)
+    return F.when(n.isNotNull(), hit).when(ip.contains(":"), private_v6(F.when(ip.contains(":"), ip)))
 
 
 def error_kind(status: Column) -> Column:

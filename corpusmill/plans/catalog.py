@@ -11,7 +11,7 @@ from corpusmill.functions import html as H
 from corpusmill.functions import prices as P
 from corpusmill.functions import text as T
 from corpusmill.functions import urls as U
-from corpusmill.operators import chat, chunk, crawl, keep, policy, quotes, rank, usage
+from corpusmill.operators import chat, chunk, crawl, fetching, keep, policy, quotes, rank, usage
 from corpusmill.sources.tables import table
 from corpusmill.streaming import ledger
 
@@ -405,9 +405,12 @@ def page_links(spark, d):
     return H.with_extract(pages(spark, d), ["links"]).select("page_id", F.explode("page.links").alias("l")).select("page_id", F.col("l.url").alias("link"))
 
 
-@query(f"SELECT page_id, link FROM {LINKS}")
+@query("SELECT page_id, link FROM (SELECT page_id, regexp_extract(url, '//([^/?#]*)', 1) AS host, unnest([regexp_extract(url, '^[^/]*//[^/?#]*', 0) || '/own', 'http://www.' || regexp_extract(url, '//(?:www\.)?([^/?#]*)', 1) || '/w', 'http://else.example.org/x', 'https://sub.' || regexp_extract(url, '//([^/?#]*)', 1) || '/s']) AS link FROM pages) WHERE link LIKE '%/own' OR link LIKE '%/w'")
 def same_site_links(spark, d):
-    each = H.with_extract(pages(spark, d), ["links"]).select("page_id", "url", F.explode("page.links").alias("l"))
+    """Of four links of each page (its own host, that with www., another one, and a host below it) those of its site."""
+    host, start = U.host(F.col("url")), F.regexp_extract("url", "^[^/]*//[^/?#]*", 0)
+    four = F.concat_ws("", *[x for own in (F.concat(start, F.lit("/own")), F.concat(F.lit("http://www."), U.bare(host), F.lit("/w")), F.lit("http://else.example.org/x"), F.concat(F.lit("https://sub."), host, F.lit("/s"))) for x in (F.lit('<a href="'), own, F.lit('">x</a>'))])
+    each = H.with_extract(pages(spark, d).withColumn("html", four), ["links"]).select("page_id", "url", F.explode("page.links").alias("l"))
     return each.where(U.bare(U.host(F.col("url"))) == U.bare(U.host(F.col("l.url")))).select("page_id", F.col("l.url").alias("link"))
 
 
@@ -439,27 +442,22 @@ def looks_blocked(spark, d):
     return pages(spark, d).select("page_id", policy.looks_blocked(F.lit(200), F.col("html")).alias("blocked"))
 
 
-@query("SELECT page_id, 'text/html' AS content_type, 'utf-8' AS charset FROM pages")
+HEADERS = "['Text/HTML ; charset=UTF-8', 'text/plain', 'application/xhtml+xml;charset=\"euc-kr\"; x=1', ' APPLICATION/PDF ']"
+
+
+@query(f"SELECT page_id, lower(trim(split_part(h, ';', 1))) AS content_type, lower(regexp_extract(h, 'charset=[\"'']?([A-Za-z0-9_-]+)', 1)) AS charset FROM (SELECT page_id, {HEADERS}[page_id % 4 + 1] AS h FROM pages)")
 def content_type(spark, d):
-    head = F.lit("Text/HTML ; charset=UTF-8")
-    return pages(spark, d).select("page_id", F.lower(F.trim(F.split_part(head, F.lit(";"), F.lit(1)))).alias("content_type"), F.lower(F.regexp_extract(head, r"(?i)charset=[\"']?([\w-]+)", 1)).alias("charset"))
+    head = F.get(F.expr(HEADERS.replace("[", "array(").replace("]", ")")), (F.col("page_id") % 4).cast("int"))
+    return pages(spark, d).select("page_id", fetching.media_type(head).alias("content_type"), F.coalesce(fetching.charset(head), F.lit("")).alias("charset"))
 
 
-BFS = """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'c' || (o_custkey * 7 + o_orderkey) % 1500 AS dst FROM orders WHERE o_orderkey % 4 = 0),
+BFS = """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'c' || (o_custkey * 7 + o_orderkey) % 1500 AS dst FROM orders),
 w(node, depth) AS (SELECT 'c1', 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON w.node = e.src WHERE w.depth < 3)
 SELECT node, min(depth)::INT AS depth FROM w GROUP BY node"""
 
 
 @query(BFS)
 def crawl_bfs(spark, d):
-    c = lambda x: F.concat(F.lit("c"), x.cast("string"))
-    links = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(c(F.col("o_custkey")).alias("src"), c((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("dst")).distinct()
-    return crawl.crawl_bfs(spark.range(1).select(F.lit("c1").alias("node")), links, 3)
-
-
-@query()
-def crawl_bfs_whole(spark, d):
-    """Over the links of all orders."""
     c = lambda x: F.concat(F.lit("c"), x.cast("string"))
     links = table(spark, d, "orders").select(c(F.col("o_custkey")).alias("src"), c((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("dst")).distinct()
     return crawl.crawl_bfs(spark.range(1).select(F.lit("c1").alias("node")), links, 3)
@@ -528,15 +526,8 @@ def won_range(spark, d):
     return table(spark, d, "part").where("p_partkey > 0").select("p_partkey", P.won_range(low, F.when(F.col("p_size") % 2 == 0, low).otherwise(low + F.col("p_size"))).alias("range"))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_retailprice END, p_partkey)::INT AS place FROM part QUALIFY place <= 50")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 7 = 0 THEN 0 ELSE p_retailprice END, p_partkey)::INT AS place FROM part")
 def quotes_sorted(spark, d):
-    price = F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice"))
-    top = table(spark, d, "part").select("p_partkey", F.coalesce(price, F.lit(0.0)).alias("p")).orderBy("p", "p_partkey").limit(50)
-    return top.select("p_partkey", F.row_number().over(Window.orderBy("p", "p_partkey")).alias("place"))
-
-
-@query()
-def quotes_sorted_whole(spark, d):
     """The place of every quote."""
     price = F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice"))
     return quotes.places(table(spark, d, "part").select("p_partkey", F.coalesce(price, F.lit(0.0)).alias("p")), "p", "p_partkey").select("p_partkey", F.col("place").cast("int").alias("place"))

@@ -178,13 +178,12 @@ def search_json(spark, d):
     return search.json_results(_responses(spark, d), 5)
 
 
-@query("SELECT s_name AS query, 'brave HTTP 500: ' || left('{\"web\":{\"results\":[{\"title\":\"T ' || s_name || '\",\"url\":\"https://u' || s_suppkey || '.com/a\",\"link\":\"https://l' || s_suppkey || '.com/a\",\"snippet\":\"<b>s</b> &amp; x\",\"content\":\"c\",\"description\":\"<b>d</b> &lt;\",\"score\":0.5}]}}', 200) AS error FROM supplier WHERE s_suppkey % 7 = 3")
-def search_failures(spark, d):
-    return search.failures(_responses(spark, d)).where("provider = 'brave'").select("query", "error")
+ITEM = """'{"title":"T ' || s_name || '","url":"https://u' || s_suppkey || '.com/a","link":"https://l' || s_suppkey || '.com/a","snippet":"<b>s</b> &amp; x","content":"c","description":"<b>d</b> &lt;","score":0.5}'"""
+OPENING = {"wikipedia": '{"query":{"search":[', "brave": '{"web":{"results":[', "serpapi": '{"organic_results":[', "google_cse": '{"items":[', "naver": '{"items":[', "searxng": '{"results":[', "tavily": '{"results":['}
 
 
-@query()
-def search_failures_whole(spark, d):
+@query(" UNION ALL ".join(f"SELECT '{k}' AS provider, s_name AS query, '{k} HTTP 500: ' || left('{v}' || {ITEM} || '{']' + '}' * v.count('{')}', 200) AS error FROM supplier WHERE s_suppkey % 7 = 3" for k, v in OPENING.items()))
+def search_failures(spark, d):
     """Of all services."""
     return search.failures(_responses(spark, d))
 

@@ -73,7 +73,8 @@ def test_html_is_mended():
 def test_policy(spark):
     assert one(spark, policy.private_ip(F.col("i")), i="169.254.169.254") is True
     assert one(spark, policy.private_ip(F.col("i")), i="8.8.8.8") is False
-    assert one(spark, policy.private_ip(F.col("i")), i="::1") is None
+    assert one(spark, policy.private_ip(F.col("i")), i="::1") is True
+    assert one(spark, policy.private_ip(F.col("i")), i="2001:4860:4860::8888") is False and one(spark, policy.private_ip(F.col("i")), i="no") is None
     assert one(spark, policy.looks_blocked(F.lit(404), F.col("b")), b="gone") is False
     assert one(spark, policy.looks_blocked(F.lit(200), F.col("b")), b="Just a Moment") is True
 
