@@ -89,11 +89,13 @@ def dedupe_lines(text: Column) -> Column:
     """Without later copies of lines whose lower-cased, blank-squeezed form is over 25 characters."""
     key = lambda x: F.regexp_replace(strip(F.lower(x)), BLANKS, " ")
 
-    def kept(v: Column) -> Column:
-        return F.filter(v["lines"], lambda x, i: (F.length(F.get(v["keys"], i)) <= 25) | (F.array_position(v["keys"], F.get(v["keys"], i)) == i + 1))
+    def kept(lines: Column) -> Column:
+        # equal keys are neighbours once sorted, the first line first; so no line is sought among all others
+        keyed = F.sort_array(F.transform(lines, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+        first = let(keyed, lambda v: F.filter(v, lambda x, j: (F.length(x["k"]) <= 25) | (j == 0) | (F.get(v, j - 1)["k"] != x["k"])))
+        return F.transform(F.sort_array(F.transform(first, lambda x: x["i"])), lambda i: F.get(lines, i))
 
-    both = let(F.split(text, "\n"), lambda lines: F.struct(lines.alias("lines"), F.transform(lines, key).alias("keys")))
-    return F.array_join(let(both, kept), "\n")
+    return F.array_join(let(F.split(text, "\n"), kept), "\n")
 
 
 def clean(text: Column, flatten: bool = False) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,14 @@ def tokenize(text: Column) -> Column:
 
 def query_tokens(query: str) -> list[str]:
     """The tokens of a query, repeats kept, as the column function makes them."""
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active().range(1).select(tokenize(F.lit(query)).alias("t")).first()["t"]
+    out: list[str] = []
+    for t in re.findall(TOKEN, query):
+        t = t.lower()
+        if len(t) > 1 and t not in STOP:
+            out.append(t)
+            if re.search(T.CJK_CHUNK, t):
+                out += [t[i : i + 2] for i in range(len(t) - 1)]
+    return out
 
 
 def term_freq(passages: DataFrame, key: str) -> DataFrame:
@@ -87,6 +94,78 @@ def top_passages(passages: DataFrame, query: str, group: list[str], order: str,
     return ranked.where(F.col("rank") <= k).withColumn("score", F.round(F.col("score") / F.col("__hi"), 4)).drop("__hi")
 
 
+def scored_items(items: Column, query: str) -> Column:
+    """array<struct<neg, pos, text, score>> of an array<struct<pos, text>>: BM25 among the items of one row, those that score, best first, ties by pos.
+
+    All statistics are the row's own, so nothing is shuffled; null or no items give none.
+    """
+    terms = query_tokens(query)
+    uniq = list(dict.fromkeys(terms))
+    is_term = lambda w: lambda x: x == w
+    has = lambda i: lambda x: x[f"tf{i}"] > 0
+    counted = F.transform(items, lambda x: T.let(tokenize(x["text"]), lambda t: F.struct(x["pos"].alias("pos"), x["text"].alias("text"), F.size(t).alias("dl"), *[F.size(F.filter(t, is_term(w))).alias(f"tf{i}") for i, w in enumerate(uniq)])))
+
+    def all_(v: Column) -> Column:
+        stats = F.struct(F.size(v).alias("n"), (F.aggregate(v, F.lit(0), lambda acc, x: acc + x["dl"]) / F.greatest(F.size(v), F.lit(1))).alias("avg"), *[F.size(F.filter(v, has(i))).alias(f"df{i}") for i in range(len(uniq))])
+
+        def score(x: Column, st: Column) -> Column:
+            total = F.lit(0.0)
+            for t in terms:
+                i = uniq.index(t)
+                tf = x[f"tf{i}"]
+                part = idf(st["n"], st[f"df{i}"]) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * x["dl"] / F.coalesce(F.nullif(st["avg"], F.lit(0.0)), F.lit(1.0))))
+                total = total + F.when(tf > 0, part).otherwise(F.lit(0.0))
+            return total
+
+        some = F.filter(v, lambda x: F.greatest(F.lit(0), *[x[f"tf{i}"] for i in range(len(uniq))]) > 0)
+        return T.let(stats, lambda st: F.transform(some, lambda x: T.let(score(x, st), lambda s: F.struct((-F.round(s, 9)).alias("neg"), x["pos"].alias("pos"), x["text"].alias("text"), s.alias("score")))))
+
+    return F.sort_array(F.filter(T.let(counted, all_), lambda x: x["score"] > 0))
+
+
+def ranked_items(items: Column, query: str, k: int) -> Column:
+    """array<struct<rank, pos, text, score>>: the k best of ``scored_items``, scores over the greatest, rounded to 4."""
+    return T.let(scored_items(items, query), lambda v: F.transform(F.slice(v, 1, k), lambda x, i: F.struct((i + 1).alias("rank"), x["pos"].alias("pos"), x["text"].alias("text"), F.round(x["score"] / F.array_max(F.transform(v, lambda y: y["score"])), 4).alias("score"))))
+
+
+def line_items(text: Column, least: int = 40) -> Column:
+    """The lines of a text that are long enough, as passages with their place."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("text"))), lambda x: F.length(x["text"]) >= least)
+
+
+def sentence_items(text: Column) -> Column:
+    """The sentences of a text that are prose, without Markdown, 30 to 400 characters long, with their place."""
+    raw = F.filter(F.transform(T.sentences(text, lines=True), lambda x, i: F.struct(i.alias("pos"), x.alias("text"))), lambda x: F.length(x["text"]) >= 30)
+    plain = F.transform(raw, lambda x: F.struct(x["pos"].alias("pos"), T.strip_md(x["text"]).alias("text")))
+    return F.filter(plain, lambda x: F.length(x["text"]).between(30, 400) & T.is_prose(x["text"]))
+
+
+def may_match(text: Column, query: str) -> Column:
+    """False only for texts in which no term of the query can be a token."""
+    low, hit = F.lower(text), F.lit(False)
+    for t in dict.fromkeys(query_tokens(query)):
+        hit = hit | low.contains(t)
+    return hit
+
+
+def document_passages(docs: DataFrame, query: str, k: int = 4) -> DataFrame:
+    """(doc_id, rank, pos, text, score): the k best lines of each document, chosen within its row. Null texts have none."""
+    return docs.where(may_match(F.col("text"), query)).select("doc_id", F.explode(ranked_items(line_items(F.col("text")), query, k)).alias("p")).select("doc_id", "p.*")
+
+
+def document_answers(docs: DataFrame, query: str, top: int = 6, budget: int = 700) -> DataFrame:
+    """(doc_id, answer) of the documents that have one, as ``answer`` makes it of a document's sentences, within its row."""
+
+    def join(v: Column) -> Column:
+        keys = F.transform(v, lambda x: F.lower(F.left(x["text"], F.lit(60))))
+        own = F.filter(v, lambda x, i: F.array_position(keys, F.lower(F.left(x["text"], F.lit(60)))) == i + 1)  # of ``top`` sentences
+        run = lambda u, i: F.aggregate(F.slice(u, F.lit(1), i + 1), F.lit(0), lambda acc, y: acc + F.length(y["text"]))
+        return T.let(own, lambda u: F.array_join(F.transform(F.filter(u, lambda x, i: (i == 0) | (run(u, i) <= budget)), lambda x: x["text"]), " "))
+
+    best = F.slice(scored_items(sentence_items(F.col("text")), query), 1, top)
+    return docs.where(may_match(F.col("text"), query)).select("doc_id", T.let(best, lambda v: F.when(F.size(v) > 0, join(v))).alias("answer")).where("answer is not null")
+
+
 def passages_of(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, text): the lines of a document, as passages."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(F.length("text") >= 40)

@@ -253,7 +253,7 @@ TOPK = f"(SELECT *, round(score / h, 4) AS norm, row_number() OVER (PARTITION BY
 
 @query(f"SELECT doc_id, pos::INT AS pos, rank::INT AS rank, norm AS score FROM {TOPK} WHERE rank <= 4")
 def rank_passages_topk(spark, d):
-    return rank.top_passages(rank.passages_of(docs(spark, d)), QUERY, ["doc_id"], "pos", 4).select("doc_id", "pos", "rank", "score")
+    return rank.document_passages(docs(spark, d), QUERY, 4).select("doc_id", "pos", "rank", "score")
 
 
 # the pages that match, best first; a page with a match has a best passage of 1.0, so order is that of ids
@@ -261,7 +261,7 @@ POOL = f"(SELECT doc_id, pos, rank, text FROM {TOPK} WHERE rank <= 3 AND doc_id
 
 
 def _pool(spark, d):
-    best = rank.top_passages(rank.passages_of(docs(spark, d)), QUERY, ["doc_id"], "pos", 4)
+    best = rank.document_passages(docs(spark, d), QUERY, 4)
     three = best.where("rank = 1").orderBy(F.desc("score"), "doc_id").limit(3).select("doc_id")
     return best.join(F.broadcast(three), "doc_id").where("rank <= 3")
 
@@ -282,15 +282,13 @@ def ANSWER(src: str, part: str, cols: str) -> str:
 
 @query(f"SELECT doc_id, answer FROM {ANSWER('documents', 'doc_id', 'doc_id')}")
 def extractive_answer(spark, d):
-    return rank.answer(docs(spark, d).select("doc_id", F.lit(0).alias("pos"), "text"), QUERY, ["doc_id"], ["pos"])
+    return rank.document_answers(docs(spark, d), QUERY)
 
 
 @query(f"SELECT doc_id, coalesce(score, 0.0)::DOUBLE AS score, coalesce(content, '') AS content FROM documents LEFT JOIN (SELECT doc_id, max(norm) AS score, string_agg(text, chr(10) ORDER BY rank) AS content FROM {TOPK} WHERE rank <= 4 GROUP BY doc_id) USING (doc_id)")
 def research_advanced(spark, d):
-    best = rank.top_passages(rank.passages_of(docs(spark, d)), QUERY, ["doc_id"], "pos", 4)
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n")
-    one = best.groupBy("doc_id").agg(F.max("score").alias("score"), content.alias("content"))
-    return docs(spark, d).select("doc_id").join(one, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("content", F.lit("")).alias("content"))
+    best = rank.ranked_items(rank.line_items(F.col("text")), QUERY, 4)
+    return docs(spark, d).select("doc_id", best.alias("b")).select("doc_id", F.coalesce(F.get("b", F.lit(0))["score"], F.lit(0.0)).alias("score"), F.coalesce(F.array_join(F.transform("b", lambda x: x["text"]), "\n"), F.lit("")).alias("content"))
 
 
 # URLs.
@@ -405,7 +403,7 @@ def page_links(spark, d):
     return H.with_extract(pages(spark, d), ["links"]).select("page_id", F.explode("page.links").alias("l")).select("page_id", F.col("l.url").alias("link"))
 
 
-@query("SELECT page_id, link FROM (SELECT page_id, regexp_extract(url, '//([^/?#]*)', 1) AS host, unnest([regexp_extract(url, '^[^/]*//[^/?#]*', 0) || '/own', 'http://www.' || regexp_extract(url, '//(?:www\.)?([^/?#]*)', 1) || '/w', 'http://else.example.org/x', 'https://sub.' || regexp_extract(url, '//([^/?#]*)', 1) || '/s']) AS link FROM pages) WHERE link LIKE '%/own' OR link LIKE '%/w'")
+@query("SELECT page_id, link FROM (SELECT page_id, regexp_extract(url, '//([^/?#]*)', 1) AS host, unnest([regexp_extract(url, '^[^/]*//[^/?#]*', 0) || '/own', 'http://www.' || regexp_extract(url, '//(?:www[.])?([^/?#]*)', 1) || '/w', 'http://else.example.org/x', 'https://sub.' || regexp_extract(url, '//([^/?#]*)', 1) || '/s']) AS link FROM pages) WHERE link LIKE '%/own' OR link LIKE '%/w'")
 def same_site_links(spark, d):
     """Of four links of each page (its own host, that with www., another one, and a host below it) those of its site."""
     host, start = U.host(F.col("url")), F.regexp_extract("url", "^[^/]*//[^/?#]*", 0)
