@@ -30,6 +30,8 @@ BLOCK = 1 << 16
 NO_ID = 1 << 62
 #: How many new neighbours a text is given on a key in a round of ``similar_pairs``.
 DRAWS = 8
+#: A key is hot if more rows have it than this, and than a 4096th of the table's.
+HOT = 200
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -80,18 +82,28 @@ def links(heads: DataFrame, radius: int = 2) -> DataFrame:
     return met.select(F.least("head", "other").alias("u"), F.greatest("head", "other").alias("v")).distinct()
 
 
-def hot_keys(rows: DataFrame, key: str, total: int, least: int = 1000) -> DataFrame:
-    """(key, times): keys that more of the ``total`` rows have than ``least`` and than a 4096th of them, so 4096 keys at most."""
-    return rows.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > max(least, total // 4096))
+def hot_keys(rows: DataFrame, key: str, total: int, least: int = HOT) -> DataFrame | None:
+    """(key, times): keys that more of the ``total`` rows have than ``least`` and than a 4096th of them, so 4096 keys at most; None if there are none."""
+    if total <= least:
+        return None
+    found = kept(rows.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > max(least, total // 4096)), "hot")
+    return None if found.isEmpty() else found
 
 
-def join_spread(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """rows joined with keyed (each key once). Rows of a hot key stay where they are: what keyed has for the few ``hot`` keys is broadcast, the rest is shuffled."""
+    if hot is None:
+        return rows.join(keyed, key)
     few = keyed.join(F.broadcast(hot.select(key)), key, "left_semi")
     many = keyed.join(F.broadcast(hot.select(key)), key, "left_anti")
     return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(many, key))
 
 
+def with_times(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """rows with how often a hot key occurs (``times``), null for other keys."""
+    return rows.withColumn("times", F.lit(None).cast("long")) if hot is None else rows.join(F.broadcast(hot), key, "left")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is its smallest reachable node.
 
@@ -103,13 +115,12 @@ def components(edges: DataFrame) -> DataFrame:
     before, n = None, edges.count()
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = kept(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("times")), "least")
-        hot = least.where(F.col("times") > max(1000, 2 * n // 4096))
-        large = join_spread(both, least.select("u", "m"), "u", hot).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = kept(large, "large")
-        lower = kept(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")), "least")
-        hot = lower.where(F.col("times") > max(1000, 2 * n // 4096))
-        small = join_spread(large, lower.select("u", "m"), "u", hot).select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
+        hot = hot_keys(both, "u", 2 * n)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = join_spread(both, least, "u", hot).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large if hot is None else kept(large, "large")
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = join_spread(large, lower, "u", hot).select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
         edges = kept(small.select(F.col("e.y").alias("u"), F.col("e.x").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
@@ -130,8 +141,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = kept(heads.withColumn("head", F.coalesce("id", F.lit(2**63 - 1) - F.abs(F.col("fp") % NO_ID))), "heads")
     found = components(links(heads.select("fp", "head"), radius))
     classes = heads.join(found, F.col("head") == F.col("node"), "left").select("fp", F.when(F.col("component") <= NO_ID, F.col("component")).otherwise(F.col("id")).alias("component_id"))
-    hot = heads.where(F.col("times") > max(1000, fps.count() // 4096))
-    return join_spread(fps, kept(classes, "classes"), "fp", hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    hot = heads.where(F.col("times") > max(HOT, fps.count() // 4096)).select("fp")
+    return join_spread(fps, kept(classes, "classes"), "fp", None if hot.isEmpty() else hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -185,12 +196,14 @@ def prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(doc_id, n, parities, place, keys) of the texts that may have one alike: how many shingles a text has, and those of its rarest that other texts have too.
 
     Sets alike share ``similarity`` times the larger one's members, so in any one order of all shingles each has a common one
-    among all but that many, and one. The order is by the number of texts that have a shingle, over all texts, then by
-    hash; the ``frequent`` ones come last, so that no common shingle's rows meet in the shuffle that counts. What no
-    other text has comes first and is left out; ``place`` is the first key's place in the order. Most texts end there.
+    among all but that many, and one. In the order here two thirds of all shingles (by their hash) come first, those
+    that fewest texts have before others; counts are over all texts. As nearly every text finds its rarest ones among
+    them, the other third comes by hash and is not counted. The ``frequent`` ones come last, so that no common
+    shingle's rows meet in the shuffle that counts. What no other text has is left out; ``place`` is the first key's
+    place in the order. Most texts end there.
     """
     known, count = frequent(rows, shingle)
-    kind = "doc_id long, n int, open int, most int, keys array<long>, common array<long>, parities binary"
+    kind = "doc_id long, n int, open int, most int, keys array<long>, later array<long>, parities binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -202,16 +215,20 @@ def prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     hit = known[at] == h
                     own, common = h[~hit], h[hit][np.lexsort((h[hit], count[at[hit]]))]
+                first = own % np.uint64(3) > 0
+                own, later = own[first], np.concatenate([own[~first], common])
                 mark = np.array([doc_id * 0x9E3779B97F4A7C15 % 2**64], np.uint64)  # a row of its own, that carries what is the text's
-                out.append((doc_id, len(h), len(own), most, np.concatenate([own, mark]).view(np.int64), common[: max(0, most - len(own))].view(np.int64), parities(h)))
+                out.append((doc_id, len(h), len(own), most, np.concatenate([own, mark]).view(np.int64), later[: max(0, most - len(own))].view(np.int64), parities(h)))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in kind.split(", ")])
 
-    each = rows.mapInPandas(run, kind).select("doc_id", F.posexplode("keys").alias("at", "key"), *[F.when(F.col("at") == F.col("open"), F.col(c)).alias(c) for c in ("n", "open", "most", "common", "parities")])
-    counted = each.drop("at").withColumn("texts", F.count("*").over(Window.partitionBy("key"))).where("texts > 1 or open is not null")
-    own = F.sort_array(F.collect_list(F.when(F.col("open").isNull(), F.struct("texts", "key"))))
-    by_text = counted.groupBy("doc_id").agg(own.alias("own"), *[F.max(c).alias(c) for c in ("n", "open", "most", "parities")], F.max("common").alias("common"))
+    told = F.struct("n", "open", "most", "later", "parities")
+    each = rows.mapInPandas(run, kind).select("doc_id", told.alias("told"), F.posexplode("keys").alias("at", "key"))
+    each = each.select("key", "doc_id", F.when(F.col("at") == F.col("told.open"), F.col("told")).alias("told"))
+    counted = each.withColumn("texts", F.count("*").over(Window.partitionBy("key"))).where("texts > 1 or told is not null")
+    own = F.sort_array(F.collect_list(F.when(F.col("told").isNull(), F.struct("texts", "key"))))
+    by_text = counted.groupBy("doc_id").agg(own.alias("own"), F.first("told", ignorenulls=True).alias("told")).select("doc_id", "own", "told.*")
     place = F.col("open") - F.size("own")
-    keys = F.slice(F.concat(F.transform("own", lambda x: x["key"]), "common"), F.lit(1), F.col("most") - place)
+    keys = F.slice(F.concat(F.transform("own", lambda x: x["key"]), "later"), F.lit(1), F.col("most") - place)
     return by_text.where(place < F.col("most")).select("doc_id", "n", "parities", place.alias("place"), keys.alias("keys"))
 
 
@@ -241,10 +258,10 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int,
 
     first = sets.select(F.col("doc_id").alias("u"), "n", F.col("parities").alias("a"))
     second = sets.select(F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("parities").alias("b"))
-    hot = kept(hot_keys(pairs, "u", pairs.count()), "hot")
+    hot = hot_keys(pairs, "u", pairs.count())
     fit = join_spread(pairs, first, "u", hot).join(second, "v").select("u", "v", "n", "m", "a", "b").mapInPandas(allowed, "u long, v long")
-    fit = fit.join(F.broadcast(hot), "u", "left")  # a text's groups are as many as its partners need
-    groups = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("times"), F.lit(1000)) / salts))
+    fit = with_times(fit, "u", hot)  # a text's groups are as many as its partners need
+    groups = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("times"), F.lit(HOT)) / salts))
     fit = kept(fit.select("u", "v", F.pmod(F.xxhash64("v"), groups).cast("int").alias("salt")), "pairs")
     wanted = fit.select(F.col("v").alias("doc_id"), "u", "salt").union(fit.select(F.col("u").alias("doc_id"), "u", "salt").distinct())
     whole = wanted.join(texts, "doc_id").repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("doc_id") != F.col("u"), "doc_id")
@@ -262,7 +279,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.join(least, "doc_id").select(F.when(F.col("text") == F.col("least"), F.col("doc_id")).otherwise(other).alias("node"), "doc_id", "text")
 
 
-def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, salts: int = 125) -> DataFrame:
+def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, salts: int = 50) -> DataFrame:
     """(u, v), u < v: pairs of ids whose sets of word shingles have a Jaccard similarity of at least ``similarity``, enough to connect all that have.
 
     Texts alike share one of their rarest shingles (see ``prefixes``). First each text is held against its neighbour and the
@@ -275,7 +292,7 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sa
     return connected(numbered(docs).select(F.col("node").alias("doc_id"), "text"), shingle, similarity, salts)
 
 
-def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 125) -> DataFrame:
+def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 50) -> DataFrame:
     """``similar_pairs`` of (doc_id, text) with each doc_id once."""
     sets = kept(prefixes(texts, shingle, similarity), "prefixes")
     early = F.when(F.col("row.place") <= (1 - similarity) / (1 + similarity) * F.col("row.n") + 1e-6, F.col("row"))  # rows that can meet one of their own size on the key
@@ -290,10 +307,10 @@ def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 12
     each = sets.select("doc_id", "n", F.posexplode("keys").alias("at", "key"), F.col("place").alias("from"))
     each = kept(each.select("key", F.struct("doc_id", "n", (F.col("from") + F.col("at")).alias("place")).alias("row")), "each")
     total = each.count()
-    hot = kept(hot_keys(each, "key", total), "hot")
-    part = F.pmod(F.xxhash64("row.doc_id"), F.ceil(F.coalesce(F.col("times"), F.lit(1)) / max(1000, total // 4096)))
+    hot = hot_keys(each, "key", total)
+    part = F.pmod(F.xxhash64("row.doc_id"), F.ceil(F.coalesce(F.col("times"), F.lit(1)) / max(HOT, total // 4096)))
     by, of = Window.partitionBy("key", "salt").orderBy("row.n", "row.doc_id"), Window.partitionBy("key", "salt")
-    met = each.join(F.broadcast(hot), "key", "left").select("key", "row", part.cast("int").alias("salt"), F.col("times").isNotNull().alias("hot"))
+    met = with_times(each, "key", hot).select("key", "row", part.cast("int").alias("salt"), F.col("times").isNotNull().alias("hot"))
     met = met.select("key", "row", "hot", before(by).alias("last"), head(of).alias("head"), F.count("*").over(of).alias("held"))
     met = kept(met.where("hot or held > 1"), "met")
 
@@ -311,13 +328,15 @@ def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 12
     tops = met.where("hot and row.doc_id = head.doc_id").select("key", "row")
     on, of = Window.partitionBy("key").orderBy("row.n", "row.doc_id"), Window.partitionBy("key")
     tops = tops.select("key", "row", before(on).alias("last"), head(of).alias("head"))
-    near = pairs_of(met, "last").union(pairs_of(met, "head")).union(pairs_of(tops, "last")).union(pairs_of(tops, "head"))
+    near = pairs_of(met, "last").union(pairs_of(met, "head"))
+    near = near if hot is None else near.union(pairs_of(tops, "last")).union(pairs_of(tops, "head"))
     found = check(kept(near.distinct(), "near"))
     seed = 0
     while True:
         joined = components(found)
         own = kept(met.select("key", "row", F.col("row.doc_id").alias("node")).join(joined, "node", "left").select("key", "row", F.coalesce("component", "node").alias("group")), "own")
-        several = kept(own.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key"), "several")
+        several = own.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
+        several = several if hot is None else kept(several, "several")
         open_ = kept(join_spread(own, several, "key", hot), "open")
         tried = [pairs_of(shuffled(open_, before, hot, total, seed + k), "last") for k in range(DRAWS)]
         anew = kept(reduce(DataFrame.union, tried).distinct(), "anew")
@@ -326,7 +345,7 @@ def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 12
         if not alike:
             break
         found = kept(found.union(more), "found")
-        if 20 * alike < n:  # few are alike: what is left is mostly alone
+        if 20 * alike < n or alike < 32:  # few are alike: what is left is mostly alone
             joined = components(found)
             open_ = kept(open_.withColumn("node", F.col("row.doc_id")).join(joined, "node", "left").select("key", "row", F.coalesce("component", "node").alias("group")), "open")
             break
@@ -335,12 +354,12 @@ def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 12
     return found.union(check(kept(rest.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "rest")))
 
 
-def shuffled(rows: DataFrame, before, hot: DataFrame, total: int, seed: int) -> DataFrame:
+def shuffled(rows: DataFrame, before, hot: DataFrame | None, total: int, seed: int) -> DataFrame:
     """One row of each group on a key, that with the first place there, and as ``last`` the early one of another group before it in an order by size that each seed jolts anew (by up to a quarter, as sizes of texts alike differ)."""
     draw = F.xxhash64("group", F.lit(seed))
     turn = F.row_number().over(Window.partitionBy("key", "group").orderBy(F.col("row.place") / F.col("row.n"), F.xxhash64("row.doc_id", F.lit(seed)), "row.doc_id"))
-    rows = rows.withColumn("turn", turn).where("turn = 1").join(F.broadcast(hot), "key", "left")
-    part = F.pmod(draw, F.ceil(F.coalesce(F.col("times"), F.lit(1)) / max(1000, total // 4096))).cast("int")
+    rows = with_times(rows.withColumn("turn", turn).where("turn = 1"), "key", hot)
+    part = F.pmod(draw, F.ceil(F.coalesce(F.col("times"), F.lit(1)) / max(HOT, total // 4096))).cast("int")
     size = F.col("row.n") * (1 + F.pmod(draw, F.lit(1000)) / 4000.0)
     return rows.withColumn("part", part).withColumn("last", before(Window.partitionBy("key", "part").orderBy(size, "group"))).where("last is not null").select("key", "row", "last")
 
