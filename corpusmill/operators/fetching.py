@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from corpusmill.functions import html as H
 from corpusmill.functions import urls as U
+from corpusmill.operators import rank
 from corpusmill.operators.crawl import shared_dir
 
 # Robots files.
@@ -217,3 +218,43 @@ def ladder(spark: SparkSession, engines: list[tuple[str, int, bool]], start: str
 def escalation_targets(spark: SparkSession, engines: list[tuple[str, int, bool]], start: str) -> DataFrame:
     """The ladder above an engine."""
     return ladder(spark, engines, start).where(F.col("engine") != start)
+
+
+# Composites.
+
+
+def recovered(urls: DataFrame, docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """urls (url) with ``ok``, ``got`` (the address whose document stands for it), ``how`` (own, variant, candidate) and ``error``.
+
+    docs: url, ok, error (one row a url); candidates: url, pos, candidate, found by other means, best first. An address's own document counts, then
+    its variants' (see ``url_variants``) in their order, then its candidates'; the first that is ok is taken. Addresses
+    without any are failures with their own document's error. Repeated urls give a row each; tries are joined by
+    address, so a document that many addresses share is not gathered.
+    """
+    one = urls.select("url").distinct()
+    tries = one.select("url", F.lit(0).alias("stage"), F.lit(0).alias("pos"), F.col("url").alias("got"))
+    tries = tries.unionByName(one.select("url", F.lit(1).alias("stage"), F.posexplode(U.url_variants(F.col("url"))).alias("pos", "got")))
+    tries = tries.unionByName(candidates.select("url", F.lit(2).alias("stage"), F.col("pos").cast("int").alias("pos"), F.col("candidate").alias("got")).join(one, "url", "left_semi"))
+    good = tries.join(docs.where("ok").select(F.col("url").alias("got")), "got").groupBy("url").agg(F.min(F.struct("stage", "pos", "got")).alias("b"))
+    own = docs.select("url", F.col("error").alias("__error"))
+    how = F.get(F.array(F.lit("own"), F.lit("variant"), F.lit("candidate")), F.col("b.stage"))
+    got = urls.join(good, "url", "left").join(own, "url", "left")
+    return got.select(*[urls[c] for c in urls.columns], F.col("b").isNotNull().alias("ok"), F.col("b.got").alias("got"), how.alias("how"), F.when(F.col("b").isNull(), F.coalesce("__error", F.lit("not fetched"))).alias("error"))
+
+
+def research(results: DataFrame, query: str, depth: str = "advanced", cap: int = 1200) -> DataFrame:
+    """results (asked, rank, title, url, snippet, score, and for ``advanced`` the document's ok, doc_title, text, passages) as answered: asked, place, title, url, content, score.
+
+    ``basic`` takes snippets and the service's scores in the service's order. ``advanced`` takes a document's four best passages and its
+    best passage's score, of a document without matches its text, of none the snippet, up to ``cap`` characters; the best
+    score comes first, ties in the service's order. A question's results are few; they are put in order in one window.
+    """
+    if depth == "basic":
+        return results.select("asked", F.col("rank").alias("place"), "title", "url", F.col("snippet").alias("content"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    items = F.transform("passages", lambda p, i: F.struct(i.alias("pos"), p.alias("text")))
+    best = F.when(F.col("ok"), rank.ranked_items(items, query, 4))
+    read = results.withColumn("__best", best)
+    joined = F.array_join(F.transform("__best", lambda x: x["text"]), "\n\n")
+    content = F.when(F.size("__best") > 0, joined).when(F.col("ok"), F.coalesce(F.nullif("text", F.lit("")), F.col("snippet"))).otherwise(F.col("snippet"))
+    out = read.select("asked", "rank", F.coalesce(F.nullif(F.when(F.col("ok"), F.col("doc_title")), F.lit("")), F.col("title")).alias("title"), "url", F.left(content, F.lit(cap)).alias("content"), F.coalesce(F.get("__best", F.lit(0))["score"], F.lit(0.0)).alias("score"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "rank"))).drop("rank")

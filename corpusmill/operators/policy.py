@@ -13,6 +13,7 @@ from pyspark.sql.types import BooleanType
 BLOCK_MARKERS = ("captcha", "unusual traffic", "verify you are human", "are you a robot", "consent.bing", "/tou/", "before you continue", "cf-browser-verification", "checking your browser", "just a moment", "enable javascript and cookies", "access denied", "ddos protection by")
 BLOCK_STATUSES = (403, 429, 503)
 PRIVATE = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "224.0.0.0/4", "240.0.0.0/4")
+ERROR_STATUS = {"unknown_provider": 400, "no_key": 428, "no_model": 428, "not_installed": 428, "unauthorized": 401, "rate_limit": 429, "unreachable": 502, "server_error": 502, "bad_response": 502}
 ENGINES = [("static", 0, True), ("scrapling", 1, True), ("chrome", 2, True), ("dynamic", 3, False), ("stealth", 4, False)]
 
 
@@ -71,6 +72,16 @@ def error_kind(status: Column) -> Column:
     return F.when(status.isin(401, 403), "unauthorized").when(status == 429, "rate_limit").when(status >= 500, "server_error").otherwise("http")
 
 
+def error_status(kind: Column) -> Column:
+    """The status that an error kind answers with; 500 for others."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ERROR_STATUS.items() for x in kv]), kind), F.lit(500))
+
+
+def result_budget(budget: int, results: Column) -> Column:
+    """Characters for each of some results, at least one."""
+    return F.floor(F.lit(budget) / F.greatest(results, F.lit(1)))
+
+
 def clamp(value: Column, default: int, lo: int, hi: int) -> Column:
     return F.least(F.greatest(F.coalesce(value.try_cast("int"), F.lit(default)), F.lit(lo)), F.lit(hi))
 

@@ -55,6 +55,21 @@ def quotes(hits: DataFrame, reads: DataFrame) -> DataFrame:
     return listed.join(page, "url", "left").select("site", "rank", title.alias("title"), "url", price.alias("price"), method.alias("method"), F.coalesce("__brand", F.lit("")).alias("brand"), "snippet", problem.alias("problem"))
 
 
+def api_quotes(results: DataFrame, site: str, method: str = "naver_api") -> DataFrame:
+    """Quotes of a shopping service's results (title, url, low_price, brand, mall), which need no page: its prices are exact."""
+    return results.select(F.lit(site).alias("site"), "title", "url", F.col("low_price").alias("price"), F.lit(method).alias("method"), F.coalesce("brand", F.lit("")).alias("brand"), F.coalesce("mall", F.lit("")).alias("snippet"))
+
+
+def answered(sites: DataFrame, hits: DataFrame) -> DataFrame:
+    """The hits (asked, site, any others) of each site (site, sibling) that was asked: its own, or its sibling's in its name if it has none.
+
+    ``asked`` is the site a search was sent to, ``site`` the one the hits are on. Sites are few; hits only meet counts.
+    """
+    own = hits.groupBy("asked").agg(F.count("*").alias("__n")).select(F.col("asked").alias("__own"), "__n")
+    has = sites.join(own, sites["site"] == F.col("__own"), "left").select(sites["site"].alias("__site"), F.coalesce(F.when(F.col("__n") > 0, sites["site"]), sites["sibling"]).alias("__from"))
+    return hits.join(F.broadcast(has.where("__from is not null")), F.col("asked") == F.col("__from")).drop("asked", "__from").withColumnRenamed("__site", "asked")
+
+
 def advert(query: Column) -> Column:
     """A listing row that names another model than the query; pages that were read are no adverts."""
     return (F.col("method") == "listing") & P.names_another(F.col("title"), query)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +100,49 @@ def recent(costed: DataFrame, n: int) -> DataFrame:
 def over_budget(rows: DataFrame, size: str, order: list[Column], budget: int, by: list[str]) -> DataFrame:
     """Rows that don't fit when sizes are added up in order, within groups (cache eviction)."""
     return rows.withColumn("running", F.sum(size).over(Window.partitionBy(*by).orderBy(*order))).where(F.col("running") > budget)
+
+
+def priced(reported: Column) -> Column:
+    """The cost that a call reports, else the one that its rates make (null without a price)."""
+    return F.coalesce(reported.cast("double"), cost())
+
+
+def scopes(costed: DataFrame, now: Column, session: Column) -> DataFrame:
+    """Buckets of ``total``, of ``today`` (the day of now) and of the ``session`` since its start, in one pass; a scope without calls has no row."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    own = F.array_compact(F.array(F.lit("total"), F.when(day(F.col("ts")) == day(now), "today"), F.when(F.col("ts") >= session, "session")))
+    return costed.withColumn("scope", F.explode(own)).groupBy("scope").agg(*sums())
+
+
+def reset(log: DataFrame, scope: str) -> DataFrame:
+    """What stays of a log: all of it when a session is reset (the session then starts anew), nothing when ``all`` is."""
+    if scope not in ("session", "all"):
+        raise ValueError(f"unknown scope: {scope}")
+    return log.where("false") if scope == "all" else log
+
+
+def shown(cost_usd: Column, unpriced: Column) -> Column:
+    """A bucket's cost as text, with how many of its calls have no price."""
+    money = F.when(F.coalesce(cost_usd, F.lit(0.0)) == 0, "$0").otherwise(F.format_string("$%.4f", cost_usd))
+    return F.when(unpriced > 0, F.concat(money, F.lit(" (+"), unpriced.cast("string"), F.lit(" unpriced)"))).otherwise(money)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log of JSON lines in month folders; lines that are none are left out, and a log that is not there is empty."""
+    schema = "event_id long, ts timestamp, provider string, model string, prompt_tokens long, completion_tokens long, cached_tokens long, cost_usd double, _corrupt string"
+    try:
+        got = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        got = spark.createDataFrame([], schema)
+    return got.where("_corrupt is null and provider is not null").drop("_corrupt")
+
+
+def export_pricing(prices: DataFrame, path: str) -> None:
+    """A price table as JSON lines, whole or not at all; ``read_pricing`` reads it back."""
+    prices.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_pricing(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).json(path)

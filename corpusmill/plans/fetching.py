@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import fetching as E
 from corpusmill.operators import policy
-from corpusmill.plans.catalog import query
+from corpusmill.plans.catalog import QUERY, TOPK, query
 from corpusmill.sources.tables import table
 
 ROBOTS = [
@@ -142,3 +142,43 @@ V6 = {"::1": True, "fe80::1%eth0": True, "fc00::5": True, "2001:4860:4860::8888"
 def private_v6(spark, d):
     each = table(spark, d, "supplier").select("s_suppkey", F.explode(F.array(*map(F.lit, V6))).alias("ip"))
     return each.select("s_suppkey", "ip", policy.private_ip(F.col("ip")).alias("private"))
+
+
+# Composites.
+@query("""SELECT url, page_id % 7 NOT IN (1, 2) OR page_id % 21 = 1 AS ok, CASE WHEN page_id % 7 IN (1, 2) AND page_id % 21 <> 1 THEN NULL WHEN page_id % 7 = 0 THEN CASE WHEN url LIKE 'http://%' THEN 'https://' || url[8:] ELSE url || '/' END WHEN page_id % 21 = 1 THEN 'http://found.example.org/' || page_id ELSE url END AS got,
+CASE WHEN page_id % 21 = 1 THEN 'candidate' WHEN page_id % 7 IN (1, 2) THEN NULL WHEN page_id % 7 = 0 THEN 'variant' ELSE 'own' END AS how, CASE WHEN page_id % 7 = 1 AND page_id % 21 <> 1 THEN 'HTTP 404' WHEN page_id % 7 = 2 THEN 'not fetched' END AS error FROM (SELECT page_id, 'http://h' || page_id || '.org/a' AS url FROM pages)""")
+def extract_urls(spark, d):
+    """Most addresses answer; every seventh only as a variant, some only as a candidate, some not at all."""
+    k, url = F.col("page_id"), F.concat(F.lit("http://h"), F.col("page_id").cast("string"), F.lit(".org/a"))
+    urls = table(spark, d, "pages").select(url.alias("url"), "page_id")
+    own = urls.where(k % 7 != 2).select("url", (~(k % 7).isin(0, 1)).alias("ok"), F.when((k % 7).isin(0, 1), "HTTP 404").alias("error"))
+    safe = urls.where(k % 7 == 0).select(F.regexp_replace("url", "^http:", "https:").alias("url"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    found = F.concat(F.lit("http://found.example.org/"), k.cast("string"))
+    other = urls.where(k % 21 == 1).select(found.alias("url"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+    candidates = urls.select("url", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.lit("http://no.example.org/").alias("candidate")), F.struct(F.lit(1).alias("pos"), found.alias("candidate")))).alias("c")).select("url", "c.*")
+    return E.recovered(urls.select("url"), own.unionByName(safe).unionByName(other), candidates)
+
+
+def _results(spark, d):
+    """Twenty documents a question; every ninth didn't open, and every fifth service gave a score."""
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(
+        F.floor(k / 20).alias("asked"), k.alias("rank"), F.concat(F.lit("t"), k.cast("string")).alias("title"), F.concat(F.lit("u"), k.cast("string")).alias("url"), F.lit("snippet").alias("snippet"),
+        F.when(k % 5 == 0, 0.5).alias("score"), (k % 9 != 0).alias("ok"), F.when(k % 2 == 0, "own").otherwise("").alias("doc_title"), "text", F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 40).alias("passages"),
+    )
+
+
+_ANSWERED = f"""SELECT doc_id, CASE WHEN doc_id % 9 <> 0 AND doc_id % 2 = 0 THEN 'own' ELSE 't' || doc_id END AS title, CASE WHEN doc_id % 9 = 0 THEN 'snippet' WHEN b.c IS NOT NULL THEN b.c ELSE coalesce(nullif(d.text, ''), 'snippet') END[:1200] AS content, CASE WHEN doc_id % 9 <> 0 AND b.c IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS score
+FROM documents d LEFT JOIN (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS c FROM {TOPK} WHERE rank <= 4 GROUP BY doc_id) b USING (doc_id)"""
+
+
+@query(f"SELECT doc_id // 20 AS asked, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY score DESC, doc_id)::INT AS place, 'u' || doc_id AS url, title, content, score FROM ({_ANSWERED})")
+def research_sorted(spark, d):
+    """Advanced research of many questions, each with its results in order."""
+    return E.research(_results(spark, d), QUERY).select("asked", "place", "url", "title", "content", "score")
+
+
+@query("SELECT doc_id // 20 AS asked, doc_id AS place, 't' || doc_id AS title, 'u' || doc_id AS url, 'snippet' AS content, CASE WHEN doc_id % 5 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM documents")
+def research_basic(spark, d):
+    return E.research(_results(spark, d), QUERY, "basic")

@@ -2,7 +2,7 @@
 
 import pandas as pd
 
-from corpusmill.plans import catalog, fetching, models, shop  # noqa: F401 (these add their queries to the catalog)
+from corpusmill.plans import catalog, fetching, models, quote_shop, shop  # noqa: F401 (these add their queries to the catalog)
 
 FOLDER = "/root/testdata/sf0.001"
 
