@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from corpusmill.sources.tables import shared_dir
 
 
 def crawl_bfs(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from corpusmill.functions import html as H
 from corpusmill.functions import urls as U
 from corpusmill.operators import rank
-from corpusmill.operators.crawl import shared_dir
+from corpusmill.sources.tables import shared_dir
 
 # Robots files.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import prices as P
 from corpusmill.functions import urls as U
 from corpusmill.operators import keep
-from corpusmill.operators.crawl import shared_dir
+from corpusmill.sources.tables import shared_dir
 
 NO_RESULTS = "no results — the site's search page returned nothing to a static fetch"
 

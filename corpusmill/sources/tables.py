@@ -1,7 +1,9 @@
-"""Tables as DataFrames."""
+"""Tables as DataFrames, and the folder that all machines share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,3 +15,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def fetched_pages(pages: DataFrame) -> DataFrame:
     """A crawl snapshot in the shape of fetched responses: url, status, content_type, body; a page that is not there is status 0."""
     return pages.select("page_id", "url", F.when(F.col("html").isNull(), 0).otherwise(200).alias("status"), F.lit("text/html; charset=utf-8").alias("header"), F.col("html").alias("body"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a folder of our own if all runs on this machine, as in tests; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
