@@ -177,7 +177,7 @@ def test_toxicity_gradients_and_windows():
     def x():
         flat, counts = grams
         mean = np.add.reduceat(net.p["char"][flat], np.concatenate(([0], np.cumsum(counts)[:-1]))) / counts[:, None]
-        return np.vstack([np.hstack([net.p["word"][ids], mean, net.odds[ids][:, None]]), np.zeros((1, 2 * toxicity.DIM + 1))])
+        return np.vstack([np.hstack([net.p["word"][ids], mean]), np.zeros((1, 2 * toxicity.DIM))])
 
     _, g = net.gradients(x(), ids, grams, at, y)
     for k, where in [("o", (3,)), ("a", (2,)), ("Uf", (1, 5)), ("Ub", (2, 20)), ("Wf", (3, 9)), ("cb", (4,)), ("word", (2, 1)), ("char", (int(grams[0][2]), 3))]:
