@@ -168,4 +168,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = exact_dedup(docs, id_col, text_col, capacity).where(~F.col("kept"))
     gone = told.select(F.col("doc_id").alias("__gone"), F.unhex("text_sha256").alias("__sha")).distinct()
     own, sha = docs[id_col].cast("long"), F.unhex(F.sha2(normalised(docs[text_col]), 256))
-    return docs.join(gone, own.eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")
+    return docs.join(gone, own.eqNullSafe(gone["__gone"]) & (sha == gone["__sha"]), "left_anti")

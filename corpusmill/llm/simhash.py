@@ -375,7 +375,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     gone = found.where(F.col("node") != F.col("component"))
     own = docs["doc_id"].cast("long")
     if not rows.where(F.col("node") != F.col("doc_id")).limit(1).count():
-        return docs.join(gone.select(F.col("node").alias("__gone")), own == F.col("__gone"), "left_anti")
+        gone = gone.select(F.col("node").alias("__gone"))
+        return docs.join(gone, own == gone["__gone"], "left_anti")
     mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    gone = rows.join(gone, "node").select(F.col("doc_id").alias("__gone"), F.xxhash64("text").alias("__text"))
-    return docs.join(gone, (own == F.col("__gone")) & (mark == F.col("__text")), "left_anti")
+    gone = kept(rows.join(gone, "node").select(F.col("doc_id").alias("__gone"), F.xxhash64("text").alias("__text")), "gone")
+    return docs.join(gone, (own == gone["__gone"]) & (mark == gone["__text"]), "left_anti")

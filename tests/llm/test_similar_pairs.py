@@ -59,3 +59,44 @@ def test_alike_to_one_text_only(spark):
             own[at] = f"x{rng.integers(1 << 30)}"
         texts[k if k < 50 else k + 1] = " ".join(own)
     held(spark, texts)
+
+
+def test_every_link_of_a_whole_table(spark):
+    """All documents of a table, of every length, against all pairs: recall is 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = brute(texts)
+    got = {(r.u, r.v) for r in simhash.similar_pairs(docs).collect()}
+    assert got <= want and groups(got, texts) == groups(want, texts) and len(want) > 20
+
+
+def test_large_groups_with_outliers(spark):
+    """One large group whose members differ at the limit, a passage that most texts begin with, and a few texts alike to single members."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 50_000, n)]
+    base, opening, texts = words(120), words(60), {}
+    for k in range(300):
+        own = list(base)
+        for at in rng.choice(115, int(rng.integers(1, 4)), replace=False):
+            own[at] = f"x{rng.integers(1 << 30)}"
+        texts[k] = " ".join(own)
+        texts[1000 + k] = " ".join(opening + words(int(rng.integers(5, 80))))
+    held(spark, texts)
+
+
+def test_repeated_ids_keep_all_their_texts(spark):
+    long = [f"w{i}" for i in range(100)]
+    x, y, z = " ".join(long), " ".join([*long[:99], "other"]), " ".join(f"z{i}" for i in range(50))
+    rows = [(1, z, "a"), (1, x, "b"), (2, y, "c"), (2, z + " end", "d"), (3, "alone in here", "e"), (3, "alone in here", "f"), (None, x, "g"), (4, None, "h"), (5, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and sorted(r.node for r in left.collect()) == ["a", "b", "e", "f", "g", "h"]
+
+
+def test_hot_nodes_do_not_change_components(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 5)
+    monkeypatch.setattr(simhash.hot_keys, "__defaults__", (5,))
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(30)] + [(59, 200), (None, 7)]
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in [*range(60), 200]} | {100 + i: 100 for i in range(31)}
+    assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
