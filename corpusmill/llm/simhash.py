@@ -165,17 +165,17 @@ def shingle_hashes(text: str, k: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist() if words else [0])), np.uint64))
 
 
-def parities(hashes: np.ndarray) -> bytes:
-    """Whether an odd number of hashes falls on each of 2**b places, at least as many as there are hashes."""
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes falls on each of 2**b places, at least as many as there are hashes; 64 places a number."""
     places = 1 << max(8, (len(hashes) - 1).bit_length())
-    return np.packbits((np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8)).view(np.int64)
 
 
-def least_difference(a: bytes, b: bytes) -> int:
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
     """Two sets with these parities differ in at least so many members; the longer one is folded to the shorter."""
     places = min(len(a), len(b))
-    x, y = (np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, places), axis=0) for s in (a, b))
-    return int(np.bitwise_count(x ^ y).sum())
+    x, y = (np.bitwise_xor.reduce(np.asarray(s, np.int64).reshape(-1, places), axis=0) for s in (a, b))
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
 
 
 def frequent(rows: DataFrame, shingle: int, sample: int = 20_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def prefixes(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     place in the order. Most texts end there.
     """
     known, count = frequent(rows, shingle)
-    kind = "doc_id long, n int, open int, most int, keys array<long>, later array<long>, parities binary"
+    kind = "doc_id long, n int, open int, most int, keys array<long>, later array<long>, parities array<long>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -289,11 +289,30 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sa
     Every pair is verified on whole texts. Of a doc_id with several texts, those after the least stand under numbers from 2**62 on (see
     ``numbered``); null ids have no pairs; null text is empty; extra columns are not read; an empty table gives no rows.
     """
-    return connected(numbered(docs).select(F.col("node").alias("doc_id"), "text"), shingle, similarity, salts)
+    return connected(numbered(docs).select(F.col("node").alias("doc_id"), "text"), shingle, similarity, salts)[0]
 
 
-def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 50) -> DataFrame:
-    """``similar_pairs`` of (doc_id, text) with each doc_id once."""
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, group) after links (u, v) joined some groups: only links between groups are followed, each pair of groups once. Nodes without a label are groups of their own."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("group").alias(f"{x}_group"))
+    both = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    ends = F.coalesce("u_group", "u"), F.coalesce("v_group", "v")
+    between = both.select(F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).where("u < v").distinct()
+    found = kept(components(between), "merged")
+    new = labels.join(found.select(F.col("node").alias("group"), "component"), "group", "left").select("node", F.coalesce("component", "group").alias("group"))
+    alone = found.join(labels.select("node"), "node", "left_anti").select("node", F.col("component").alias("group"))
+    return kept(new.unionByName(alone), "labels")
+
+
+def differing(a, b):
+    """``least_difference`` of two arrays of longs as a column: the bits in which they differ, the longer one folded to the shorter."""
+    folded = lambda x, y: F.when(F.size(x) > F.size(y), fold(x, F.size(y))).otherwise(x)
+    fold = lambda x, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(F.sequence(F.lit(0), F.floor(F.size(x) / n).cast("int") - 1), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(x, i + j * n))))
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+
+
+def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 50) -> tuple[DataFrame, DataFrame]:
+    """``similar_pairs`` of (doc_id, text) with each doc_id once, and the (node, group) that they make of the texts that have any, group being its least node."""
     sets = kept(prefixes(texts, shingle, similarity), "prefixes")
     early = F.when(F.col("row.place") <= (1 - similarity) / (1 + similarity) * F.col("row.n") + 1e-6, F.col("row"))  # rows that can meet one of their own size on the key
 
@@ -331,10 +350,10 @@ def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 50
     near = pairs_of(met, "last").union(pairs_of(met, "head"))
     near = near if hot is None else near.union(pairs_of(tops, "last")).union(pairs_of(tops, "head"))
     found = check(kept(near.distinct(), "near"))
+    labels = kept(components(found).withColumnRenamed("component", "group"), "labels")
     seed = 0
     while True:
-        joined = components(found)
-        own = kept(met.select("key", "row", F.col("row.doc_id").alias("node")).join(joined, "node", "left").select("key", "row", F.coalesce("component", "node").alias("group")), "own")
+        own = kept(met.select("key", "row", F.col("row.doc_id").alias("node")).join(labels, "node", "left").select("key", "row", F.coalesce("group", "node").alias("group")), "own")
         several = own.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
         several = several if hot is None else kept(several, "several")
         open_ = kept(join_spread(own, several, "key", hot), "open")
@@ -344,14 +363,17 @@ def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 50
         n, alike, seed = anew.count(), more.count(), seed + DRAWS
         if not alike:
             break
-        found = kept(found.union(more), "found")
+        found, labels = kept(found.union(more), "found"), merged(labels, more)
         if 20 * alike < n or alike < 32:  # few are alike: what is left is mostly alone
-            joined = components(found)
-            open_ = kept(open_.withColumn("node", F.col("row.doc_id")).join(joined, "node", "left").select("key", "row", F.coalesce("component", "node").alias("group")), "open")
+            open_ = kept(open_.select("key", "row", F.col("row.doc_id").alias("node")).join(labels, "node", "left").select("key", "row", F.coalesce("group", "node").alias("group")), "open")
             break
-    a, b = (open_.select("key", F.col("row").alias(x), F.col("group").alias(f"{x}_group")) for x in ("a", "b"))
-    rest = a.join(b, "key").where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a_group") != F.col("b_group")) & fits("a", "b"))
-    return found.union(check(kept(rest.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "rest")))
+    bits = sets.select(F.col("doc_id").alias("node"), "parities")
+    open_ = kept(open_.withColumn("node", F.col("row.doc_id")).join(bits, "node").drop("node"), "open")
+    a, b = (open_.select("key", F.col("row").alias(x), F.col("group").alias(f"{x}_group"), F.col("parities").alias(f"{x}_bits")) for x in ("a", "b"))
+    most = (1 - similarity) / (1 + similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6
+    rest = a.join(b, "key").where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a_group") != F.col("b_group")) & fits("a", "b") & (differing(F.col("a_bits"), F.col("b_bits")) <= most))
+    last = check(kept(rest.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "rest"))
+    return found.union(last), merged(labels, last)
 
 
 def shuffled(rows: DataFrame, before, hot: DataFrame | None, total: int, seed: int) -> DataFrame:
@@ -371,8 +393,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     with a null doc_id and equal rows of an id stay; null text is empty, and empty texts are alike. An empty table stays empty.
     """
     rows = numbered(docs)
-    found = components(connected(rows.select(F.col("node").alias("doc_id"), "text"), shingle, similarity))
-    gone = found.where(F.col("node") != F.col("component"))
+    found = connected(rows.select(F.col("node").alias("doc_id"), "text"), shingle, similarity)[1]
+    gone = found.where(F.col("node") != F.col("group"))
     own = docs["doc_id"].cast("long")
     if not rows.where(F.col("node") != F.col("doc_id")).limit(1).count():
         gone = gone.select(F.col("node").alias("__gone"))

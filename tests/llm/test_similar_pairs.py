@@ -100,3 +100,23 @@ def test_hot_nodes_do_not_change_components(spark, monkeypatch):
     got = {r.node: r.component for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in [*range(60), 200]} | {100 + i: 100 for i in range(31)}
     assert simhash.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_parities_bound_the_difference(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    for n, m in ((10, 12), (250, 260), (500, 540), (3000, 2500)):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: min(n, m) * 9 // 10], rng.integers(0, 2**63, m // 5).astype(np.uint64)]))
+        x, y = simhash.parities(a), simhash.parities(b)
+        least = simhash.least_difference(x, y)
+        assert least <= len(np.setxor1d(a, b)) and least >= 0.5 * len(np.setxor1d(a, b))
+        row = spark.createDataFrame([(x.tolist(), y.tolist())], "a array<long>, b array<long>").select(simhash.differing(F.col("a"), F.col("b")).alias("d"), simhash.differing(F.col("b"), F.col("a")).alias("e")).first()
+        assert (row.d, row.e) == (least, least)
+
+
+def test_merging_groups(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (9, 9), (10, 9)], "node long, group long")
+    links = spark.createDataFrame([(2, 6), (1, 2), (7, 10), (20, 21)], "u long, v long")
+    assert {r.node: r.group for r in simhash.merged(labels, links).collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 9: 7, 10: 7, 7: 7, 20: 20, 21: 20}
