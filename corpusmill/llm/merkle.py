@@ -3,8 +3,9 @@
 A word's checksum says how high a branch it ends: half of the words end a run of words (level 1), a quarter a run of such
 runs (level 2), and so on. A line ends a paragraph (level 16) and all runs in it; a paragraph's checksum says in the same
 way how high a section it ends (levels 17 to 31). So branches end in the same places before and after an edit elsewhere.
-Where content ends none for four times a level's mean length, as in repetitive text, the level ends there. A
-branch's digest is of its children's digests and their order, up to the root.
+Where eight branches come without one that ends a higher one, as in repetitive text, the eighth does. A
+branch's digest is made of its children's digests, their lengths and their order (a polynomial in BASE modulo 2**64, so that
+no level between needs to be kept), and the root is BLAKE2b of the leaves' digests.
 
 A fingerprint is text: the root, the level of its leaves, and at most ``NODES`` leaves, each with its digest, the level
 it ends and its words; so its size doesn't grow with the text. Leaves are the lowest level that has so few nodes: words in
@@ -17,30 +18,30 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh64_digest
 
 from corpusmill.llm.common import partitions, text_rows
 
-NODES, RUNS, TOP, LONGEST = 48, 16, 31, 4
+NODES, RUNS, TOP, LONGEST = 48, 16, 31, 8
 U = np.uint64
-GOLDEN = U(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
+GOLDEN = U(BASE)
 NODE = np.dtype([("digest", ">u8"), ("ends", ">u4")])
 
 
 class Digests(dict):
-    """Word to 64-bit hash; begins anew when it is full."""
+    """Word to the 8 bytes of its hash; begins anew when it is full."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > 500_000:
             self.clear()
-        found = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 10)
+        found = self[word] = xxh64_digest(word.encode("utf-8", "surrogatepass"), 10)
         return found
 
 
@@ -54,39 +55,66 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def starts_of(ends: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], ends[:-1] + 1))
+class Powers:
+    """BASE**k and BASE**-k modulo 2**64, as far as they were asked for."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, U)
 
-def parents(digests: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Digest of each run of children up to an end; an only child's is its own."""
-    starts = starts_of(ends)
-    sizes = ends - starts + 1
-    place = np.arange(len(digests)) - np.repeat(starts, sizes) + 1
-    total = mix(np.add.reduceat(mix(digests + place.astype(U) * GOLDEN), starts))
-    return np.where(sizes == 1, digests[starts], total)
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            n = 1 << n.bit_length()
+            steps = (np.full(n, x, U) for x in (BASE, pow(BASE, -1, 1 << 64)))
+            self.up, self.down = (np.multiply.accumulate(np.concatenate((np.ones(1, U), x[1:]))) for x in steps)
+        return self.up, self.down
+
+
+POWERS = Powers()
+
+
+def digests_of(children: np.ndarray, upto: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Digests of runs of children: ``upto`` is each child's end in words from the beginning (the last word's place), ``last`` the number of each run's last child."""
+    up, down = POWERS(int(upto[-1]) + 1)
+    sums = np.cumsum(children * down[upto])[last]
+    sums[1:] -= sums[:-1].copy()
+    return sums * up[upto[last]]
 
 
 def heights(digests: np.ndarray) -> np.ndarray:
-    """How high a branch each item ends, 0 to 15: the trailing zeros of its checksum, or more where no end comes for long."""
+    """How high a branch each item ends, 0 to 15: the trailing zeros of its checksum, or one more than its own where ``LONGEST`` branches came without such an end."""
     x = mix(digests ^ GOLDEN)
     level = np.minimum(np.bitwise_count((x & (~x + U(1))) - U(1)), 15).astype(np.int64)
-    for k in range(min(15, (len(digests) // LONGEST).bit_length()), 0, -1):
-        most = LONGEST << k
-        ends = np.concatenate(([-1], np.flatnonzero(level >= k), [len(level) - 1]))
-        for i in np.flatnonzero(np.diff(ends) > most).tolist():
-            at = slice(ends[i] + most, ends[i + 1], most)
-            level[at] = np.maximum(level[at], k)
+    at = np.arange(len(level))
+    for k in range(1, 16):
+        if len(at) <= LONGEST:  # at: the items that end a branch of level k - 1
+            break
+        own = level[at] >= k
+        higher = own.nonzero()[0]
+        begin, upto = np.empty(len(higher) + 1, np.int64), np.empty(len(higher) + 1, np.int64)
+        begin[0], begin[1:], upto[:-1], upto[-1] = -1, higher, higher, len(at)
+        gaps = upto - begin > LONGEST
+        if gaps.any():
+            for i in gaps.nonzero()[0].tolist():
+                level[at[begin[i] + LONGEST : upto[i] : LONGEST]] = k
+            own = level[at] >= k
+        at = at[own]
     return level
 
 
+def lengths(last: np.ndarray) -> np.ndarray:
+    """Of runs that end at these places, one after another from 0."""
+    out = last + 1
+    out[1:] -= last[:-1] + 1
+    return out
+
+
 class Tree:
     """``root``, and the leaves: their ``level``, ``digests``, the levels they ``end`` and their ``words``."""
 
-    __slots__ = ("root", "level", "digests", "ends", "words", "_above")
+    __slots__ = ("root", "level", "digests", "ends", "words")
 
     def __init__(self, root: str, level: int, digests: np.ndarray, ends: np.ndarray, words: np.ndarray):
-        self.root, self.level, self.digests, self.ends, self.words, self._above = root, level, digests, ends, words, None
+        self.root, self.level, self.digests, self.ends, self.words = root, level, digests, ends, words
 
     @classmethod
     def of(cls, text: str) -> Tree:
@@ -94,26 +122,26 @@ class Tree:
         for line in text.split("\n"):
             words += line.split(" ")
             stops.append(len(words) - 1)
-        digests, stop = np.fromiter(map(DIGEST.__getitem__, words), U, len(words)), np.array(stops)
-        ends = heights(digests)
-        ends[stop] = RUNS + heights(parents(digests, stop))
+        hashes, stop, place = np.frombuffer(b"".join(map(DIGEST.__getitem__, words)), ">u8").astype(U), np.array(stops), np.arange(len(words))
+        ends = heights(hashes)
+        ends[stop] = RUNS + heights(digests_of(hashes, place, stop))
         ends[-1] = TOP
         if int((ends == TOP).sum()) > NODES:
             ends[:-1] = np.minimum(ends[:-1], TOP - 1)
         nodes = np.bincount(ends, minlength=TOP + 1)[::-1].cumsum()[::-1]
         level = int(np.argmax(nodes <= NODES))
-        tree = cls("", 0, digests, ends, np.ones(len(words), np.int64)).raised(level)
+        last = (ends >= level).nonzero()[0]
+        tree = cls("", level, digests_of(hashes, place, last), ends[last], lengths(last))
         tree.root = hashlib.blake2b(tree.packed(), digest_size=16).hexdigest()
         return tree
 
     def raised(self, level: int) -> Tree:
         """The same tree with leaves at a higher level."""
-        digests, ends, words = self.digests, self.ends, self.words
-        for k in range(self.level + 1, level + 1):
-            at = np.flatnonzero(ends >= k)
-            if len(at) < len(ends):
-                digests, words, ends = parents(digests, at), np.add.reduceat(words, starts_of(at)), ends[at]
-        return Tree(self.root, level, digests, ends, words)
+        last = np.flatnonzero(self.ends >= level)
+        if len(last) == len(self.ends):
+            return Tree(self.root, level, self.digests, self.ends, self.words)
+        upto = np.cumsum(self.words) - 1
+        return Tree(self.root, level, digests_of(self.digests, upto, last), self.ends[last], lengths(upto[last]))
 
     def packed(self) -> bytes:
         out = np.empty(len(self.digests), NODE)
@@ -130,44 +158,50 @@ class Tree:
         ends = got["ends"].astype(np.int64)
         return cls(root, int(level, 16), got["digest"].astype(U), ends >> 27, ends & ((1 << 27) - 1))
 
-    def above(self) -> dict[int, tuple[list[int], list[int], list[int]]]:
-        """By level: digests, first leaves and last leaves of the branches; only levels where branches differ from the one below."""
-        if self._above is None:
-            digests, ends, last = self.digests, self.ends, np.arange(len(self.ends))
-            found = {self.level: (digests.tolist(), last.tolist(), last.tolist())}
-            for k in np.unique(ends).tolist():
-                at = np.flatnonzero(ends >= k)
-                if k > self.level and len(at) < len(ends):
-                    digests, ends, last = parents(digests, at), ends[at], last[at]
-                    found[k] = (digests.tolist(), starts_of(last).tolist(), last.tolist())
-            self._above = found
-        return self._above
-
-    def branches(self, level: int) -> tuple[list[int], list[int], list[int]]:
-        above = self.above()
-        return above[max(k for k in above if k <= level)]
-
 
 def fingerprint(text: str) -> str:
     return str(Tree.of(text))
 
 
+def opened(spans: list[tuple[int, int]], ends: list[int], level: int) -> list[tuple[int, int]]:
+    """Spans of leaves, split into the branches of a level."""
+    out = []
+    for first, last in spans:
+        for k in range(first, last + 1):
+            if ends[k] >= level or k == last:
+                out.append((first, k))
+                first = k + 1
+    return out
+
+
 def matched(a: Tree, b: Tree) -> tuple[Tree, Tree, list[bool], list[bool]]:
-    """Both trees at a common level, and which of their leaves lie in branches that both have; from the root down."""
+    """Both trees at a common level, and which of their leaves lie in branches that both have; from the root down, opening only branches that differ."""
     level = max(a.level, b.level)
     a, b = (t if t.level == level else t.raised(level) for t in (a, b))
-    seen_a, seen_b = [False] * len(a.ends), [False] * len(b.ends)
-    for k in sorted({*a.above(), *b.above()}, reverse=True):
-        places = defaultdict(list)
-        for digest, first, last in zip(*b.branches(k)):
-            if not seen_b[first]:
-                places[digest].append((first, last))
-        for digest, first, last in zip(*a.branches(k)):
-            if not seen_a[first] and places.get(digest):
-                x, y = places[digest].pop(0)
-                seen_a[first : last + 1] = [True] * (last + 1 - first)
-                seen_b[x : y + 1] = [True] * (y + 1 - x)
-    return a, b, seen_a, seen_b
+    x, y, x_ends, y_ends = a.digests.tolist(), b.digests.tolist(), a.ends.tolist(), b.ends.tolist()
+    open_x, open_y = [(0, len(x) - 1)], [(0, len(y) - 1)]
+    levels = [] if set(x).isdisjoint(y) else sorted({level, *x_ends, *y_ends}, reverse=True)  # without a leaf in common no branch is
+    for k in levels:
+        places: dict[tuple, list] = {}
+        for span in opened(open_y, y_ends, k):
+            places.setdefault(tuple(y[span[0] : span[1] + 1]), []).append(span)
+        left = []
+        for first, last in opened(open_x, x_ends, k):
+            same = places.get(tuple(x[first : last + 1]))
+            if same:
+                same.pop(0)
+            else:
+                left.append((first, last))
+        open_x, open_y = left, sorted(span for spans in places.values() for span in spans)
+        if not open_x or not open_y:
+            break
+    seen = []
+    for n, spans in ((len(x), open_x), (len(y), open_y)):
+        own = [True] * n
+        for first, last in spans:
+            own[first : last + 1] = [False] * (last + 1 - first)
+        seen.append(own)
+    return a, b, *seen
 
 
 def alike(a: Tree, b: Tree) -> tuple[float, list[tuple[int, int]]]:
