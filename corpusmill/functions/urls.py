@@ -64,15 +64,27 @@ def crawl_key(url: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), F.lower(host(url)), trimmed_path(url), F.lit("?"), query(url))
 
 
+def decoded(part_: Column) -> Column:
+    """A query's name or value without its encoding; left as it is where that is broken."""
+    return F.coalesce(F.try_url_decode(part_), part_)
+
+
+def encoded(text: Column) -> Column:
+    """Form encoding in which letters, digits and ``_.-~`` stand for themselves."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canon_url(url: Column) -> Column:
-    """Product key: numeric parameters of three digits or more if there are any, else those that don't track; sorted."""
-    params = F.filter(F.split(query(url), "&"), lambda p: p.rlike("^[^=]+=.+"))
-    value = lambda p: F.regexp_replace(p, "^[^=]*=", "")
-    name = lambda p: F.lower(F.regexp_extract(p, "^[^=]*", 0))
-    digits = F.filter(params, lambda p: value(p).rlike(r"^\d{3,}$"))
-    rest = F.filter(params, lambda p: ~name(p).isin(TRACKING))
-    kept = F.array_join(F.array_sort(F.when(F.size(digits) > 0, digits).otherwise(rest)), "&")
-    return joined(scheme(url), F.lower(host(url)), trimmed_path(url), kept)
+    """Product key: numeric parameters of three digits or more if there are any, else those that don't track; sorted.
+
+    Parameters without a value don't count. They are decoded and encoded anew, so ``a=b%20c`` and ``a=b+c`` are one.
+    """
+    given = F.filter(F.split(query(url), "&"), lambda p: p.rlike("^[^=]+=.+"))
+    params = F.transform(given, lambda p: F.struct(decoded(F.regexp_extract(p, "^[^=]*", 0)).alias("k"), decoded(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
+    digits = F.filter(params, lambda p: p["v"].rlike(r"^\d{3,}$"))
+    rest = F.filter(params, lambda p: ~F.lower(p["k"]).isin(TRACKING))
+    kept = F.array_sort(F.when(F.size(digits) > 0, digits).otherwise(rest))
+    return joined(scheme(url), F.lower(host(url)), trimmed_path(url), F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&"))
 
 
 def norm_site(site: Column) -> Column:

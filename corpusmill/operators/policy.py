@@ -99,10 +99,13 @@ def throttled(requests: DataFrame, host: str, arrival: str, order: str, gap: flo
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url, host, path) with ``allowed``: the first rule (by pos) of the host whose prefix fits decides; none allows."""
-    hit = urls.join(rules, "host", "left").where(F.col("prefix").isNull() | F.col("path").startswith(F.col("prefix")))
-    first = hit.groupBy("url").agg(F.min_by("allow", "pos").alias("allow"))
-    return urls.join(first, "url", "left").select(*[urls[c] for c in urls.columns], F.coalesce("allow", F.lit(True)).alias("allowed"))
+    """urls (url, host, path) with ``allowed``: the first rule (by pos) of the host whose prefix fits decides; none allows.
+
+    Rules come as one array a host and are tried within the row, so a hot host's rows do not multiply.
+    """
+    by_host = rules.groupBy(F.col("host").alias("__host")).agg(F.array_sort(F.collect_list(F.struct("pos", "prefix", "allow"))).alias("__rules"))
+    first = F.get(F.filter("__rules", lambda r: F.coalesce(F.col("path"), F.lit("")).startswith(r["prefix"])), F.lit(0))
+    return urls.join(by_host, urls["host"] == F.col("__host"), "left").select(*[urls[c] for c in urls.columns], F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
 
 
 def best_render(renders: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # USD per million tokens by provider and model; a trailing * makes a prefix.
@@ -97,11 +97,6 @@ def recent(costed: DataFrame, n: int) -> DataFrame:
     return costed.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
 
-def over_budget(rows: DataFrame, size: str, order: list[Column], budget: int, by: list[str]) -> DataFrame:
-    """Rows that don't fit when sizes are added up in order, within groups (cache eviction)."""
-    return rows.withColumn("running", F.sum(size).over(Window.partitionBy(*by).orderBy(*order))).where(F.col("running") > budget)
-
-
 def priced(reported: Column) -> Column:
     """The cost that a call reports, else the one that its rates make (null without a price)."""
     return F.coalesce(reported.cast("double"), cost())

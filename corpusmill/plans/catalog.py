@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -637,10 +638,12 @@ def throttle_schedule(spark, d):
     return policy.throttled(req, "host", "arrival", "event_id", 1.0).select("event_id", F.round("slot", 3).alias("slot"))
 
 
-@query("SELECT event_id FROM (SELECT event_id, sum(event_id % 100 + 1) OVER (PARTITION BY user_id % 20 ORDER BY ts DESC, event_id DESC) AS run FROM events) WHERE run > 500")
+@query("""SELECT event_id FROM (SELECT event_id, sum(size) OVER (ORDER BY t DESC, key DESC ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT event_id, lpad(event_id::VARCHAR, 9, '0') AS key, epoch(date_trunc('second', ts)) AS t, 100 + event_id % 900 AS size FROM events)) WHERE upto > (SELECT sum(100 + event_id % 900) * 3 // 5 FROM events)""")
 def cache_evict(spark, d):
-    rows = table(spark, d, "events").select("event_id", "ts", (F.col("user_id") % 20).alias("shard"), (F.col("event_id") % 100 + 1).alias("size"))
-    return usage.over_budget(rows, "size", [F.desc("ts"), F.desc("event_id")], 500, ["shard"]).select("event_id")
+    """What goes of a cache of all events to keep three fifths of its size."""
+    entries = table(spark, d, "events").select("event_id", F.lpad(F.col("event_id").cast("string"), 9, "0").alias("key"), F.unix_timestamp("ts").alias("stored_at"), (F.col("event_id") % 900 + 100).alias("size"))
+    budget = entries.agg(F.sum("size")).first()[0] * 3 // 5
+    return entries.join(fetching.cache_kept(entries, budget).select("event_id"), "event_id", "left_anti").select("event_id")
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, min(p) OVER (PARTITION BY user_id) AS m FROM (SELECT user_id, event_id, (event_id * 13) % 7 AS p FROM events)) WHERE p = m")
@@ -662,9 +665,13 @@ def robots_allowed(spark, d):
     return policy.robots_allowed(urls, rules).select("url", "allowed")
 
 
-@query("SELECT * FROM (VALUES ('static', 0), ('scrapling', 1), ('chrome', 2)) t(name, tier)")
+@query("SELECT s_suppkey AS start, engine, tier FROM supplier, (VALUES ('static', 0), ('scrapling', 1), ('chrome', 2)) t(engine, tier) WHERE tier >= s_suppkey % 4")
 def engine_ladder(spark, d):
-    return spark.createDataFrame(policy.ENGINES, "name string, tier int, available boolean").where("available").select("name", "tier")
+    """From every start on, weakest first; the engines of the two highest tiers are not installed."""
+    starts = [n for n, *_ in policy.ENGINES[:4]]
+    each = [fetching.ladder(spark, policy.ENGINES, s).withColumn("k", F.lit(i)) for i, s in enumerate(starts)]
+    rungs = reduce(DataFrame.unionByName, each)
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("start"), (F.col("s_suppkey") % 4).alias("k")).join(F.broadcast(rungs), "k").select("start", "engine", "tier")
 
 
 # Conversations.

@@ -98,14 +98,6 @@ def cache_hits(spark, d):
     return E.cache_get(asked, cache, F.lit(now), 36_000)
 
 
-@query("""SELECT event_id FROM (SELECT event_id, sum(size) OVER (ORDER BY t DESC, key DESC ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT event_id, lpad(event_id::VARCHAR, 9, '0') AS key, epoch(date_trunc('second', ts)) AS t, 100 + event_id % 900 AS size FROM events)) WHERE upto <= (SELECT sum(100 + event_id % 900) * 3 // 5 FROM events)""")
-def cache_evicted_whole(spark, d):
-    """What stays of a cache of all events in three fifths of its size."""
-    entries = table(spark, d, "events").select("event_id", F.lpad(F.col("event_id").cast("string"), 9, "0").alias("key"), F.unix_timestamp("ts").alias("stored_at"), (F.col("event_id") % 900 + 100).alias("size"))
-    budget = entries.agg(F.sum("size")).first()[0] * 3 // 5
-    return E.cache_kept(entries, budget).select("event_id")
-
-
 def _responses(spark, d):
     """Every page as bytes: plain, in UTF-16, as an image, missing, and unreachable."""
     k = F.col("page_id") % 5

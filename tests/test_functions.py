@@ -45,6 +45,7 @@ def test_urls(spark):
     u = F.col("u")
     assert one(spark, U.normalize_url(u), u="HTTP://Ex.Com?a=1#f") == "http://ex.com/?a=1"
     assert one(spark, U.canon_url(u), u="https://x.com/p/?q=z&pcode=12345&ref=1") == "https://x.com/p?pcode=12345"
+    assert one(spark, U.canon_url(u), u="https://x.com/p?b=%7E*&a=b%20c&%61=z&e=&f=%zz") == one(spark, U.canon_url(u), u="https://x.com/p?f=%25zz&a=z&a=b+c&b=~%2A") == "https://x.com/p?a=b+c&a=z&b=~%2A&f=%25zz"
     assert one(spark, U.url_keywords(u), u="https://www.x.com/product/ESC4000-view/123?id=7&esc4000") == ["ESC4000"]
     assert one(spark, U.url_variants(u), u="http://www.x.com/a") == ["https://www.x.com/a", "http://x.com/a", "http://www.x.com/a/"]
     assert one(spark, U.slug(u), u="https://a.b/c d?e") == "a.b_c_d_e"
