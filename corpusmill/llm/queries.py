@@ -1,4 +1,4 @@
-"""The queries op1 to op10 with production parameters, each over its whole table."""
+"""The queries op1 to op13 with production parameters, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import exact_dedup, html_extract, merkle, packing, quality, secrets, sentencepiece_codec, simhash, token_file, toxicity
+from corpusmill.llm import exact_dedup, html_extract, line_dedup, merkle, packing, quality, secrets, sentencepiece_codec, simhash, token_file, toxicity
 from corpusmill.llm.bpe import byte_bpe, word_bpe
 from corpusmill.llm.common import table
 
@@ -76,6 +77,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return told.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(f):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return query
 
-    found = (op1_exact_dedup, op2_best_fit_packing, op3_secret_scan, op4_token_file, op5_quality, op6_html_extraction, op7_toxicity, op8_simhash, op9_sentencepiece, op10_fingerprints)
+    found = (op1_exact_dedup, op2_best_fit_packing, op3_secret_scan, op4_token_file, op5_quality, op6_html_extraction, op7_toxicity, op8_simhash, op9_sentencepiece, op10_fingerprints, op11_line_dedup)
     return {f.__name__: run(f) for f in found}
 
 
@@ -94,5 +100,13 @@ def oracle_sql() -> dict[str, str]:
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT n.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
-FROM n JOIN g USING (t)"""
+FROM n JOIN g USING (t)""",
+        "op11_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS keep_id FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT doc_id, pos, line, s.key IS NOT NULL AND doc_id <> keep_id AS gone FROM k LEFT JOIN s USING (key))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
     }

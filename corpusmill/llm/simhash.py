@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import kept, text_rows
+from corpusmill.llm.common import HOT, hot_keys, join_spread, kept, text_rows, with_times
 
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -30,8 +30,6 @@ BLOCK = 1 << 16
 NO_ID = 1 << 62
 #: How many new neighbours a text is given on a key in a round of ``similar_pairs``.
 DRAWS = 8
-#: A key is hot if more rows have it than this, and than a 4096th of the table's.
-HOT = 200
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -82,28 +80,6 @@ def links(heads: DataFrame, radius: int = 2) -> DataFrame:
     return met.select(F.least("head", "other").alias("u"), F.greatest("head", "other").alias("v")).distinct()
 
 
-def hot_keys(rows: DataFrame, key: str, total: int, least: int = HOT) -> DataFrame | None:
-    """(key, times): keys that more of the ``total`` rows have than ``least`` and than a 4096th of them, so 4096 keys at most; None if there are none."""
-    if total <= least:
-        return None
-    found = kept(rows.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > max(least, total // 4096)), "hot")
-    return None if found.isEmpty() else found
-
-
-def join_spread(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """rows joined with keyed (each key once). Rows of a hot key stay where they are: what keyed has for the few ``hot`` keys is broadcast, the rest is shuffled."""
-    if hot is None:
-        return rows.join(keyed, key)
-    few = keyed.join(F.broadcast(hot.select(key)), key, "left_semi")
-    many = keyed.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(many, key))
-
-
-def with_times(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """rows with how often a hot key occurs (``times``), null for other keys."""
-    return rows.withColumn("times", F.lit(None).cast("long")) if hot is None else rows.join(F.broadcast(hot), key, "left")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is its smallest reachable node.
 
