@@ -81,3 +81,29 @@ def join_spread(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame | No
 def with_times(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     """rows with how often a hot key occurs (``times``), null for other keys."""
     return rows.withColumn("times", F.lit(None).cast("long")) if hot is None else rows.join(F.broadcast(hot), key, "left")
+
+
+def hot_blocks(rows: DataFrame, key: str, share: int = 1, block: int = HOT) -> DataFrame | None:
+    """(key, blocks) of the hot keys, 4096 at most, seen in rows, which are one in ``share`` of all: a block has about ``block`` of a key's rows. None if there are none."""
+    seen = kept(rows.groupBy(key).agg((F.count("*") * share).alias("times")), "times")
+    total = seen.agg(F.sum("times")).first()[0] or 0
+    hot = seen.where(F.col("times") > max(block, total // 4096)).select(key, F.ceil(F.col("times") / block).cast("int").alias("blocks"))
+    return None if hot.isEmpty() else hot
+
+
+def block_pairs(rows: DataFrame, key: str, order: str, hot: DataFrame | None) -> DataFrame:
+    """Pairs of rows on one key as ``a`` and ``b``, each once; of two in one block, a is that with the lesser ``order``, which tells all rows of a key apart.
+
+    Rows of the ``hot`` keys (see ``hot_blocks``) are dealt to blocks by a hash of ``order``, and each pair of blocks meets on its own, so
+    no task gets all rows of a key against all others. Blocks only deal rows out: whatever keys are named as hot, the pairs are the same.
+    """
+    if hot is None:
+        a, b = rows.alias("a"), rows.alias("b")
+        return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).where(F.col(f"a.{order}") < F.col(f"b.{order}"))
+    dealt = rows.join(F.broadcast(hot.select(F.col(key).alias("__hot"), F.col("blocks").alias("__n"))), rows[key] == F.col("__hot"), "left")
+    n = F.coalesce("__n", F.lit(1))
+    dealt = dealt.select(*rows.columns, n.alias("__n"), F.pmod(F.xxhash64(order, F.lit("block")), n).cast("int").alias("__own"))
+    a = dealt.select(*rows.columns, F.col("__own").alias("__x"), F.explode(F.sequence(F.col("__own"), F.col("__n") - 1)).alias("__y")).alias("a")
+    b = dealt.select(*rows.columns, F.col("__own").alias("__y"), F.explode(F.sequence(F.lit(0), F.col("__own"))).alias("__x")).alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "__x", "__y")]
+    return a.join(b, on).where((F.col("a.__x") != F.col("a.__y")) | (F.col(f"a.{order}") < F.col(f"b.{order}")))
