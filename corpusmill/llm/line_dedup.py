@@ -27,17 +27,16 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def key_of(line: Column) -> Column:
-    """The line without white space at its ends, A-Z lower-cased, all other letters as they are."""
-    bare = F.btrim(line, F.lit(BLANK))
+def key_of(bare: Column) -> Column:
+    """A line that is stripped already, with A-Z lower-cased and all other letters as they are."""
     return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def hashed_lines(rows: DataFrame, least_chars: int) -> DataFrame:
     """(doc_id, mark, at, hash) of the lines of rows (doc_id, mark, text) that are long enough: their place in the text and the hash of their key."""
     lines = rows.select("doc_id", "mark", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
-    keyed = lines.select("doc_id", "mark", "at", key_of(F.col("line")).alias("key")).where(F.char_length("key") >= least_chars)
-    return keyed.select("doc_id", "mark", "at", F.unhex(F.substring(F.sha2("key", 256), 1, 32)).alias("hash"))
+    long = lines.select("doc_id", "mark", "at", F.btrim("line", F.lit(BLANK)).alias("bare")).where(F.char_length("bare") >= least_chars)
+    return long.select("doc_id", "mark", "at", F.unhex(F.substring(F.sha2(key_of(F.col("bare")), 256), 1, 32)).alias("hash"))
 
 
 def shared_lines(lines: DataFrame, least_docs: int) -> DataFrame:
@@ -57,7 +56,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows.
     """
     rows = text_rows(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))  # rows of one doc_id are told apart by their text
-    lines = hashed_lines(rows, least_chars)
+    lines = kept(hashed_lines(rows, least_chars), "line-hashes")
     shared = kept(shared_lines(lines, least_docs), "shared-lines")
     total = shared.agg(F.sum("times")).first()[0] or 0
     hot = shared.where(F.col("times") > max(HOT, total // 4096)).select("hash")  # so 4096 hashes at most
