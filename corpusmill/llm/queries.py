@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import exact_dedup, html_extract, line_dedup, merkle, packing, quality, secrets, sentencepiece_codec, simhash, spelling, token_file, toxicity
+from corpusmill.llm import exact_dedup, html_extract, line_dedup, merkle, packing, quality, schema_rewrite, secrets, sentencepiece_codec, simhash, spelling, token_file, toxicity
 from corpusmill.llm.bpe import byte_bpe, word_bpe
 from corpusmill.llm.common import table
 
@@ -86,6 +86,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_schema_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_rewrite.rewrite_clients(table(spark, sf_dir, "clients"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(f):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return query
 
-    found = (op1_exact_dedup, op2_best_fit_packing, op3_secret_scan, op4_token_file, op5_quality, op6_html_extraction, op7_toxicity, op8_simhash, op9_sentencepiece, op10_fingerprints, op11_line_dedup, op12_spelling_variants)
+    found = (op1_exact_dedup, op2_best_fit_packing, op3_secret_scan, op4_token_file, op5_quality, op6_html_extraction, op7_toxicity, op8_simhash, op9_sentencepiece, op10_fingerprints, op11_line_dedup, op12_spelling_variants, op13_schema_rewrite)
     return {f.__name__: run(f) for f in found}
 
 
