@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusmill.sources.tables import shared_dir, table  # noqa: F401 (operators take table from here)
 
@@ -35,6 +40,24 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def map_frames(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInPandas`` that keeps ids exact: pandas makes floating numbers of a column of longs that has nulls, here ids stay integers (``Int64``)."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def frame(batch: pa.RecordBatch) -> pd.DataFrame:
+        got = batch.to_pandas()
+        for name in {"doc_id", "page_id"} & set(batch.schema.names):
+            got[name] = batch.column(name).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        return got
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(map(frame, batches)):
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out[kinds.names], schema=kinds, preserve_index=False)
+
+    return rows.mapInArrow(over, schema)
+
+
 def held_out(id_col):
     """True where crc32 of the id as text leaves no remainder by 5; such rows are never learnt from."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))

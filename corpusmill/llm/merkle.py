@@ -3,13 +3,16 @@
 A word's checksum says how high a branch it ends: half of the words end a run of words (level 1), a quarter a run of such
 runs (level 2), and so on. A line ends a paragraph (level 16) and all runs in it; a paragraph's checksum says in the same
 way how high a section it ends (levels 17 to 31). So branches end in the same places before and after an edit elsewhere.
-Where eight branches come without one that ends a higher one, as in repetitive text, the eighth does. A
-branch's digest is made of its children's digests, their lengths and their order (a polynomial in BASE modulo 2**64, so that
-no level between needs to be kept), and the root is BLAKE2b of the leaves' digests.
+Where eight branches come without one that ends a higher one, as in repetitive text, the eighth does.
 
-A fingerprint is text: the root, the level of its leaves, and at most ``NODES`` leaves, each with its digest, the level
+A word's digest is its XXH64, told apart by whether a blank or a line feed follows. A branch's digest is made of its children's
+digests and lengths, each mixed with its place among them, and of its own level and length; mixing is not linear, so swapped, moved or
+joined children give another digest. Levels are made one from the other, whole levels at a time. The root is BLAKE2b of the digests of
+all words in their order: whatever a fingerprint stores, the root covers every leaf, and so tests equality.
+
+A fingerprint is text: the root, the level of its stored leaves, and at most ``NODES`` leaves, each with its digest, the level
 it ends and its words; so its size doesn't grow with the text. Leaves are the lowest level that has so few nodes: words in
-a short text, paragraphs or sections in a long one. Higher branches follow from the leaves. Two trees are compared
+a short text, paragraphs or sections in a long one. Higher branches follow from the stored ones. Two trees are compared
 from the root: equal roots mean equal texts; branches that agree are passed over whole, and only those that differ are
 opened, down to the leaves, which locate the edits.
 """
@@ -26,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from corpusmill.llm.common import partitions, text_rows
+from corpusmill.llm.common import map_frames, partitions, text_rows
 
 NODES, RUNS, TOP, LONGEST = 48, 16, 31, 8
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15
-GOLDEN = U(BASE)
+#: Odd numbers that tell places, lengths, levels and ends of lines apart before they are mixed.
+PLACE, LENGTH, LEVEL, LINE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5)
 NODE = np.dtype([("digest", ">u8"), ("ends", ">u4")])
 
 
@@ -55,34 +58,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Powers:
-    """BASE**k and BASE**-k modulo 2**64, as far as they were asked for."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, U)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = 1 << n.bit_length()
-            steps = (np.full(n, x, U) for x in (BASE, pow(BASE, -1, 1 << 64)))
-            self.up, self.down = (np.multiply.accumulate(np.concatenate((np.ones(1, U), x[1:]))) for x in steps)
-        return self.up, self.down
-
+def branches(children: np.ndarray, words: np.ndarray, last: np.ndarray, level: int) -> np.ndarray:
+    """Digests of the branches of a level: of children (their digests and ``words``), ``last`` being the number of each branch's last child."""
+    first = np.zeros(len(last), np.int64)
+    first[1:] = last[:-1] + 1
+    place = np.arange(len(children)) - np.repeat(first, last + 1 - first)
+    mixed = mix(mix(children + (place + 1).astype(U) * PLACE) ^ words.astype(U) * LENGTH)
+    return mix(np.add.reduceat(mixed, first) ^ (np.add.reduceat(words, first).astype(U) * LENGTH + U(level * int(LEVEL) % 2**64)))
 
-POWERS = Powers()
 
-
-def digests_of(children: np.ndarray, upto: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Digests of runs of children: ``upto`` is each child's end in words from the beginning (the last word's place), ``last`` the number of each run's last child."""
-    up, down = POWERS(int(upto[-1]) + 1)
-    sums = np.cumsum(children * down[upto])[last]
-    sums[1:] -= sums[:-1].copy()
-    return sums * up[upto[last]]
+def climbed(digests: np.ndarray, ends: np.ndarray, words: np.ndarray, level: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of a level (digests, the levels they end, words) as those of level ``upto``, level by level."""
+    for k in range(level + 1, upto + 1):
+        last = (ends >= k).nonzero()[0]
+        digests, words, ends = branches(digests, words, last, k), np.add.reduceat(words, np.concatenate(([0], last[:-1] + 1))), ends[last]
+    return digests, ends, words
 
 
 def heights(digests: np.ndarray) -> np.ndarray:
     """How high a branch each item ends, 0 to 15: the trailing zeros of its checksum, or one more than its own where ``LONGEST`` branches came without such an end."""
-    x = mix(digests ^ GOLDEN)
+    x = mix(digests ^ PLACE)
     level = np.minimum(np.bitwise_count((x & (~x + U(1))) - U(1)), 15).astype(np.int64)
     at = np.arange(len(level))
     for k in range(1, 16):
@@ -101,13 +96,6 @@ def heights(digests: np.ndarray) -> np.ndarray:
     return level
 
 
-def lengths(last: np.ndarray) -> np.ndarray:
-    """Of runs that end at these places, one after another from 0."""
-    out = last + 1
-    out[1:] -= last[:-1] + 1
-    return out
-
-
 class Tree:
     """``root``, and the leaves: their ``level``, ``digests``, the levels they ``end`` and their ``words``."""
 
@@ -122,26 +110,21 @@ class Tree:
         for line in text.split("\n"):
             words += line.split(" ")
             stops.append(len(words) - 1)
-        hashes, stop, place = np.frombuffer(b"".join(map(DIGEST.__getitem__, words)), ">u8").astype(U), np.array(stops), np.arange(len(words))
+        hashes, stop, one = np.frombuffer(b"".join(map(DIGEST.__getitem__, words)), ">u8").astype(U), np.array(stops), np.ones(len(words), np.int64)
         ends = heights(hashes)
-        ends[stop] = RUNS + heights(digests_of(hashes, place, stop))
+        ends[stop] = RUNS + heights(branches(hashes, one, stop, RUNS))
         ends[-1] = TOP
         if int((ends == TOP).sum()) > NODES:
             ends[:-1] = np.minimum(ends[:-1], TOP - 1)
         nodes = np.bincount(ends, minlength=TOP + 1)[::-1].cumsum()[::-1]
         level = int(np.argmax(nodes <= NODES))
-        last = (ends >= level).nonzero()[0]
-        tree = cls("", level, digests_of(hashes, place, last), ends[last], lengths(last))
-        tree.root = hashlib.blake2b(tree.packed(), digest_size=16).hexdigest()
-        return tree
+        hashes[stop] = mix(hashes[stop] ^ LINE)
+        root = hashlib.blake2b(hashes.astype(">u8").tobytes(), digest_size=16).hexdigest()
+        return cls(root, level, *climbed(hashes, ends, one, 0, level))
 
     def raised(self, level: int) -> Tree:
-        """The same tree with leaves at a higher level."""
-        last = np.flatnonzero(self.ends >= level)
-        if len(last) == len(self.ends):
-            return Tree(self.root, level, self.digests, self.ends, self.words)
-        upto = np.cumsum(self.words) - 1
-        return Tree(self.root, level, digests_of(self.digests, upto, last), self.ends[last], lengths(upto[last]))
+        """The same tree with its stored leaves at a higher level."""
+        return Tree(self.root, level, *climbed(self.digests, self.ends, self.words, self.level, level))
 
     def packed(self) -> bytes:
         out = np.empty(len(self.digests), NODE)
@@ -178,7 +161,8 @@ def matched(a: Tree, b: Tree) -> tuple[Tree, Tree, list[bool], list[bool]]:
     """Both trees at a common level, and which of their leaves lie in branches that both have; from the root down, opening only branches that differ."""
     level = max(a.level, b.level)
     a, b = (t if t.level == level else t.raised(level) for t in (a, b))
-    x, y, x_ends, y_ends = a.digests.tolist(), b.digests.tolist(), a.ends.tolist(), b.ends.tolist()
+    x, y = (list(zip(t.digests.tolist(), t.words.tolist())) for t in (a, b))
+    x_ends, y_ends = a.ends.tolist(), b.ends.tolist()
     open_x, open_y = [(0, len(x) - 1)], [(0, len(y) - 1)]
     levels = [] if set(x).isdisjoint(y) else sorted({level, *x_ends, *y_ends}, reverse=True)  # without a leaf in common no branch is
     for k in levels:
@@ -219,11 +203,12 @@ def alike(a: Tree, b: Tree) -> tuple[float, list[tuple[int, int]]]:
             ranges.append((at, at + n))
         at += n
     shared += sum(n for n, seen in zip(b.words.tolist(), seen_b) if seen)
-    return shared / (at + int(b.words.sum())), ranges
+    whole = at + int(b.words.sum())
+    return min(shared, whole - 1) / whole, ranges
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of both texts' words in branches that both have; 1 for equal roots."""
+    """0 to 1: the share of both texts' words in branches that both have, wherever they stand; 1 for equal roots, and less for others (where all branches agree, as if one word did not)."""
     return alike(Tree.parse(a), Tree.parse(b))[0]
 
 
@@ -276,8 +261,8 @@ def with_next(docs: DataFrame, parts: int, consume, schema: str) -> DataFrame:
             yield pd.DataFrame([consume(*held, guest or "", Tree.of(guest or ""))], columns=names).astype({"doc_id": "Int64"})
 
     names = [x.split()[0] for x in schema.split(", ")]
-    dealt = rows.mapInPandas(place, "part int, guest boolean, doc_id long, text string").repartitionById(n, F.col("part"))
-    return dealt.sortWithinPartitions("guest", F.desc_nulls_last("doc_id"), "text").mapInPandas(run, schema)
+    dealt = map_frames(rows, place, "part int, guest boolean, doc_id long, text string").repartitionById(n, F.col("part"))
+    return map_frames(dealt.sortWithinPartitions("guest", F.desc_nulls_last("doc_id"), "text"), run, schema)
 
 
 def edited(text: str, following: str) -> str:
@@ -293,7 +278,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fingerprint": [fingerprint(t) for t in pdf["text"]]})
 
-    return text_rows(docs).mapInPandas(run, "doc_id long, fingerprint string")
+    return map_frames(text_rows(docs), run, "doc_id long, fingerprint string")
 
 
 def compare_with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from corpusmill.llm import merkle, queries
 
 SF = "/root/testdata/sf0.001"
 M = (1 << 64) - 1
-GOLD = 0x9E3779B97F4A7C15
+PLACE, LENGTH, LEVEL, LINE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
 
 
 def mixed(x):
@@ -20,18 +20,16 @@ def mixed(x):
     return x ^ (x >> 31)
 
 
-def above(children):
+def above(children, level):
     """A branch's digest from its children's (digest, words)."""
-    digest = 0
-    for d, n in children:
-        digest = (digest * pow(merkle.BASE, n, 1 << 64) + d) & M
-    return digest
+    total = sum(mixed(mixed((d + (k + 1) * PLACE) & M) ^ (n * LENGTH & M)) for k, (d, n) in enumerate(children)) & M
+    return mixed(total ^ ((sum(n for _, n in children) * LENGTH + level * LEVEL) & M))
 
 
 def heights(hashes):
     out = []
     for h in hashes:
-        x, n = mixed(h ^ GOLD), 0
+        x, n = mixed(h ^ PLACE), 0
         while n < 15 and not x >> n & 1:
             n += 1
         out.append(n)
@@ -52,11 +50,13 @@ def slow(text):
     lines = [[xxh64_intdigest(w.encode(), 10) for w in line.split(" ")] for line in text.split("\n")]
     words = [w for line in lines for w in line]
     ends, at = heights(words), -1
-    for line, high in zip(lines, heights([above([(w, 1) for w in line]) for line in lines])):
+    for line, high in zip(lines, heights([above([(w, 1) for w in line], 16) for line in lines])):
         at += len(line)
         ends[at] = 16 + high
     ends[-1] = 31
-    level, nodes, count = 0, [(w, e, 1) for w, e in zip(words, ends)], None
+    words = [mixed(w ^ LINE) if k + 1 == len(line) else w for line in lines for k, w in enumerate(line)]
+    root = hashlib.blake2b(b"".join(w.to_bytes(8, "big") for w in words), digest_size=16).hexdigest()
+    level, nodes = 0, [(w, e, 1) for w, e in zip(words, ends)]
     while sum(e >= level for e in ends) > merkle.NODES:
         level += 1
     for k in range(1, level + 1):
@@ -65,11 +65,11 @@ def slow(text):
             held.append((d, n))
             size += n
             if e >= k:
-                out.append((above(held), e, size))
+                out.append((above(held, k), e, size))
                 held, size = [], 0
         nodes = out
     raw = b"".join(d.to_bytes(8, "big") + ((e << 27) | n).to_bytes(4, "big") for d, e, n in nodes)
-    return f"{hashlib.blake2b(raw, digest_size=16).hexdigest()}:{level:02x}:{base64.b64encode(raw).decode()}"
+    return f"{root}:{level:02x}:{base64.b64encode(raw).decode()}"
 
 
 def some_texts():
@@ -89,6 +89,48 @@ def test_trees_equal_the_slow_ones():
         assert str(merkle.Tree.parse(merkle.fingerprint(text))) == merkle.fingerprint(text)
 
 
+def other_texts(text, rng):
+    """The text with one small change each: a separator turned, a letter changed, neighbours swapped, a word twice, a piece moved."""
+    at = [k for k, c in enumerate(text) if c in " \n"]
+    if at:
+        k = int(rng.choice(at))
+        yield text[:k] + (" " if text[k] == "\n" else "\n") + text[k + 1 :]
+        yield text[:k] + text[k] + text[k:]
+        yield text[:k] + text[k + 1 :]
+        words = text.split(" ")
+        i = int(rng.integers(len(words)))
+        yield " ".join([*words[: i + 1], *words[i:]])
+        yield " ".join([*words[i:], *words[:i]])
+        if i:
+            yield " ".join([*words[: i - 1], words[i], words[i - 1], *words[i + 1 :]])
+    if text:
+        k = int(rng.integers(len(text)))
+        yield text[:k] + ("x" if text[k] != "x" else "y") + text[k + 1 :]
+    yield text + " "
+    yield text + "\n"
+
+
+def test_roots_test_equality():
+    """Any change anywhere gives another root and a likeness under 1, on every text of a table and on texts made to fool sums and polynomials."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(9)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    for text in [*texts, *some_texts()]:
+        own = merkle.Tree.of(text)
+        for other in other_texts(text, rng):
+            if other != text:
+                tree = merkle.Tree.of(other)
+                assert tree.root != own.root and merkle.alike(own, tree)[0] < 1 and merkle.alike(tree, own)[0] < 1
+    lines = "\n".join(" ".join(f"w{i}" for i in rng.integers(0, 1000, 9)) for _ in range(3000))
+    breaks = [k for k, c in enumerate(lines) if c == "\n"]
+    assert len({merkle.fingerprint(lines[:k] + " " + lines[k + 1 :]) for k in rng.choice(breaks, 50, False)} | {merkle.fingerprint(lines)}) == 51
+    for n in (4096, 8192, 32768):  # Thue-Morse order, which defeats polynomials modulo a power of two
+        one = " ".join("ab"[i.bit_count() % 2] for i in range(n))
+        a, b = merkle.Tree.of(one), merkle.Tree.of(one.translate(str.maketrans("ab", "ba")))
+        assert a.root != b.root and merkle.alike(a, b)[0] < 1
+
+
 def test_size_is_bounded():
     rng = np.random.default_rng(7)
     long = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 400_000))
