@@ -21,13 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import HOT, hot_keys, join_spread, kept, text_rows, with_times
+from corpusmill.llm.common import HOT, block_pairs, hot_blocks, hot_keys, join_spread, kept, map_frames, text_rows, with_times
 
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 BLOCK = 1 << 16
-#: Above it, nodes stand for fingerprints that only null ids have.
-NO_ID = 1 << 62
 #: How many new neighbours a text is given on a key in a round of ``similar_pairs``.
 DRAWS = 8
 
@@ -59,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps})
 
-    return text_rows(docs, id_col, text_col).mapInPandas(run, "doc_id long, fp long")
+    return map_frames(text_rows(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -113,10 +111,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null; then component_id is null. Extra columns are not read; an empty table gives no rows.
     """
     fps = kept(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    heads = fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("times"))
-    heads = kept(heads.withColumn("head", F.coalesce("id", F.lit(2**63 - 1) - F.abs(F.col("fp") % NO_ID))), "heads")
-    found = components(links(heads.select("fp", "head"), radius))
-    classes = heads.join(found, F.col("head") == F.col("node"), "left").select("fp", F.when(F.col("component") <= NO_ID, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    heads = kept(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("times")), "heads")
+    found = kept(components(links(heads.select("fp", F.col("fp").alias("head")), radius)), "components")  # nodes are fingerprints, so ids of any size and none name no node
+    names = kept(found.join(heads, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("id").alias("component_id")), "names")
+    named = join_spread(found, names, "component", hot_keys(found, "component", found.count())).select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("linked"))
+    classes = heads.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     hot = heads.where(F.col("times") > max(HOT, fps.count() // 4096)).select("fp")
     return join_spread(fps, kept(classes, "classes"), "fp", None if hot.isEmpty() else hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -244,15 +243,16 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int,
     return kept(whole.select("doc_id", "u", "salt", "text").mapInPandas(verify, "u long, v long"), "alike")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, text) of the distinct rows with an id: node is the id; of an id with several texts, the least text has it and each other a number of its own beyond all ids."""
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(node, doc_id, text) of the distinct rows with an id, and whether node is the id itself, as it is where no id repeats.
+
+    Where ids repeat, all rows are numbered in the order of doc_id, then text, by a range sort that is written: no id stands for another's number.
+    """
     rows = text_rows(docs).where(F.col("doc_id").isNotNull())
     if docs.select("doc_id").distinct().count() == docs.count():
-        return rows.select(F.col("doc_id").alias("node"), "doc_id", "text")
-    rows = rows.distinct()
-    least = rows.groupBy("doc_id").agg(F.min("text").alias("least"))
-    other = F.lit(NO_ID) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(NO_ID))
-    return rows.join(least, "doc_id").select(F.when(F.col("text") == F.col("least"), F.col("doc_id")).otherwise(other).alias("node"), "doc_id", "text")
+        return rows.select(F.col("doc_id").alias("node"), "doc_id", "text"), True
+    order = "doc_id", "text"
+    return kept(rows.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()).select("node", *order), "numbered"), False
 
 
 def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, salts: int = 50) -> DataFrame:
@@ -262,10 +262,16 @@ def similar_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, sa
     smallest id on each of these; what that verifies is joined into components. While many of those that are tried turn out
     alike, texts of different components on one key are dealt new neighbours and tried again. Then all texts that share one
     and are still of different components are held against each other: only pairs that are connected already are left out.
-    Every pair is verified on whole texts. Of a doc_id with several texts, those after the least stand under numbers from 2**62 on (see
-    ``numbered``); null ids have no pairs; null text is empty; extra columns are not read; an empty table gives no rows.
+    Every pair is verified on whole texts. A doc_id with several texts has the pairs of each (of two of its own, none); null ids have no
+    pairs; null text is empty; extra columns are not read; an empty table gives no rows.
     """
-    return connected(numbered(docs).select(F.col("node").alias("doc_id"), "text"), shingle, similarity, salts)[0]
+    rows, own = numbered(docs)
+    found = connected(rows.select(F.col("node").alias("doc_id"), "text"), shingle, similarity, salts)[0]
+    if own:
+        return found
+    ids = lambda x: rows.select(F.col("node").alias(x), F.col("doc_id").alias(f"{x}_id"))
+    named = found.join(ids("u"), "u").join(ids("v"), "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
+    return named.where("u < v").distinct()
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -344,11 +350,12 @@ def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 50
             open_ = kept(open_.select("key", "row", F.col("row.doc_id").alias("node")).join(labels, "node", "left").select("key", "row", F.coalesce("group", "node").alias("group")), "open")
             break
     bits = sets.select(F.col("doc_id").alias("node"), "parities")
-    open_ = kept(open_.withColumn("node", F.col("row.doc_id")).join(bits, "node").drop("node"), "open")
-    a, b = (open_.select("key", F.col("row").alias(x), F.col("group").alias(f"{x}_group"), F.col("parities").alias(f"{x}_bits")) for x in ("a", "b"))
-    most = (1 - similarity) / (1 + similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6
-    rest = a.join(b, "key").where((F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a_group") != F.col("b_group")) & fits("a", "b") & (differing(F.col("a_bits"), F.col("b_bits")) <= most))
-    last = check(kept(rest.select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "rest"))
+    open_ = kept(open_.withColumn("node", F.col("row.doc_id")).join(bits, "node"), "open")
+    met = block_pairs(open_, "key", "node", hot_blocks(open_, "key"))
+    most = (1 - similarity) / (1 + similarity) * (F.col("a.row.n") + F.col("b.row.n")) + 1e-6
+    rest = met.where((F.col("a.group") != F.col("b.group")) & fits("a.row", "b.row") & (differing(F.col("a.parities"), F.col("b.parities")) <= most))
+    ids = F.col("a.node"), F.col("b.node")
+    last = check(kept(rest.select(F.least(*ids).alias("u"), F.greatest(*ids).alias("v")).distinct(), "rest"))
     return found.union(last), merged(labels, last)
 
 
@@ -368,11 +375,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     Groups are the components of ``similar_pairs``. Rows go by id and text, so another text under the same id stays. Rows
     with a null doc_id and equal rows of an id stay; null text is empty, and empty texts are alike. An empty table stays empty.
     """
-    rows = numbered(docs)
+    rows, unique = numbered(docs)
     found = connected(rows.select(F.col("node").alias("doc_id"), "text"), shingle, similarity)[1]
     gone = found.where(F.col("node") != F.col("group"))
     own = docs["doc_id"].cast("long")
-    if not rows.where(F.col("node") != F.col("doc_id")).limit(1).count():
+    if unique:
         gone = gone.select(F.col("node").alias("__gone"))
         return docs.join(gone, own == gone["__gone"], "left_anti")
     mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))

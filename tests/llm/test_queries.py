@@ -117,3 +117,23 @@ def test_op9(spark, texts):
         ids = sp.encode(t)
         assert (got[i].n_ids, got[i].ids_crc32, got[i].same) == (len(ids), crc(ids), sp.decode(ids) == t)
         assert got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_op8_with_ids_of_any_size(spark):
+    """Ids at both ends of 64 bits beside null and repeated ones: links and names as by brute force."""
+    big, low = 2**63 - 1, -(2**63)
+    texts = ["a b c d e f g h", "a b c d e f g h", "x y z", "x y z", "q r s t", "", "a b c d e f g h", "k l m", "k l m", "n o p"]
+    ids = [big, big - 1, 2**62 + 10, 2**62 + 11, low, low + 1, None, None, 2**62 + 12, None]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    fps = [fingerprint(t) for t in texts]
+    label = classes(dict(enumerate(fps)))
+    name = [min((j for k, j in zip(label, ids) if label[k] == label[i] and j is not None), default=None) for i in label]
+    got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted((str(i), f"{f:016x}", str(n)) for i, f, n in zip(ids, fps, name))
+
+
+def test_links_of_any_fingerprints(spark):
+    """Fingerprints are nodes themselves, negative ones too."""
+    heads = spark.createDataFrame([(fp, fp) for fp in (0b1011, 0b1010, 0xFF00FF, 0xFF00FE, -1, -2, -4)], "fp long, head long")
+    pairs = {tuple(r) for r in simhash.components(simhash.links(heads)).collect()}
+    assert pairs == {(0b1011, 0b1010), (0b1010, 0b1010), (0xFF00FF, 0xFF00FE), (0xFF00FE, 0xFF00FE), (-1, -4), (-2, -4), (-4, -4)}

@@ -120,3 +120,32 @@ def test_merging_groups(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (9, 9), (10, 9)], "node long, group long")
     links = spark.createDataFrame([(2, 6), (1, 2), (7, 10), (20, 21)], "u long, v long")
     assert {r.node: r.group for r in simhash.merged(labels, links).collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 9: 7, 10: 7, 7: 7, 20: 20, 21: 20}
+
+
+def test_ids_that_repeat_at_both_ends_of_64_bits(spark):
+    """Rows of one id with several texts are told apart by numbers of their own, which no real id can meet."""
+    rng = np.random.default_rng(12)
+    words = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 50_000, n))
+    a, b, c = words(100), words(100), words(100)
+    rows = [(2**63 - 1, a), (2**63 - 1, b), (2**63 - 2, f"{b} more"), (2**62 + 5, c), (2**62 + 6, f"{c} more"), (-(2**63), f"{a} more"), (7, words(50)), (7, words(60)), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in simhash.similar_pairs(docs).collect()} == {(-(2**63), 2**63 - 1), (2**63 - 2, 2**63 - 1), (2**62 + 5, 2**62 + 6)}
+    left = sorted(str(r.doc_id) for r in simhash.drop_near_duplicates(docs).collect())
+    assert left == sorted(map(str, [-(2**63), 2**63 - 2, 2**62 + 5, 7, 7, None]))  # of each group the least id stays, with its text
+
+
+def test_unlike_texts_on_one_key_meet_in_blocks(spark):
+    """Many texts that share a passage but no more: their common keys are dealt to blocks, no task of the last join gets a key whole, and the pairs are those of brute force."""
+    from corpusmill.llm import common
+
+    rows = spark.createDataFrame([(1, i) for i in range(3000)] + [(2, i) for i in range(40)], "key int, node long")
+    hot = common.hot_blocks(rows, "key")
+    assert [(r.key, r.blocks) for r in hot.collect()] == [(1, 15)]
+    met = common.block_pairs(rows, "key", "node", hot)
+    sizes = [r["n"] for r in met.groupBy("a.key", "a.__x", "a.__y").count().withColumnRenamed("count", "n").collect()]
+    assert len(sizes) == 15 * 16 // 2 + 1 and sum(sizes) == 3000 * 2999 // 2 + 40 * 39 // 2 and max(sizes) < 300 * 300
+    rng = np.random.default_rng(13)
+    passage = " ".join(f"p{i}" for i in range(12))
+    texts = {k: f"{passage} " + " ".join(f"w{i}" for i in rng.integers(0, 10**6, 6)) for k in range(500)}
+    texts |= {1000 + k: texts[k] + " end" for k in range(0, 500, 50)}
+    assert len(held(spark, texts)) >= 10
