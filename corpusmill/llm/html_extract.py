@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import map_frames
+
 #: Elements that begin and end a block. All others (phrasing, fallback content, mathematics, drawings, custom elements) run within one, so their text stays in its place.
 BLOCK = frozenset("address article aside base blockquote body button caption center col colgroup dd details dialog dir div dl dt embed fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html input label legend li link main menu meta nav ol optgroup option p param pre search section select summary table tbody td textarea tfoot th thead title tr track ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,8 +27,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = "script|style|iframe|noembed|noframes"
 #: An opening tag of the key's kind ends an open element of the kinds beside it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+INNER = frozenset("article main nav aside footer header form body head".split())
 BARS = frozenset("ul ol dl table body article section div form nav".split())
-TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
+#: Elements open at once, as in browsers. Deeper ones open no level of their own; their text stays.
+DEPTH = 512
+COMMENT, CODE, PLAIN = r"<!--(?:-?>|.*?(?:--!?>|\Z))", rf"<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)", r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>"
+#: A tag whose quoted values may hold ``>`` comes before a plain one. Where quotes don't pair up to the end of the page, the rest is read by LOOSE, so no search fails twice.
+TOKEN = re.compile(rf"{COMMENT}|{CODE}|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|{PLAIN}", re.S | re.I)
+LOOSE = re.compile(rf"{COMMENT}|{CODE}|(?!)()()()|{PLAIN}", re.S | re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PIECES = re.compile(r"[a-z]+").findall
 HINTS = {
@@ -44,6 +52,30 @@ HINTS = {
 GROUP = {w: g for g, words in HINTS.items() for w in words.split()}
 
 
+class Path:
+    """An open element below its ancestors, one object for all equal paths of a page: what the field wants to know of it is worked out once."""
+
+    __slots__ = ("parent", "tag", "tags", "groups", "inner", "below", "told")
+
+    def __init__(self, parent: Path | None, tag: str, marks: tuple[str, ...]):
+        self.parent, self.tag, self.below, self.told = parent, tag, {}, None
+        tags, groups, inner = (parent.tags, parent.groups, parent.inner) if parent else (frozenset(), frozenset(), "")
+        self.tags = tags if not tag or tag in tags else tags | {tag}
+        self.groups = groups if groups.issuperset(marks) else groups.union(marks)
+        self.inner = tag if tag in INNER else inner
+
+    def child(self, tag: str, marks: tuple[str, ...]) -> Path:
+        found = self.below.get((tag, marks))
+        if found is None:
+            found = self.below[tag, marks] = Path(self, tag, marks)
+        return found
+
+    def features(self) -> list[str]:
+        if self.told is None:
+            self.told = [f"in:{t}" for t in sorted(self.tags)] + [f"mark:{g}" for g in sorted(self.groups)] + [f"tag:{self.tag}", f"inner:{self.inner}"] + ["inside"] * (not self.tags.isdisjoint(("article", "main")))
+        return self.told
+
+
 class Block:
     __slots__ = ("path", "text", "linked", "size")
 
@@ -58,10 +90,28 @@ def marks_of(attributes: str) -> tuple[str, ...]:
     return tuple(sorted({GROUP[w] for w in words if w in GROUP}))
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """Tags, comments and code of a page in order. No search goes over what a failed one went over: behind the last ``>`` only a comment can begin."""
+    at, last, scan = 0, page.rfind(">") + 1, TOKEN
+    while at < last:
+        m = scan.search(page, at)
+        if m is None or m.start() >= last:
+            break
+        if scan is TOKEN and m[6]:
+            scan = LOOSE
+        yield m
+        at = m.end()
+    rest = page.find("<!--", max(at, last))
+    if rest >= 0:
+        yield re.compile(COMMENT, re.S).match(page, rest)
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order; unclosed and misnested elements are mended as browsers roughly do."""
+    """The page's leaf blocks in order; unclosed and misnested elements are mended as browsers roughly do. Time and memory grow with the page's length alone."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Path] = []
+    top = Path(None, "", ())
+    deeper: dict[str, int] = {}  # elements that found no level left, by tag
     held: list[str] = []
     link_depth, linked, at = 0, 0, 0
 
@@ -71,17 +121,17 @@ def leaf_blocks(page: str) -> list[Block]:
             raw = "".join(held)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                blocks.append(Block(tuple(stack), text, min(1.0, linked / len(text)), len(text)))
+                blocks.append(Block(stack[-1] if stack else top, text, min(1.0, linked / len(text)), len(text)))
             held.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         if m.start() > at:
             part = page[at : m.start()]
             held.append(part)
             linked += len(part) * (link_depth > 0)
         at = m.end()
-        name = m[3] or m[6]
+        name = m.re.groups and (m[3] or m[6])
         if not name:
             continue
         tag, closing = name.lower(), (m[2] or m[5]) == "/"
@@ -94,23 +144,29 @@ def leaf_blocks(page: str) -> list[Block]:
         flush()
         link_depth = 0
         if closing:
+            if deeper.get(tag):
+                deeper[tag] -= 1
+                continue
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+                if stack[k].tag == tag:
                     del stack[k:]
                     break
             continue
-        if stack and stack[-1][0] == "p":
+        if stack and stack[-1].tag == "p":
             stack.pop()
         shuts = CLOSES.get(tag)
         if shuts:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shuts:
+                if stack[k].tag in shuts:
                     del stack[k:]
-                elif stack[k][0] in BARS:
+                elif stack[k].tag in BARS:
                     break
         if tag not in VOID:
+            if len(stack) == DEPTH:
+                deeper[tag] = deeper.get(tag, 0) + 1
+                continue
             attributes = m[4] if m[3] else m[7]
-            stack.append((tag, marks_of(attributes) if attributes.strip() else ()))
+            stack.append((stack[-1] if stack else top).child(tag, marks_of(attributes) if attributes.strip() else ()))
     if at < len(page):
         held.append(page[at:])
     flush()
@@ -122,21 +178,14 @@ def bucket(x: float, limits: tuple) -> int:
 
 
 def features(block: Block, previous: Block | None) -> list[str]:
-    tags = {t for t, _ in block.path}
-    out = [f"in:{t}" for t in tags] + [f"mark:{g}" for g in {g for _, marks in block.path for g in marks}]
     words = block.text.count(" ") + 1
-    own = block.path[-1] if block.path else ("", ())
-    out += [f"tag:{own[0]}", f"words:{bucket(words, (3, 8, 20, 50))}", f"link:{bucket(block.linked, (0.2, 0.6, 0.95))}", "bias"]
-    inner = next((t for t, _ in reversed(block.path) if t in ("article", "main", "nav", "aside", "footer", "header", "form", "body", "head")), "")
-    out.append(f"inner:{inner}")
-    if "article" in tags or "main" in tags:
-        out.append("inside")
+    out = [*block.path.features(), f"words:{bucket(words, (3, 8, 20, 50))}", f"link:{bucket(block.linked, (0.2, 0.6, 0.95))}", "bias"]
     if block.text[-1] in ".!?:":
         out.append("stop")
     if "©" in block.text or "copyright" in block.text.lower()[:200]:
         out.append("rights")
     if previous is not None:
-        out.append("moved" if previous.path[:-1] != block.path[:-1] else "same")
+        out.append("same" if previous.path.parent is block.path.parent else "moved")
     return out
 
 
@@ -221,7 +270,8 @@ def written_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     for kind in ("notice", "header", "menu", "ad"):
         if rng.random() < (0.85 if kind == "menu" else 0.45):
             junk(kind)
-    shell = one(("<article>", "</article>"), ("<article>", "</article>"), ('<article class="post">', "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main">', "</div>"), ('<div class="post-body">', "</div>"))
+    shell = one(("<article>", "</article>"), ("<article>", "</article>"), ('<article class="post">', "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main">', "</div>"), ('<div class="post-body">', "</div>"), ("<div>", "</div>"), ('<div><div class="' + word() + '">', "</div></div>"), ("", ""))
+    loose = rng.random() < (0.5 if shell[0] in ("", "<div>") else 0.1)  # paragraphs that are plain divs
     put(shell[0], 0)
     put(f"<h1>{say(2, 10)}</h1>", 1)
     for _ in range(int(rng.integers(1, 12))):
@@ -241,7 +291,7 @@ def written_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         elif kind < 0.58:
             put(f'<p>{prose(1, 20)} <a href="/{word()}">{say(1, 4)}</a> {prose(1, 20)}</p>', 1)
         else:
-            put(f"<p>{prose(1, 90)}</p>", 1)
+            put(one("<div>{}</div>", "<div>{}</div>", "<p>{}</p>", "<section><div>{}</div></section>").format(prose(1, 90)) if loose else f"<p>{prose(1, 90)}</p>", 1)
     if rng.random() < 0.2:
         junk("talk")
     put(shell[1], 0)
@@ -306,4 +356,4 @@ def extract(pages: DataFrame, field: Field) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text, "n_chars": list(map(len, text))})
 
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return map_frames(rows, run, "page_id long, url string, text string, n_chars long")

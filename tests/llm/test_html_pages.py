@@ -94,3 +94,42 @@ def test_long_pages_and_clashing_columns(spark, field):
     got = sorted(html_extract.extract(pages, field).collect(), key=lambda r: str(r.page_id))
     assert [r.page_id for r in got] == [1, 1, 2, None] and got[0] == got[1] and got[0].text.count("\n\n") == 30_002
     assert [(r.text, r.n_chars) for r in got[2:]] == [("", 0)] * 2 and html_extract.extract(pages.where("false"), field).count() == 0
+
+
+@pytest.mark.parametrize("name, page, blocks", [
+    ("tags that never end", "<a " * 350_000, 1), ("quotes that never end", '<a "' * 250_000, 1), ("quotes of both kinds", "<a \"'>" * 170_000 + "<b '", 1), ("nested elements", "<div>x" * 170_000, 170_000),
+    ("nested and closed", "<div>x" * 80_000 + "</div>" * 80_000 + "tail", 80_001), ("plain divs", "<div>word word.</div>" * 50_000, 50_000), ("items over open buttons", "<li><ul>" + "<button>" * 60_000 + "<li>x" * 60_000, 60_000),
+    ("comments", "<!--" * 250_000, 0), ("declarations", "<!x " * 250_000, 1), ("ends without a start", "<div>" * 100_000 + "</p>" * 100_000, 0), ("open scripts", "<script>" * 125_000, 0), ("an end at last", "<a " * 300_000 + ">y", 1),
+])
+def test_a_megabyte_of_odd_markup_takes_seconds(field, name, page, blocks):
+    import time
+
+    began = time.process_time()
+    html_extract.main_blocks(page, field)
+    assert time.process_time() - began < 20 and len(html_extract.leaf_blocks(page)) == blocks
+
+
+def test_depth_is_bounded_and_ends_stay_paired():
+    deep = "<div>" * 2000 + "in" + "</div>" * 1999 + "still<aside>side</aside></div>out"
+    found = html_extract.leaf_blocks(deep)
+    assert [b.text for b in found] == ["in", "still", "side", "out"]
+    assert found[1].path.tags == {"div"} and found[2].path.tags == {"div", "aside"} and found[3].path.tag == ""
+
+
+def test_text_without_a_shell(field):
+    page = "<html><body><ul id=nav><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul>{}<div class=footer>Copyright 2024 example.org</div></body></html>"
+    one, two = "Some prose without any hint of a class, long enough to be a paragraph of text.", "More prose follows it, and it ends here."
+    for body in (f"<div><p>{one}</p><div>{two}</div></div>", f"<div>{one}</div><div>{two}</div>", f"<h1>{one}</h1><p>{two}</p>", f"<div><div>{one}</div><div>{two}</div></div>"):
+        assert html_extract.main_blocks(page.format(body), field) == [one, two]
+
+
+def test_written_pages_of_another_seed(field):
+    import numpy as np
+
+    rng, wrong, all_ = np.random.default_rng(99), 0, 0
+    for _ in range(200):
+        page, labels = html_extract.written_page(rng)
+        blocks = html_extract.leaf_blocks(page)
+        got = field.decode([html_extract.features(b, blocks[k - 1] if k else None) for k, b in enumerate(blocks)])
+        wrong, all_ = wrong + sum(a != b for a, b in zip(got, labels)), all_ + len(labels)
+    assert wrong < 0.005 * all_
