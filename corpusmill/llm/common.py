@@ -40,9 +40,9 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def map_frames(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+def map_frames(rows: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``mapInPandas`` that keeps ids exact: pandas makes floating numbers of a column of longs that has nulls, here ids stay integers (``Int64``)."""
-    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    kinds = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def frame(batch: pa.RecordBatch) -> pd.DataFrame:
         got = batch.to_pandas()

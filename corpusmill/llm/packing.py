@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from corpusmill.llm.common import crc_u32, text_rows
+from corpusmill.llm.common import crc_u32, map_frames, text_rows
 
 
 class BestFit:
@@ -73,7 +73,7 @@ def cut(docs: DataFrame, make: Callable, most: int = 2048, end_id: int = 0, with
                     out.append((doc_id, k, at, n, crc_u32(ids[at : at + n]), *([ids[at : at + n].astype(np.int32)] if with_ids else [])))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]).astype({"doc_id": "Int64"})
 
-    return text_rows(docs).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return map_frames(text_rows(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 4096, look: int = 4096) -> DataFrame:
@@ -95,7 +95,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 4096, look: i
             yield block.drop(columns="__dealt").assign(sequence_id=base + places[:, 0], offset=places[:, 1])
 
     dealt = pieces.withColumn("__dealt", F.xxhash64("doc_id", "piece", "start", "ids_crc32")).repartition("__dealt")
-    return dealt.sortWithinPartitions("__dealt", "doc_id", "piece", "start", "ids_crc32").mapInPandas(run, schema)
+    return map_frames(dealt.sortWithinPartitions("__dealt", "doc_id", "piece", "start", "ids_crc32"), run, schema)
 
 
 def blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:

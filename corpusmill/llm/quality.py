@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import held_out, kept, labelled_sample, text_rows
+from corpusmill.llm.common import held_out, kept, labelled_sample, map_frames, text_rows
 
 FOLDS = 5
 LOWER, UPPER, DIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -138,7 +138,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
             score = model.score(np.stack([statistics(t) for t in pdf["text"]])) if len(pdf) else []
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score})
 
-    scored = text_rows(docs).mapInPandas(run, "doc_id long, score double")
+    scored = map_frames(text_rows(docs), run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

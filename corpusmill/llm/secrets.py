@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import text_rows
+from corpusmill.llm.common import map_frames, text_rows
 
 # Fixed values of the rules.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -323,7 +323,7 @@ def scan(docs: DataFrame, net: Network) -> DataFrame:
             counts = {f"n_{k}": [sum(s[0] == k for s in r) for r in rules] for k in KINDS[:3]}
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64")} | counts | {"base_sha256": [hashlib.sha256(joined(r).encode()).hexdigest() for r in rules], "spans": list(map(joined, found))})
 
-    return text_rows(docs).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_frames(text_rows(docs), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def mask(text: str, found: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str:

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from corpusmill.llm.common import crc_u32, text_rows
+from corpusmill.llm.common import crc_u32, map_frames, text_rows
 
 BLANK = "▁"
 WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+").findall
@@ -268,7 +268,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [codec.encode(t).astype(np.int32) for t in pdf["text"]]})
 
-    return text_rows(docs).mapInPandas(run, "doc_id long, ids array<int>")
+    return map_frames(text_rows(docs), run, "doc_id long, ids array<int>")
 
 
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
@@ -279,7 +279,7 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text": [codec.decode(x if x is not None else []) for x in pdf["ids"]]})
 
-    return coded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return map_frames(coded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -300,4 +300,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 out.append((doc_id, len(ids), crc_u32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text))
             yield pd.DataFrame(out, columns=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "same"]).astype({"doc_id": "Int64"})
 
-    return text_rows(docs).mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")
+    return map_frames(text_rows(docs), run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import crc_u32, kept, partitions, scratch, text_rows
+from corpusmill.llm.common import crc_u32, kept, map_frames, partitions, scratch, text_rows
 
 TAIL, MAGIC = struct.Struct("<IQQIQ4s"), b"CMT2"
 EVERY = 512
@@ -213,9 +213,9 @@ def write_tokens(docs: DataFrame, make: Callable, path: str, end_id: int = 1, wi
             finish()
             yield pd.DataFrame(done, columns=["shard", "piece", "file", "n_docs", "n_ids"])
 
-    coded = rows.mapInPandas(encode, "doc_id long, shard int, ids binary")
+    coded = map_frames(rows, encode, "doc_id long, shard int, ids binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    shards = sorted(kept(dealt.mapInPandas(write, "shard int, piece int, file string, n_docs long, n_ids long"), "manifest").collect())
+    shards = sorted(kept(map_frames(dealt, write, "shard int, piece int, file string, n_docs long, n_ids long"), "manifest").collect())
     bases = [0, *accumulate(x["n_ids"] for x in shards)]
     return spark.createDataFrame([(*x, b) for x, b in zip(shards, bases)], "shard int, piece int, file string, n_docs long, n_ids long, base long")
 
