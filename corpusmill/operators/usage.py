@@ -81,6 +81,12 @@ def sums() -> list[Column]:
     ]
 
 
+def add_sums(buckets: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Buckets of the same name added up."""
+    cost_usd = F.round(F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("double"), 6).alias("cost_usd")
+    return buckets.groupBy(*by).agg(*[cost_usd if c == "cost_usd" else F.sum(c).cast("long").alias(c) for c in buckets.columns if c not in by])
+
+
 def rollup(costed: DataFrame) -> DataFrame:
     """The ledger's four buckets (total, day, provider, provider and model) in one pass."""
     day = costed.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))

@@ -50,14 +50,3 @@ def save(pages: DataFrame, root: str, **chunking) -> dict:
     row = spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), *[F.lit(v).alias(k) for k, v in counts.items()])
     row.coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
     return counts
-
-
-def append_usage(costed: DataFrame, root: str) -> None:
-    """Calls added to a log of JSON lines, a folder a month."""
-    costed.withColumn("month", F.date_format("ts", "yyyy-MM")).write.mode("append").partitionBy("month").json(f"{root}/log")
-
-
-def retained(daily: DataFrame, days: int = 90) -> DataFrame:
-    """The latest ``days`` day buckets."""
-    last = daily.select("day").distinct().orderBy(F.desc("day")).limit(days)
-    return daily.join(F.broadcast(last), "day", "left_semi")
