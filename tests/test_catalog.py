@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corpusmill.plans import catalog, fetching, models, quote_shop, shop, streams  # noqa: F401 (these add their queries to the catalog)
+from corpusmill.plans import catalog, fetching, lookups, models, quote_shop, shop, streams  # noqa: F401 (these add their queries to the catalog)
 
 FOLDER = "/root/testdata/sf0.001"
 
