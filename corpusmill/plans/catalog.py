@@ -70,11 +70,11 @@ TOK = lambda x: f"list_filter(list_transform(regexp_extract_all(coalesce({x},'')
 SENT = lambda x: f"string_split(regexp_replace({x}, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1))"
 
 
-def BM25(src: str, part: str = "") -> str:
+def BM25(src: str, part: str = "", terms: list[str] = TERMS) -> str:
     """(columns of src, score); part is a window's PARTITION BY."""
-    tf = ", ".join(f"len(list_filter(tok, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
-    df = ", ".join(f"sum((tf{i} > 0)::INT) OVER ({part}) AS df{i}" for i in range(len(TERMS)))
-    each = " + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5)) * (tf{i} * 2.5::DOUBLE) / (tf{i} + 1.5 * (0.25 + 0.75 * dl / a)) ELSE 0 END" for i in range(len(TERMS)))
+    tf = ", ".join(f"len(list_filter(tok, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"sum((tf{i} > 0)::INT) OVER ({part}) AS df{i}" for i in range(len(terms)))
+    each = " + ".join(f"CASE WHEN tf{i} > 0 THEN ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5)) * (tf{i} * 2.5::DOUBLE) / (tf{i} + 1.5 * (0.25 + 0.75 * dl / a)) ELSE 0 END" for i in range(len(terms)))
     return f"(SELECT *, {each} AS score FROM (SELECT *, count(*) OVER ({part}) AS n, avg(dl) OVER ({part}) AS a, {df} FROM (SELECT *, len(tok) AS dl, {tf} FROM (SELECT *, {TOK('text')} AS tok FROM {src}))))"
 
 
@@ -586,9 +586,16 @@ def usage_stream(spark, d):
     return ledger.daily_ledger(_costed(spark, d))
 
 
-@query("SELECT * FROM (VALUES ('openai', 'gpt-4o', 9.0::DOUBLE), ('acme', 'x*', 1.0)) t(provider, pattern, in_rate) UNION ALL SELECT * FROM (VALUES " + ",".join(f"('{p}', '{m}', {i}::DOUBLE)" for p, m, i, _, _ in usage.PRICING if (p, m) != ("openai", "gpt-4o")) + ") d(provider, pattern, in_rate)")
+OVERRIDES = "(SELECT CASE n_nationkey % 3 WHEN 0 THEN 'acme' WHEN 1 THEN '_note' ELSE 'lmstudio' END AS provider, CASE WHEN n_nationkey = 2 THEN '*' ELSE 'm' || n_nationkey || '*' END AS pattern, (n_nationkey + 0.5)::DOUBLE AS in_rate FROM nation)"
+
+
+@query(f"SELECT * FROM {OVERRIDES} WHERE provider[1] <> '_' UNION ALL SELECT * FROM (VALUES " + ",".join(f"('{p}', '{m}', {i}::DOUBLE)" for p, m, i, _, _ in usage.PRICING) + f") d(provider, pattern, in_rate) WHERE (provider, pattern) NOT IN (SELECT (provider, pattern) FROM {OVERRIDES})")
 def pricing_merge(spark, d):
-    over = usage.pricing(spark, [("openai", "gpt-4o", 9.0, 9.0, None), ("acme", "x*", 1.0, 1.0, None), ("_note", "n", 0.0, 0.0, None)])
+    """A price file with a line a nation: new models, one that stands for a default, and notes."""
+    k = F.col("n_nationkey")
+    provider = F.when(k % 3 == 0, "acme").when(k % 3 == 1, "_note").otherwise("lmstudio")
+    pattern = F.when(k == 2, "*").otherwise(F.concat(F.lit("m"), k.cast("string"), F.lit("*")))
+    over = table(spark, d, "nation").select(provider.alias("provider"), pattern.alias("pattern"), (k + 0.5).alias("in_rate"), (k + 0.5).alias("out_rate"), F.lit(None).cast("double").alias("cached_rate"))
     return usage.merge_pricing(usage.pricing(spark), over).select("provider", "pattern", "in_rate")
 
 

@@ -72,10 +72,10 @@ def glued_amount(spark, d):
 
 
 LABELS = "(SELECT p_partkey, p_name AS text FROM part)"
-SHOP_QUERY = "thing thble attion"
+SHOP_QUERY = "blue widget rod"
 
 
-@query(f"SELECT p_partkey, round(score, 6) AS score FROM {BM25(LABELS)} WHERE score > 0")
+@query(f"SELECT p_partkey, round(score, 6) AS score FROM {BM25(LABELS, terms=SHOP_QUERY.split())} WHERE score > 0")
 def rank_labels(spark, d):
     """Categories' labels ranked among each other; only those that score."""
     from corpusmill.operators import rank
@@ -95,14 +95,14 @@ def shop_menu(spark, d):
     return _menu(spark, d)
 
 
-@query("""SELECT row_number() OVER (ORDER BY p_partkey)::INT AS rank, trim(p_name) AS title, 'https://itmaya.co.kr/server_view.php?idx=' || p_partkey AS url FROM part WHERE p_partkey % 25 = (SELECT min(n_nationkey) FROM nation WHERE n_name = 'FRANCE') ORDER BY p_partkey LIMIT 5""")
+@query("""SELECT row_number() OVER (ORDER BY p_partkey)::INT AS rank, trim(p_name) AS title, 'https://itmaya.co.kr/server_view.php?idx=' || p_partkey AS url FROM part WHERE p_partkey % 25 = (SELECT min(n_nationkey) FROM nation WHERE n_name = 'NATION_13') ORDER BY p_partkey LIMIT 5""")
 def shop_search(spark, d):
     """The products of the category that the query names; a category's page lists the parts of its remainder."""
     k = F.col("p_partkey")
     link = F.concat(F.lit('<a href="server_view.php?idx='), k.cast("string"), F.lit('">p</a>'))
     lists = table(spark, d, "part").groupBy((k % 25).alias("c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", link.alias("a")))), lambda x: x["a"]), "").alias("html"))
     lists = Q.with_links(lists.select(F.concat(F.lit("https://itmaya.co.kr/server_list.php?category_s="), F.col("c").cast("string")).alias("url"), "html"), False)
-    return Q.search(_menu(spark, d), lists, _products(spark, d), "FRANCE", 5).select("rank", "title", "url")
+    return Q.search(_menu(spark, d), lists, _products(spark, d), "NATION_13", 5).select("rank", "title", "url")
 
 
 # Usage.

@@ -260,3 +260,28 @@ def build_rag(spark, d):
     snap = _snapshot(spark, d)
     n = chunk.chunk_records(snap.select("url", "title", "text")).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n"))
     return snap.select("url").join(n, "url", "left").select("url", F.coalesce("n", F.lit(0).cast("long")).alias("n_chunks"))
+
+
+@query("""SELECT s_name AS query, 1 AS rank, 'https://shop.example.com/' || s_suppkey AS url, s_suppkey % 3 = 1 AS again FROM supplier WHERE s_suppkey % 3 < 2""")
+def search_twice(spark, d):
+    """Searches within a domain: a third of the queries find it at once, a third when asked with its brand word, a third never."""
+    k = F.col("s_suppkey")
+    item = lambda host: F.concat(F.lit('{"web":{"results":[{"title":"t","url":"https://'), host, F.lit("/"), k.cast("string"), F.lit('","description":"d"}]}}'))
+    tries = F.array(
+        F.struct(F.col("s_name").alias("query"), item(F.when(k % 3 == 0, "shop.example.com").otherwise("other.org")).alias("body")),
+        F.struct(F.concat("s_name", F.lit(" example")).alias("query"), item(F.when(k % 3 == 1, "shop.example.com").otherwise("notexample.com")).alias("body")),
+    )
+    responses = table(spark, d, "supplier").select(F.explode(tries).alias("t")).select(F.lit("brave").alias("provider"), "t.query", F.lit(200).alias("status"), "t.body", F.lit("en").alias("lang"))
+    queries = table(spark, d, "supplier").select(F.col("s_name").alias("query"))
+    found = search.search_twice(queries, responses, search.provider_order(spark, ["brave"]), 5, ["example.com"])
+    own = table(spark, d, "supplier").select(F.col("s_name").alias("query"), (k % 3 == 1).alias("again"))
+    return found.join(own, "query").select("query", "rank", "url", "again")
+
+
+@query("SELECT 'bing' AS provider, s_name AS query, 'bing returned a consent/CAPTCHA page (no results parsed)' AS error FROM supplier WHERE s_suppkey % 4 = 1")
+def search_blocked(spark, d):
+    """Of result pages with results, walls, pages with results that speak of walls, and pages with neither, the walls."""
+    k = F.col("s_suppkey") % 4
+    hit = '<ol><li class="b_algo"><h2><a href="https://x.org/1">t</a></h2></li></ol>'
+    body = F.when(k == 0, hit).when(k == 1, "<p>Please VERIFY you are human, then go on.</p>").when(k == 2, hit + "<p>How a captcha works</p>").otherwise("<p>nothing was found</p>")
+    return search.blocked_pages(table(spark, d, "supplier").select(F.lit("bing").alias("provider"), F.col("s_name").alias("query"), F.lit(200).alias("status"), body.alias("body")))

@@ -160,3 +160,37 @@ def search(responses: DataFrame, order: DataFrame, n: int, include: list[str] =
 def brand_query(query: str, include: list[str]) -> str:
     """The query with the first label of each domain, for the second try of a domain search that found nothing."""
     return " ".join([query.strip(), *[d.lstrip(".").split(".")[0] for d in include]])
+
+
+def brand_queries(queries: DataFrame, include: list[str]) -> DataFrame:
+    """queries (query) with ``again``: the query that a second try asks, as ``brand_query`` makes it."""
+    return queries.select("query", F.concat_ws(" ", F.trim("query"), *[F.lit(d.lstrip(".").split(".")[0]) for d in include]).alias("again"))
+
+
+def search_twice(queries: DataFrame, responses: DataFrame, order: DataFrame, n: int, include: list[str], exclude: list[str] = ()) -> DataFrame:
+    """``search`` within domains for a table of queries (query); those that find nothing are asked again with the domains' brand words.
+
+    responses has those of both tries, each under the query that was asked; what the second try finds stands under the first query. Blank queries find nothing.
+    """
+    asked = brand_queries(queries.where(F.trim("query") != "").distinct(), include)
+    one = lambda c: responses.join(asked.select(F.col(c).alias("query")).distinct(), "query", "left_semi")
+    first = search(one("query"), order, n, include, exclude)
+    empty = asked.join(first.select("query").distinct(), "query", "left_anti").select(F.col("query").alias("__first"), F.col("again").alias("query"))
+    second = search(one("again"), order, n, include, exclude).join(empty, "query").withColumn("query", F.col("__first")).select(first.columns)
+    return first.unionByName(second)
+
+
+# What a result page says that is a consent wall or a bot check, and how much of it is looked at.
+BLOCK_MARKERS = ("captcha", "unusual traffic", "verify you are human", "are you a robot", "consent.bing", "/tou/", "before you continue")
+BLOCK_PREFIX = 20_000
+
+
+def blocked_pages(responses: DataFrame) -> DataFrame:
+    """(provider, query, error) of result pages that have no results and say that they are a wall. A page with results is none, whatever it says."""
+    head = F.lower(F.left(F.coalesce("body", F.lit("")), F.lit(BLOCK_PREFIX)))
+    wall = F.lit(False)
+    for marker in BLOCK_MARKERS:
+        wall = wall | head.contains(marker)
+    pages = responses.where((F.col("provider") == "bing") & (F.coalesce("status", F.lit(200)) < 400) & wall)
+    with_results = page_results(pages, 1).select("provider", "query").distinct()
+    return pages.join(with_results, ["provider", "query"], "left_anti").select("provider", "query", F.concat("provider", F.lit(" returned a consent/CAPTCHA page (no results parsed)")).alias("error"))
