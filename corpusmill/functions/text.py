@@ -146,7 +146,7 @@ def is_prose(s: Column) -> Column:
 
 def sentences(text: Column, lines: bool = False) -> Column:
     """Split after sentence ends and blanks; ``lines``: at line ends as well."""
-    return F.split(text, r"(?U)(?<=[.!?。！？])\s+" + (r"|\n+" if lines else ""))
+    return F.split(text, r"(?U)(?<=[.!?。！？])[\s\x1c-\x1f]+" + (r"|\n+" if lines else ""))
 
 
 def trim_site_suffix(title: Column, site: Column) -> Column:
