@@ -6,7 +6,7 @@ way how high a section it ends (levels 17 to 31). So branches end in the same pl
 Where eight branches come without one that ends a higher one, as in repetitive text, the eighth does.
 
 A word's digest is its XXH64, told apart by whether a blank or a line feed follows. A branch's digest is made of its children's
-digests and lengths, each mixed with its place among them, and of its own level and length; mixing is not linear, so swapped, moved or
+digests and lengths, each mixed with its place among them, and of its own level and length (an only child is its branch); mixing is not linear, so swapped, moved or
 joined children give another digest. Levels are made one from the other, whole levels at a time. The root is BLAKE2b of the digests of
 all words in their order: whatever a fingerprint stores, the root covers every leaf, and so tests equality.
 
@@ -52,26 +52,35 @@ DIGEST = Digests()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: every bit of x changes about half of the result's."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    """A 64-bit finalizer, in place: every bit of x changes about half of the result's."""
+    x ^= x >> U(30)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
-def branches(children: np.ndarray, words: np.ndarray, last: np.ndarray, level: int) -> np.ndarray:
-    """Digests of the branches of a level: of children (their digests and ``words``), ``last`` being the number of each branch's last child."""
+def branches(children: np.ndarray, words: np.ndarray, last: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests and words of the branches of a level: of children (their digests and ``words``), ``last`` being the number of each branch's last child. An only child is its branch."""
     first = np.zeros(len(last), np.int64)
     first[1:] = last[:-1] + 1
-    place = np.arange(len(children)) - np.repeat(first, last + 1 - first)
-    mixed = mix(mix(children + (place + 1).astype(U) * PLACE) ^ words.astype(U) * LENGTH)
-    return mix(np.add.reduceat(mixed, first) ^ (np.add.reduceat(words, first).astype(U) * LENGTH + U(level * int(LEVEL) % 2**64)))
+    size = last + 1 - first
+    place = np.arange(1, len(children) + 1)
+    place -= np.repeat(first, size)
+    total = np.add.reduceat(words, first)
+    digests = np.add.reduceat(mix(children + place.view(U) * PLACE + words.view(U) * LENGTH), first)
+    digests ^= total.view(U) * LENGTH + U(level * int(LEVEL) % 2**64)
+    return np.where(size == 1, children[last], mix(digests)), total
 
 
 def climbed(digests: np.ndarray, ends: np.ndarray, words: np.ndarray, level: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nodes of a level (digests, the levels they end, words) as those of level ``upto``, level by level."""
     for k in range(level + 1, upto + 1):
         last = (ends >= k).nonzero()[0]
-        digests, words, ends = branches(digests, words, last, k), np.add.reduceat(words, np.concatenate(([0], last[:-1] + 1))), ends[last]
+        if len(last) < len(ends):
+            digests, words = branches(digests, words, last, k)
+            ends = ends[last]
     return digests, ends, words
 
 
@@ -112,7 +121,7 @@ class Tree:
             stops.append(len(words) - 1)
         hashes, stop, one = np.frombuffer(b"".join(map(DIGEST.__getitem__, words)), ">u8").astype(U), np.array(stops), np.ones(len(words), np.int64)
         ends = heights(hashes)
-        ends[stop] = RUNS + heights(branches(hashes, one, stop, RUNS))
+        ends[stop] = RUNS + heights(branches(hashes, one, stop, RUNS)[0])
         ends[-1] = TOP
         if int((ends == TOP).sum()) > NODES:
             ends[:-1] = np.minimum(ends[:-1], TOP - 1)

@@ -22,7 +22,9 @@ def mixed(x):
 
 def above(children, level):
     """A branch's digest from its children's (digest, words)."""
-    total = sum(mixed(mixed((d + (k + 1) * PLACE) & M) ^ (n * LENGTH & M)) for k, (d, n) in enumerate(children)) & M
+    if len(children) == 1:
+        return children[0][0]
+    total = sum(mixed((d + (k + 1) * PLACE + n * LENGTH) & M) for k, (d, n) in enumerate(children)) & M
     return mixed(total ^ ((sum(n for _, n in children) * LENGTH + level * LEVEL) & M))
 
 
