@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import index, networks, quantiles
-from corpusmill.plans.catalog import TOK, query
+from corpusmill.operators import crawl, index, networks, quantiles
+from corpusmill.plans.catalog import BFS, TOK, query
 from corpusmill.plans.shop import ITEM, OPENING, _responses
 from corpusmill.sources import responses
 from corpusmill.sources.tables import table
@@ -87,3 +87,11 @@ def price_median(spark, d):
     """The floored median of all prices, as a price summary has it."""
     got = quantiles.exact_quantiles(table(spark, d, "lineitem"), [], "l_extendedprice", [0.5])
     return got.select(F.floor("value").cast("long").alias("median"), "n")
+
+
+@query(BFS.replace("% 1500", "% 15000").replace("w.depth < 3", "w.depth < 40"))
+def crawl_reach(spark, d):
+    """All that one customer reaches over the links of all orders, however far."""
+    c = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    links = table(spark, d, "orders").select(c(F.col("o_custkey")).alias("src"), c((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 15000).alias("dst"))
+    return crawl.Reach(spark, new_folder(spark, "reach"), 8).run(spark.range(1).select(F.lit("c1").alias("node")), links)
