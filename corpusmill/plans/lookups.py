@@ -89,9 +89,9 @@ def price_median(spark, d):
     return got.select(F.floor("value").cast("long").alias("median"), "n")
 
 
-@query(BFS.replace("% 1500", "% 15000").replace("w.depth < 3", "w.depth < 40"))
+@query(BFS.replace("w.depth < 3", "w.depth < 40"))
 def crawl_reach(spark, d):
     """All that one customer reaches over the links of all orders, however far."""
     c = lambda x: F.concat(F.lit("c"), x.cast("string"))
-    links = table(spark, d, "orders").select(c(F.col("o_custkey")).alias("src"), c((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 15000).alias("dst"))
+    links = table(spark, d, "orders").select(c(F.col("o_custkey")).alias("src"), c((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("dst"))
     return crawl.Reach(spark, new_folder(spark, "reach"), 8).run(spark.range(1).select(F.lit("c1").alias("node")), links)
