@@ -116,3 +116,31 @@ def best_render(renders: DataFrame) -> DataFrame:
 def first_nonempty(candidates: DataFrame, by: list[str]) -> DataFrame:
     """Of the candidates of each group, those of its first source (by priority) that has any."""
     return candidates.withColumn("__p", F.min("priority").over(Window.partitionBy(*by))).where("priority = __p").drop("__p")
+
+
+def escalated(renders: DataFrame, thin: int = 50) -> DataFrame:
+    """(url, engine, words, tried, escalated_from) of renders (url, engine, tier, status, words, ok): what a climb of the engines gives.
+
+    The weakest engine's render counts first. If that calls for another engine, each stronger one's is taken if it is ok and
+    fuller than all before, and the climb stops at the first taken one that doesn't call for more; ``tried`` are the engines up to there.
+    ``escalated_from`` names the first engine where another one's render won. Null words are none.
+    """
+    by = Window.partitionBy("url").orderBy("tier", "engine")
+    words = F.coalesce("words", F.lit(0))
+    counts = F.when((F.row_number().over(by) == 1) | F.col("ok"), words)
+    rows = renders.select("url", "engine", "tier", words.alias("words"), F.row_number().over(by).alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"), should_escalate(F.col("status"), words, thin).alias("more"), counts.alias("counts"))
+    before = F.max("counts").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    taken = rows.withColumn("taken", (F.col("at") == 1) | (F.col("ok") & (F.col("words") > before)))
+    one = F.struct("at", "engine", "words")
+    agg = taken.groupBy("url").agg(F.min(F.when(F.col("at") == 1, one)).alias("start"), F.max(F.when((F.col("at") == 1) & ~F.col("more"), True)).alias("enough"), F.min(F.when(F.col("taken") & ~F.col("more"), one)).alias("good"), F.max(F.when(F.col("taken"), one)).alias("last"), F.max("at").alias("all"))
+    won = F.when(F.col("enough"), F.col("start")).otherwise(F.coalesce("good", "last"))
+    told = agg.select("url", "start", won.alias("won"), F.coalesce(F.when(F.col("enough"), 1), F.col("good.at"), "all").alias("tried"))
+    return told.select("url", "won.engine", "won.words", "tried", F.when(F.col("won.at") > 1, F.col("start.engine")).alias("escalated_from"))
+
+
+def clamped(value: Column, name: str, default: int, lo: int, hi: int) -> Column:
+    """struct(n, error): a whole number within bounds, the default for null; what is no whole number has no n and an error that names it."""
+    n = F.trim(value).try_cast("int")
+    told = F.concat(F.lit(f"'{name}' must be an integer, got '"), value, F.lit("'"))
+    bounded = F.least(F.greatest(F.coalesce(n, F.lit(default)), F.lit(lo)), F.lit(hi))
+    return F.struct(F.when(value.isNull() | n.isNotNull(), bounded).alias("n"), F.when(value.isNotNull() & n.isNull(), told).alias("error"))

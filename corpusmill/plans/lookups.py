@@ -1,10 +1,10 @@
-"""Queries over the data source of responses, the inverted index, address ranges and exact quantiles."""
+"""Queries over the data source of responses, the inverted index, address ranges, exact quantiles, the unbounded crawl and engine climbs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import crawl, index, networks, quantiles
+from corpusmill.operators import crawl, index, networks, policy, quantiles
 from corpusmill.plans.catalog import BFS, TOK, query
 from corpusmill.plans.shop import ITEM, OPENING, _responses
 from corpusmill.sources import responses
@@ -95,3 +95,25 @@ def crawl_reach(spark, d):
     c = lambda x: F.concat(F.lit("c"), x.cast("string"))
     links = table(spark, d, "orders").select(c(F.col("o_custkey")).alias("src"), c((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("dst"))
     return crawl.Reach(spark, new_folder(spark, "reach"), 8).run(spark.range(1).select(F.lit("c1").alias("node")), links)
+
+
+@query("""WITH r AS (SELECT user_id, 'e' || k AS engine, k AS pos, words, status, status = 200 AND k <> 3 AS ok, CASE WHEN status IN (0, 403, 429, 503) THEN true WHEN status <> 200 THEN false ELSE words < 50 END AS more
+  FROM (SELECT user_id, k, (user_id * 31 + k * k * 17) % 90 AS words, CASE WHEN (user_id + k) % 5 = 0 THEN 403 ELSE 200 END AS status FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL), range(1, 5) t(k))),
+w AS (SELECT *, pos = 1 OR (ok AND words > max(CASE WHEN pos = 1 OR ok THEN words END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS taken FROM r),
+g AS (SELECT user_id, bool_or(pos = 1 AND NOT more) AS enough, min(pos) FILTER (WHERE taken AND NOT more) AS good, max(pos) FILTER (WHERE taken) AS last FROM w GROUP BY user_id),
+c AS (SELECT user_id, CASE WHEN enough THEN 1 ELSE coalesce(good, last) END AS won, CASE WHEN enough THEN 1 ELSE coalesce(good, 4) END AS tried FROM g)
+SELECT user_id::VARCHAR AS url, engine, words, tried, CASE WHEN won > 1 THEN 'e1' END AS escalated_from FROM c JOIN r USING (user_id) WHERE pos = won""")
+def escalation_climb(spark, d):
+    """What a climb of four engines gives for each user's page, and how far it went."""
+    users = table(spark, d, "events").where("user_id is not null").select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"))
+    status = F.when((F.col("user_id") + F.col("k")) % 5 == 0, 403).otherwise(200)
+    rows = users.select(F.col("user_id").cast("string").alias("url"), F.concat(F.lit("e"), F.col("k").cast("string")).alias("engine"), F.col("k").alias("tier"), status.alias("status"), ((F.col("user_id") * 31 + F.col("k") * F.col("k") * 17) % 90).alias("words"), ((status == 200) & (F.col("k") != 3)).alias("ok"))
+    return policy.escalated(rows)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 6 ELSE least(greatest(event_id, 1), 25) END AS n, CASE WHEN event_id % 5 = 0 THEN '''n'' must be an integer, got ''' || event_id || 'x''' END AS error FROM events")
+def clamp_checked(spark, d):
+    """An argument that is no whole number is an error; a missing one is the default."""
+    k = F.col("event_id")
+    value = F.when(k % 5 == 0, F.concat(k.cast("string"), F.lit("x"))).when(k % 7 != 0, k.cast("string"))
+    return table(spark, d, "events").select("event_id", policy.clamped(value, "n", 6, 1, 25).alias("c")).select("event_id", "c.n", "c.error")
