@@ -71,7 +71,8 @@ def address_networks(spark, d):
     v6 = F.concat(F.hex(k * 2621), F.lit("::/"), (2 + k % 15).cast("string"))
     nets = networks.networks(table(spark, d, "nation").select("n_name", F.explode(F.array(v4, v6)).alias("cidr")), "cidr")
     four = F.concat_ws(".", F.col("user_id") % 256, F.col("event_id") % 256, F.lit("1"), F.col("event_id") % 200)
-    six = F.concat(F.hex((F.col("event_id") * 7) % 65536), F.lit("::"), F.hex("user_id"))
+    user, group = F.coalesce(F.col("user_id"), F.lit(0)).cast("long"), lambda x: F.hex(x.bitwiseAND(F.lit(0xFFFF)))  # a group has four digits at most
+    six = F.concat(F.hex((F.col("event_id") * 7) % 65536), F.lit("::"), group(F.shiftright(user, 16)), F.lit(":"), group(user))
     rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, six).otherwise(four).alias("ip"))
     return networks.within(rows, "ip", nets, "n_name").select("event_id", "prefix", "n_name")
 
