@@ -187,17 +187,18 @@ def body_text(body: pd.Series, declared: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def documents_of(responses: DataFrame) -> DataFrame:
+def documents_of(responses: DataFrame, references: tuple[str, ...] | None = None) -> DataFrame:
     """A document row of each response (url, status, header, body as bytes, error): url, status, content_type, title, text, words, error. Never fails.
 
     A response with an error, a status of 400 or more, or a type that is neither HTML, XML nor text, is an error row with empty text;
     no type at all is read as HTML. Null bodies are empty pages; repeated rows each give a row; extra columns are not read.
+    ``references``: the named character references that are decoded, all if None.
     """
     kind = media_type(F.col("header"))
     readable = kind.isNull() | (kind == "") | kind.contains("html") | kind.contains("xml") | kind.contains("text")
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.coalesce("status", F.lit(0)) >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string"))).when(~readable, F.concat(F.lit("unsupported content-type: "), kind))
     rows = responses.select("url", F.coalesce("status", F.lit(0)).alias("status"), kind.alias("content_type"), error.alias("error"), F.when(error.isNull(), body_text("body", charset(F.col("header")))).alias("html"))
-    page = H.with_extract(rows, ["title", "text"])
+    page = H.with_extract(rows, ["title", "text"], references=references)
     text = F.when(F.col("error").isNull(), F.col("page.text")).otherwise("")
     words = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
     return page.select("url", "status", "content_type", F.when(F.col("error").isNull(), F.col("page.title")).otherwise("").alias("title"), text.alias("text"), words.alias("words"), "error")
