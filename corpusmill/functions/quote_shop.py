@@ -6,6 +6,7 @@ Pages are read once into structs by Arrow functions; ranking, prices, Markdown a
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import prices as P
-from corpusmill.functions.html import Node, tree
+from corpusmill.functions.html import Laid, Node, tree
 from corpusmill.functions.urls import host as host_of
 from corpusmill.operators import rank
+from corpusmill.sources.tables import shared_dir
 
 # The shop's domains, addresses, class names, labels and wordings.
 DOMAINS = ("itmaya.co.kr", "itmaya.com")
@@ -135,7 +137,7 @@ def read_group(group: Node) -> dict:
 
 def read_product(page: str | None) -> dict:
     """What a product page states. The totals that its script writes over are not read, only what they are made of."""
-    root = tree(page or "")
+    root = Laid(tree(page or ""))
     said: dict[str, str] = {}
     for n in root.walk():
         if n.tag == "dt":
@@ -154,13 +156,13 @@ def read_product(page: str | None) -> dict:
 
 
 def with_product(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with ``product`` (see PRODUCT); a null page states nothing."""
+    """pages with ``product`` (see PRODUCT); a null page states nothing. A page is read once: filters on ``product`` don't repeat the function."""
 
     @F.pandas_udf(PRODUCT)
     def run(htmls: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_product(x) for x in htmls], columns=["model", "tel", "delivery", "quote_time", "base_low", "base_high", "groups"])
 
-    return pages.withColumn("product", run(F.col(html)))
+    return pages.withColumn("product", run.asNondeterministic()(F.col(html)))
 
 
 def with_links(pages: DataFrame, menu: bool, html: str = "html", url: str = "url") -> DataFrame:
@@ -170,7 +172,7 @@ def with_links(pages: DataFrame, menu: bool, html: str = "html", url: str = "url
     def run(htmls: pd.Series, urls: pd.Series) -> pd.Series:
         return pd.Series([(read_menu if menu else read_products)(h, u or "") for h, u in zip(htmls, urls)], dtype=object)
 
-    return pages.withColumn("links", run(F.col(html), F.col(url)))
+    return pages.withColumn("links", run.asNondeterministic()(F.col(html), F.col(url)))
 
 
 # Prices, Markdown and passages of what was read.
@@ -231,8 +233,8 @@ def passages() -> Column:
 def search(categories: DataFrame, lists: DataFrame, products: DataFrame, query: str, n: int) -> DataFrame:
     """(rank, title, url, snippet): the products of the categories whose labels score best for the query, at most n; without any, the categories.
 
-    categories: label, url (each once, in the menu's order ``pos``); lists: url of a category, its product ``links``;
-    products: url, product. Labels are ranked by BM25 among each other, and only those that score count. A product that
+    categories: label, url (each once, in the menu's order ``pos``); lists: url of a category, and its product ``links`` or the page's html;
+    products: url, and product or the page's html. Of pages given as html only those that a shopper would open are read. Labels are ranked by BM25 among each other, and only those that score count. A product that
     several categories list stands with the first. A menu has a few hundred categories; what is ordered in one task is
     at most the products that they list.
     """
@@ -242,8 +244,14 @@ def search(categories: DataFrame, lists: DataFrame, products: DataFrame, query:
         return categories.sparkSession.createDataFrame([], "rank int, title string, url string, snippet string")
     scored = rank.scores(categories.select("pos", "url", F.col("label").alias("text")), query).where("score > 0")
     best = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "pos")))
+    lists = lists if "links" in lists.columns else with_links(lists.join(F.broadcast(best.select("url").distinct()), "url", "left_semi").select("url", "html"), False)
     each = best.join(lists.select("url", F.posexplode("links").alias("at", "link")), "url").select("place", "at", F.col("text").alias("category"), F.col("link.url").alias("to"), F.col("link.key").alias("key"))
     one = each.groupBy("key").agg(F.min(F.struct("place", "at", "category", "to")).alias("l")).select("l.*").orderBy("place", "at").limit(n)
+    path = f"{shared_dir(one.sparkSession)}/found-{uuid.uuid4().hex}"  # n rows, used three times
+    one.write.parquet(path)
+    one = one.sparkSession.read.schema(one.schema).parquet(path)
+    if "product" not in products.columns:
+        products = with_product(products.join(F.broadcast(one.select(F.col("to").alias("url")).distinct()), "url", "left_semi").select("url", "html"))
     found = one.join(products.select(F.col("url").alias("to"), "product"), "to", "left")
     tel = F.when(F.coalesce(F.col("product.tel"), F.lit("")) != "", F.concat(F.lit(" · ☎"), F.col("product.tel"))).otherwise("")
     snippet = F.concat(F.lit("["), F.element_at(F.split("category", " "), -1), F.lit("] "), price_note(), tel)

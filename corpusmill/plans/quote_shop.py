@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from corpusmill.functions import quote_shop as Q
 from corpusmill.operators import policy, quotes, usage
 from corpusmill.plans.catalog import BM25, COSTED, SUMS, _costed, query
-from corpusmill.sources.tables import table
+from corpusmill.sources.tables import spread, table
 
 WON = "floor(p_retailprice)::BIGINT"
 MONEY = lambda x: f"format('{{:,}}', ({x})::BIGINT)"
 
 
-def _products(spark, d):
+def _product_pages(spark, d):
     """A product page a part: a base price (none for every sixth), two groups of options, times for every second."""
     k, won = F.col("p_partkey"), F.floor("p_retailprice").cast("string")
     money = F.format_number(F.floor("p_retailprice"), 0)
@@ -27,7 +27,11 @@ def _products(spark, d):
         group("GPU", 'data-max="0"', option(F.lit("none"), F.lit(""), F.lit(""))), group("empty", ""),
     )
     url = F.concat(F.lit("https://itmaya.co.kr/server_view.php?idx="), k.cast("string"))
-    return Q.with_product(table(spark, d, "part").select("p_partkey", url.alias("url"), html.alias("html")))
+    return spread(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), "p_partkey").select("p_partkey", url.alias("url"), html.alias("html"))
+
+
+def _products(spark, d):
+    return Q.with_product(_product_pages(spark, d))
 
 
 RANGE = f"(CASE WHEN p_partkey % 2 = 1 THEN {MONEY(WON)} || '~' || {MONEY(WON + ' + 1')} ELSE {MONEY(WON)} END || '원')"
@@ -101,8 +105,8 @@ def shop_search(spark, d):
     k = F.col("p_partkey")
     link = F.concat(F.lit('<a href="server_view.php?idx='), k.cast("string"), F.lit('">p</a>'))
     lists = table(spark, d, "part").groupBy((k % 25).alias("c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", link.alias("a")))), lambda x: x["a"]), "").alias("html"))
-    lists = Q.with_links(lists.select(F.concat(F.lit("https://itmaya.co.kr/server_list.php?category_s="), F.col("c").cast("string")).alias("url"), "html"), False)
-    return Q.search(_menu(spark, d), lists, _products(spark, d), "NATION_13", 5).select("rank", "title", "url")
+    lists = lists.select(F.concat(F.lit("https://itmaya.co.kr/server_list.php?category_s="), F.col("c").cast("string")).alias("url"), "html")
+    return Q.search(_menu(spark, d), lists, _product_pages(spark, d), "NATION_13", 5).select("rank", "title", "url")
 
 
 # Usage.
