@@ -13,11 +13,12 @@ from corpusmill.streaming.replay import new_folder
 
 
 def _saved(spark, d):
-    """The responses of all services, saved in a folder of pages: a supplier's is its number."""
+    """The responses of all services, saved in a folder of pages (a supplier's is its number), and how many a block has."""
     root = new_folder(spark, "responses")
     pages = _responses(spark, d).withColumn("page", F.regexp_extract("query", r"(\d+)$", 1).cast("long"))
-    responses.write_responses(pages, root, 16)
-    return root
+    size = responses.block_size(pages, 16)
+    responses.write_responses(pages, root, size)
+    return root, size
 
 
 BODIES = " UNION ALL ".join(f"SELECT '{k}' AS provider, s_name AS query, s_suppkey AS page, CASE WHEN s_suppkey % 7 = 3 THEN 500 ELSE 200 END AS status, md5('{v}' || {ITEM} || '{']' + '}' * v.count('{')}') AS body_md5 FROM supplier" for k, v in OPENING.items())
@@ -26,15 +27,16 @@ BODIES = " UNION ALL ".join(f"SELECT '{k}' AS provider, s_name AS query, s_suppk
 @query(f"SELECT * FROM ({BODIES}) WHERE provider IN ('brave', 'naver') AND page > 3 AND status = 200")
 def response_pages(spark, d):
     """Saved responses by provider and page; the source reads the blocks that can have them."""
-    rows = responses.read_responses(spark, _saved(spark, d), block_pages=16)
+    root, size = _saved(spark, d)
+    rows = responses.read_responses(spark, root, block_pages=size)
     return rows.where(F.col("provider").isin("brave", "naver") & (F.col("page") > 3) & (F.col("status") == 200)).select("provider", "query", "page", "status", F.md5("body").alias("body_md5"))
 
 
 @query(f"SELECT provider, count(*)::BIGINT AS pages, count(*) FILTER (WHERE status >= 400)::BIGINT AS failed, max(page)::BIGINT AS last_page FROM ({BODIES}) GROUP BY provider")
 def response_feed(spark, d):
     """Saved responses as a stream, with what failed of each provider."""
-    root, folder = _saved(spark, d), new_folder(spark, "stream")
-    rows = responses.read_responses(spark, root, stream=True, block_pages=16).select("provider", "page", "status")
+    (root, size), folder = _saved(spark, d), new_folder(spark, "stream")
+    rows = responses.read_responses(spark, root, stream=True, block_pages=size).select("provider", "page", "status")
     rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema("provider string, page long, status int").parquet(f"{folder}/out")
     return got.groupBy("provider").agg(F.count("*").alias("pages"), F.count_if(F.col("status") >= 400).alias("failed"), F.max("page").alias("last_page"))

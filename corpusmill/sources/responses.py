@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "provider string, query string, page long, status int, body string, lang string"
-BLOCK_PAGES, BATCH_ROWS = 64, 1 << 12
+BLOCK_PAGES, BATCH_ROWS, MOST_BLOCKS = 64, 1 << 12, 64
 BLOCK = re.compile(r"block=(\d+)$")
 
 
@@ -27,6 +27,12 @@ def write_responses(responses: DataFrame, root: str, block_pages: int = BLOCK_PA
     rows.repartition("provider", "block").sortWithinPartitions("provider", "block", "query").write.mode("append").partitionBy("provider", "block").parquet(root)
 
 
+def block_size(responses: DataFrame, least: int = BLOCK_PAGES) -> int:
+    """Pages a block for these responses: ``least``, or more where a provider would have over MOST_BLOCKS blocks, so that folders, files and tasks don't grow with the table."""
+    last = responses.agg(F.max("page")).first()[0]
+    return max(least, -(-((last or 0) + 1) // MOST_BLOCKS))
+
+
 @dataclass
 class Block(InputPartition):
     """A block by its name below the folder; names are no part of an address, as they are escaped already."""
