@@ -120,6 +120,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_spread(fps, kept(classes, "classes"), "fp", None if hot.isEmpty() else hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def ball_pairs(texts: DataFrame, radius: int = 2) -> DataFrame:
+    """(u, v), u < v, by ball hashing of the fingerprints of (doc_id, text), each doc_id once: enough pairs to connect all texts whose fingerprints differ in at most ``radius`` bits. Texts of one fingerprint are paired with the smallest id."""
+    fps = kept(fingerprints(texts), "fingerprints")
+    heads = kept(fps.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
+    same = join_spread(fps, heads, "fp", hot_keys(fps, "fp", fps.count())).where("doc_id > head").select(F.col("head").alias("u"), F.col("doc_id").alias("v"))
+    return links(heads, radius).union(same)
+
+
 def words_of(text: str) -> list[bytes]:
     return WORDS(text.translate(UPPER).encode("utf-8", "surrogatepass"))
 
@@ -294,7 +302,10 @@ def differing(a, b):
 
 
 def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 50) -> tuple[DataFrame, DataFrame]:
-    """``similar_pairs`` of (doc_id, text) with each doc_id once, and the (node, group) that they make of the texts that have any, group being its least node."""
+    """``similar_pairs`` of (doc_id, text) with each doc_id once, and the (node, group) that they make of the texts that have any, group being its least node.
+
+    The first candidates are those of ball hashing; as texts alike can differ in more bits than a ball reaches, those that share a rare shingle come beside them.
+    """
     sets = kept(prefixes(texts, shingle, similarity), "prefixes")
     early = F.when(F.col("row.place") <= (1 - similarity) / (1 + similarity) * F.col("row.n") + 1e-6, F.col("row"))  # rows that can meet one of their own size on the key
 
@@ -331,7 +342,7 @@ def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 50
     tops = tops.select("key", "row", before(on).alias("last"), head(of).alias("head"))
     near = pairs_of(met, "last").union(pairs_of(met, "head"))
     near = near if hot is None else near.union(pairs_of(tops, "last")).union(pairs_of(tops, "head"))
-    found = check(kept(near.distinct(), "near"))
+    found = check(kept(near.union(ball_pairs(texts)).distinct(), "near"))
     labels = kept(components(found).withColumnRenamed("component", "group"), "labels")
     seed = 0
     while True:
