@@ -17,6 +17,8 @@ from corpusmill.sources.tables import shared_dir, table  # noqa: F401 (operators
 
 #: A key is hot if more rows have it than this, and than a 4096th of the table's.
 HOT = 200
+#: Slim rows a task has at least, where a table is small, and the tasks that it is dealt to even so.
+SLIM, LEAST_TASKS = 50_000, 8
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -35,6 +37,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed(rows: DataFrame, n: int) -> DataFrame:
+    """rows, about ``n`` slim ones, in no more partitions than they need; the driver keeps a record of each task, and rounds on a few rows have many."""
+    return rows.coalesce(max(LEAST_TASKS, -(-n // SLIM)))
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), null text as empty; columns with other names never reach the operators."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -88,7 +95,7 @@ def hot_keys(rows: DataFrame, key: str, total: int, least: int = HOT) -> DataFra
     """(key, times): keys that more of the ``total`` rows have than ``least`` and than a 4096th of them, so 4096 keys at most; None if there are none."""
     if total <= least:
         return None
-    found = kept(rows.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > max(least, total // 4096)), "hot")
+    found = kept(packed(rows.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > max(least, total // 4096)), total), "hot")
     return None if found.isEmpty() else found
 
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import HOT, block_pairs, hot_blocks, hot_keys, join_spread, kept, map_frames, text_rows, with_times
+from corpusmill.llm.common import HOT, block_pairs, hot_blocks, hot_keys, join_spread, kept, map_frames, packed, text_rows, with_times
 
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -88,14 +87,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges = kept(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "edges")
     before, n = None, edges.count()
     while True:
+        few = lambda rows: packed(rows, 2 * n)  # noqa: B023, E731
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hot = hot_keys(both, "u", 2 * n)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_spread(both, least, "u", hot).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = few(few(join_spread(both, least, "u", hot).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         large = large if hot is None else kept(large, "large")
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_spread(large, lower, "u", hot).select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("e"))
-        edges = kept(small.select(F.col("e.y").alias("u"), F.col("e.x").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
+        edges = kept(few(few(small.select(F.col("e.y").alias("u"), F.col("e.x").alias("v")).where(F.col("u") != F.col("v"))).distinct()), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
@@ -350,8 +350,7 @@ def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 50
         several = own.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
         several = several if hot is None else kept(several, "several")
         open_ = kept(join_spread(own, several, "key", hot), "open")
-        tried = [pairs_of(shuffled(open_, before, hot, total, seed + k), "last") for k in range(DRAWS)]
-        anew = kept(reduce(DataFrame.union, tried).distinct(), "anew")
+        anew = kept(pairs_of(shuffled(open_, before, hot, total, range(seed, seed + DRAWS)), "last").distinct(), "anew")
         more = check(anew)
         n, alike, seed = anew.count(), more.count(), seed + DRAWS
         if not alike:
@@ -370,14 +369,18 @@ def connected(texts: DataFrame, shingle: int, similarity: float, salts: int = 50
     return found.union(last), merged(labels, last)
 
 
-def shuffled(rows: DataFrame, before, hot: DataFrame | None, total: int, seed: int) -> DataFrame:
-    """One row of each group on a key, that with the first place there, and as ``last`` the early one of another group before it in an order by size that each seed jolts anew (by up to a quarter, as sizes of texts alike differ)."""
-    draw = F.xxhash64("group", F.lit(seed))
-    turn = F.row_number().over(Window.partitionBy("key", "group").orderBy(F.col("row.place") / F.col("row.n"), F.xxhash64("row.doc_id", F.lit(seed)), "row.doc_id"))
+def shuffled(rows: DataFrame, before, hot: DataFrame | None, total: int, seeds: range) -> DataFrame:
+    """For each seed one row of each group on a key, that with the first place there, and as ``last`` the early one of another group before it in an order by size that each seed jolts anew (by up to a quarter, as sizes of texts alike differ).
+
+    The seeds go through one plan together: a plan for each would have as many times its stages, tasks and broadcasts.
+    """
+    rows = rows.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    draw = F.xxhash64("group", "seed")
+    turn = F.row_number().over(Window.partitionBy("seed", "key", "group").orderBy(F.col("row.place") / F.col("row.n"), F.xxhash64("row.doc_id", "seed"), "row.doc_id"))
     rows = with_times(rows.withColumn("turn", turn).where("turn = 1"), "key", hot)
     part = F.pmod(draw, F.ceil(F.coalesce(F.col("times"), F.lit(1)) / max(HOT, total // 4096))).cast("int")
     size = F.col("row.n") * (1 + F.pmod(draw, F.lit(1000)) / 4000.0)
-    return rows.withColumn("part", part).withColumn("last", before(Window.partitionBy("key", "part").orderBy(size, "group"))).where("last is not null").select("key", "row", "last")
+    return rows.withColumn("part", part).withColumn("last", before(Window.partitionBy("seed", "key", "part").orderBy(size, "group"))).where("last is not null").select("key", "row", "last")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
